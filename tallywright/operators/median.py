@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # A quantile summary of this accuracy brackets the median; the slack covers its
 # rank error on both sides.
-ACCURACY = 1000
+ACCURACY = 5000
 SLACK = 3.0 / ACCURACY
 
 

@@ -60,8 +60,11 @@ def whales_minnows(
         *[daily(m).alias(f"daily_average_{m}") for m in measures],
         *[(daily(m) * DAYS_PER_MONTH).alias(f"monthly_average_{m}") for m in measures],
     )
-    # One row: safe to broadcast.
+    # One row: safe to broadcast. Counting the users seen makes this branch read
+    # the same columns as the main one, so Spark reuses the per-user shuffle and
+    # reads the contributions once.
     levels = rates.agg(
+        F.count("last_contribution_date").alias("users_seen"),
         *[
             column
             for m in measures
@@ -77,7 +80,7 @@ def whales_minnows(
         mean, spread = F.col(f"mean_{measure}"), F.col(f"spread_{measure}")
         away = F.col("days_since_last_contribution")
         return (
-            F.when(away.isNull() | (away > active_days), "inactive")
+            F.when((F.col("users_seen") == 0) | away.isNull() | (away > active_days), "inactive")
             .when(rate > mean + spread, "whale")
             .when(rate < mean - spread, "minnow")
             .otherwise("dolphin")

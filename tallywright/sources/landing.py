@@ -44,20 +44,34 @@ def matching(files: DataFrame, prefix: str = PREFIX) -> DataFrame:
     return files.filter(F.col("key").startswith(prefix) & F.col("key").rlike(KEY_PATTERN))
 
 
+def _key(path: str) -> Column:
+    return F.regexp_extract(path, r"(?:^|/)(new_contributions/.*)$", 1).alias("key")
+
+
 def inventory(files: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """Importable files of a binary-file listing: path, URI, size, key and time stamp.
 
     The key is the part of the path below the landing root. File contents are not
     read: only columns that the listing provides are selected.
     """
-    key = F.regexp_extract("path", r"(?:^|/)(new_contributions/.*)$", 1)
-    listed = files.select("path", F.col("_metadata.file_path").alias("file_path"), "length", key.alias("key"))
-    return with_stamp(matching(listed, prefix))
+    uri = F.col("_metadata.file_path").alias("file_path")
+    return with_stamp(matching(files.select("path", uri, "length", _key("path")), prefix))
 
 
 def list_files(spark: SparkSession, root: str, prefix: str = PREFIX) -> DataFrame:
+    """Inventory of everything below `root`.
+
+    A file of no bytes has no header and therefore none of the required columns.
+    Scans leave such files out, so they are found by comparing with the names.
+    """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return inventory(listing, prefix)
+    found = inventory(listing, prefix)
+    names = spark.createDataFrame([(name,) for name in listing.inputFiles()], "file_path string")
+    named = matching(names.select("file_path", _key("file_path")), prefix)
+    empty = named.join(found, "file_path", "left_anti").agg(F.min("key")).first()[0]
+    if empty is not None:
+        raise LandingError(f"{empty}: missing columns: {sorted(LANDING_COLUMNS)}")
+    return found
 
 
 def _first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

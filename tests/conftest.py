@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import sys
+from datetime import date, datetime
+from pathlib import Path
+
+import pytest
+from pyspark.sql import SparkSession
+from pyspark.sql import types as T
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from tallywright.functions.derived import with_contribution_columns  # noqa: E402
+from tallywright.schemas import CONTRIBUTION_INPUT  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    builder = (
+        SparkSession.builder.master("local[4]")
+        .appName("tests")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "4g")
+    )
+    session = builder.getOrCreate()
+    session.sparkContext.setLogLevel("ERROR")
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
+    yield session
+    session.stop()
+
+
+USER_SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.StringType(), False),
+        T.StructField("first_name", T.StringType()),
+        T.StructField("last_name", T.StringType()),
+        T.StructField("date_joined", T.DateType()),
+        T.StructField("last_contrib", T.TimestampNTZType()),
+    ]
+)
+
+
+def stamp(value: str | None) -> datetime | None:
+    return None if value is None else datetime.fromisoformat(value)
+
+
+@pytest.fixture(scope="session")
+def contributions(spark):
+    """Builds contributions from (timestamp, user[, contribution[, fee[, transactions]]])."""
+
+    def build(*rows):
+        filled = []
+        for row in rows:
+            at, user, amount, fee, count = (*row, *(1.0, 0.1, 1)[len(row) - 2 :]) if len(row) < 5 else row
+            filled.append((stamp(at) if isinstance(at, str) else at, user, amount, fee, count))
+        return with_contribution_columns(spark.createDataFrame(filled, CONTRIBUTION_INPUT))
+
+    return build
+
+
+@pytest.fixture(scope="session")
+def users(spark):
+    """Builds users from (id, date_joined[, first_name, last_name[, last_contrib]])."""
+
+    def build(*rows):
+        filled = []
+        for row in rows:
+            ident, joined, first, last, seen = (*row, *("A", "B", None)[len(row) - 2 :]) if len(row) < 5 else row
+            joined = date.fromisoformat(joined) if joined else None
+            filled.append((ident, first, last, joined, stamp(seen)))
+        return spark.createDataFrame(filled, USER_SCHEMA)
+
+    return build
+
+
+def dicts(df):
+    return [row.asDict() for row in df.collect()]

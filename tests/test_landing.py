@@ -1,0 +1,151 @@
+from datetime import datetime
+
+import pytest
+
+from tallywright.sources.landing import (
+    LandingError,
+    accepted,
+    checked,
+    list_files,
+    matching,
+    read_files,
+    rejects,
+    require_clean,
+    with_stamp,
+)
+
+HEADER = "contribution_id,customer_id,amount,fee_total,transaction_count\n"
+
+
+@pytest.fixture
+def landing(tmp_path):
+    """Writes files below the landing root: put('2025-01-15', 'export_20250115_190002.csv', text)."""
+
+    def put(day, name, text, encoding="utf-8"):
+        year, month, number = day.split("-")
+        folder = tmp_path / "new_contributions" / f"year={year}" / f"month={month}" / f"day={number}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text, encoding=encoding)
+
+    put.root = str(tmp_path)
+    return put
+
+
+def load(spark, landing):
+    rows = checked(read_files(spark, list_files(spark, landing.root).collect()))
+    require_clean(rows)
+    return sorted(tuple(r)[:5] for r in accepted(rows).collect())
+
+
+@pytest.mark.parametrize(
+    ("key", "taken"),
+    [
+        ("new_contributions/year=2025/month=01/day=15/a_20250115_190002.csv", True),
+        ("new_contributions/year=2025/month=01/day=15/a.csv", True),
+        ("new_contributions/year=2025/month=01/day=15/a_20250115_190002.CSV", False),
+        ("new_contributions/year=25/month=01/day=15/a_20250115_190002.csv", False),
+        ("new_contributions/year=2025/month=01/day=15/part/a_20250115_190002.csv", False),
+        ("old/new_contributions/year=2025/month=01/day=15/a_20250115_190002.csv", False),
+        ("new_contributions/year=2025/month=01/day=15/a_20250115_190002.csv.gz", False),
+    ],
+)
+def test_key_layout(spark, key, taken):
+    assert matching(spark.createDataFrame([(key,)], "key string")).count() == taken
+
+
+@pytest.mark.parametrize(
+    ("name", "expected"),
+    [
+        ("x_20250115_190002.csv", datetime(2025, 1, 15, 19, 0, 2)),
+        ("x_20250115_190002_part_20260101_000000.csv", datetime(2025, 1, 15, 19, 0, 2)),
+        ("x_2025_190002.csv", None),
+        ("x.csv", None),
+    ],
+)
+def test_stamp(spark, name, expected):
+    assert with_stamp(spark.createDataFrame([(f"a_20000101_000000/{name}",)], "key string")).first()["file_ts"] == expected
+
+
+def test_impossible_stamp_is_an_error(spark):
+    with pytest.raises(Exception, match="20251315"):
+        with_stamp(spark.createDataFrame([("x_20251315_190002.csv",)], "key string")).collect()
+
+
+def test_byte_order_mark_quotes_and_column_order(spark, landing):
+    landing("2025-01-15", "a_20250115_190002.csv", HEADER + '1,"u,""a""",10.50, 0.50 ,+3\n\n', "utf-8-sig")
+    landing(
+        "2025-01-16",
+        "b_20250116_190002.csv",
+        "extra,transaction_count,fee_total,amount,customer_id,contribution_id\nx,1_000,1e-1,.5,u-b,2\n",
+    )
+    assert load(spark, landing) == [
+        (datetime(2025, 1, 15, 19, 0, 2), 'u,"a"', 10.5, 0.5, 3),
+        (datetime(2025, 1, 16, 19, 0, 2), "u-b", 0.5, 0.1, 1000),
+    ]
+
+
+def test_names_with_blanks(spark, landing):
+    landing("2025-01-15", "a b_20250115_190002.csv", HEADER + "1,u,1,1,1\n")
+    assert len(load(spark, landing)) == 1
+
+
+def test_prefix_narrows_the_listing(spark, landing):
+    landing("2025-01-15", "a_20250115_190002.csv", HEADER)
+    landing("2025-02-15", "a_20250215_190002.csv", HEADER)
+    assert list_files(spark, landing.root, "new_contributions/year=2025/month=02").count() == 1
+
+
+@pytest.mark.parametrize(
+    ("text", "missing"),
+    [
+        ("contribution_id,customer_id,amount\n1,u,1\n", r"\['fee_total', 'transaction_count'\]"),
+        ("", r"\['amount', 'contribution_id', 'customer_id', 'fee_total', 'transaction_count'\]"),
+    ],
+)
+def test_missing_columns_are_named(spark, landing, text, missing):
+    landing("2025-01-14", "a_20250114_190002.csv", HEADER + "1,u,1,1,1\n")
+    landing("2025-01-15", "a_20250115_190002.csv", text)
+    with pytest.raises(LandingError, match=f"day=15/a_20250115_190002.csv: missing columns: {missing}"):
+        load(spark, landing)
+
+
+def test_missing_stamp_is_an_error(spark, landing):
+    landing("2025-01-15", "a.csv", HEADER + "1,u,1,1,1\n")
+    with pytest.raises(LandingError, match="stamp"):
+        load(spark, landing)
+
+
+@pytest.mark.parametrize(
+    ("row", "problem"),
+    [
+        ("1,u,abc,1,1", "amount"),
+        ("1,u,,1,1", "amount"),
+        ("1,u,NaN,1,1", "amount"),
+        ("1,u,1d,1,1", "amount"),
+        ("1,u,1,1.2.3,1", "fee_total"),
+        ("1,u,1,1,1.5", "transaction_count"),
+        ("1,u,1,1,99999999999", "transaction_count"),
+        ("1,u,1,1", "transaction_count"),
+        ("1,,1,1,1", "customer_id"),
+        ('1,"",1,1,1', "customer_id"),
+    ],
+)
+def test_a_bad_row_fails_the_load(spark, landing, row, problem):
+    landing("2025-01-15", "a_20250115_190002.csv", HEADER + f"1,u,1,1,1\n{row}\n")
+    with pytest.raises(LandingError, match=rf"a_20250115_190002.csv: {problem} is .*\(1 bad rows"):
+        load(spark, landing)
+    rows = checked(read_files(spark, list_files(spark, landing.root).collect()))
+    assert rejects(rows).count() == 1
+
+
+def test_lines_keep_their_order_in_split_files(spark, landing):
+    landing("2025-01-15", "a_20250115_190002.csv", HEADER + "".join(f"1,u,{i},1,1\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        rows = checked(read_files(spark, list_files(spark, landing.root).collect()))
+        ordered = accepted(rows).orderBy("file_ts", "file_path", "file_block", "line")
+        assert rows.rdd.getNumPartitions() > 1
+        assert [r["contribution"] for r in ordered.collect()] == [float(i) for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
