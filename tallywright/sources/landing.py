@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -44,18 +46,19 @@ def matching(files: DataFrame, prefix: str = PREFIX) -> DataFrame:
     return files.filter(F.col("key").startswith(prefix) & F.col("key").rlike(KEY_PATTERN))
 
 
-def _key(path: str) -> Column:
-    return F.regexp_extract(path, r"(?:^|/)(new_contributions/.*)$", 1).alias("key")
+def _key(path: str, root: str) -> Column:
+    """The part of `path` below the landing root, however the file system writes the root."""
+    below = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", root).strip("/")
+    return F.regexp_extract(path, f"/{re.escape(below)}/(.*)$", 1).alias("key")
 
 
-def inventory(files: DataFrame, prefix: str = PREFIX) -> DataFrame:
-    """Importable files of a binary-file listing: path, URI, size, key and time stamp.
+def inventory(files: DataFrame, root: str, prefix: str = PREFIX) -> DataFrame:
+    """Importable files of a binary-file listing of `root`: path, URI, size, key and time stamp.
 
-    The key is the part of the path below the landing root. File contents are not
-    read: only columns that the listing provides are selected.
+    File contents are not read: only columns that the listing provides are selected.
     """
     uri = F.col("_metadata.file_path").alias("file_path")
-    return with_stamp(matching(files.select("path", uri, "length", _key("path")), prefix))
+    return with_stamp(matching(files.select("path", uri, "length", _key("path", root)), prefix))
 
 
 def list_files(spark: SparkSession, root: str, prefix: str = PREFIX) -> DataFrame:
@@ -65,10 +68,10 @@ def list_files(spark: SparkSession, root: str, prefix: str = PREFIX) -> DataFram
     Scans leave such files out, so they are found by comparing with the names.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    found = inventory(listing, prefix)
-    names = spark.createDataFrame([(name,) for name in listing.inputFiles()], "file_path string")
-    named = matching(names.select("file_path", _key("file_path")), prefix)
-    empty = named.join(found, "file_path", "left_anti").agg(F.min("key")).first()[0]
+    found = inventory(listing, root, prefix)
+    names = spark.createDataFrame([(unquote(uri),) for uri in listing.inputFiles()], "path string")
+    named = matching(names.select(_key("path", root)), prefix)
+    empty = named.join(found, "key", "left_anti").agg(F.min("key")).first()[0]
     if empty is not None:
         raise LandingError(f"{empty}: missing columns: {sorted(LANDING_COLUMNS)}")
     return found

@@ -49,7 +49,7 @@ def import_new_files(
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return (
-        inventory(reader.load(landing_root), prefix)
+        inventory(reader.load(landing_root), landing_root, prefix)
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint_location)
         .trigger(availableNow=True)

@@ -89,6 +89,13 @@ def test_names_with_blanks(spark, landing):
     assert len(load(spark, landing)) == 1
 
 
+def test_keys_start_at_the_landing_root(spark, landing, tmp_path):
+    landing("2025-01-15", "a_20250115_190002.csv", HEADER + "1,u,1,1,1\n")
+    root = f"file://{tmp_path}/new_contributions/"
+    assert list_files(spark, root).count() == 0
+    assert list_files(spark, f"file://{tmp_path}/").count() == 1
+
+
 def test_prefix_narrows_the_listing(spark, landing):
     landing("2025-01-15", "a_20250115_190002.csv", HEADER)
     landing("2025-02-15", "a_20250215_190002.csv", HEADER)
