@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Doubles are summed as decimals, so a sum depends neither on row order nor on
-# how the rows were spread over tasks.
-EXACT = T.DecimalType(28, 8)
 MONEY = T.DecimalType(18, 2)
 WHOLE = T.DecimalType(18, 0)
 COUNT = T.DecimalType(20, 0)
 
+# Amounts are summed in millionths. Below this total the millionths of a sum
+# still fit a double exactly.
+MICRO = 1_000_000
+_EXACT_BELOW = 2**53 // MICRO
 
-def exact_sum(amount: Column | str) -> Column:
-    amount = F.col(amount) if isinstance(amount, str) else amount
-    return F.sum(amount.cast(EXACT))
 
+def exact_sum(amount: Column | str, window: WindowSpec | None = None) -> Column:
+    """Sum of doubles, each taken to six decimals, as the double nearest to it.
 
-def exact_mean(total: Column | str) -> Column:
-    """Mean of already summed (decimal) amounts, as a double."""
-    return F.sum(total).cast("double") / F.nullif(F.count(total), F.lit(0))
+    Whole units and millionths are summed apart as integers. The result depends
+    neither on row order nor on how the rows were spread over tasks, and unlike a
+    decimal sum it stays in primitive arithmetic. Each integer sum holds for more
+    than 9e12 rows; an overflow is an error, never a wrong total.
+    """
+    amount = F.col(amount) if isinstance(amount, str) else amount
+    floor = F.floor(amount)
+    whole, micro = F.sum(floor), F.sum(F.rint((amount - floor) * MICRO).cast("long"))
+    if window is not None:
+        whole, micro = whole.over(window), micro.over(window)
+    units = whole + F.call_function("div", micro, F.lit(MICRO))
+    rest = micro % MICRO
+    return F.when(F.abs(units) < _EXACT_BELOW, (units * MICRO + rest) / MICRO).otherwise(units + rest / MICRO)
+
+
+def exact_mean(amount: Column | str) -> Column:
+    """Mean of doubles over the exact sum; NULLs left out."""
+    return exact_sum(amount) / F.nullif(F.count(amount), F.lit(0))
 
 
 def round_half_even(value: Column, places: int = 2) -> Column:

@@ -43,7 +43,7 @@ def daily_stats(per_user_day: DataFrame) -> DataFrame:
     """Users, sums and fee per user for every day of `user_days`."""
     stats = per_user_day.groupBy("day").agg(
         F.count(F.lit(1)).alias("daily_users"),
-        F.sum("contribution").alias("daily_contributions"),
-        F.sum("fee").alias("daily_fees"),
+        exact_sum("contribution").alias("daily_contributions"),
+        exact_sum("fee").alias("daily_fees"),
     )
-    return stats.withColumn("daily_arpu", F.col("daily_fees").cast("double") / F.col("daily_users"))
+    return stats.withColumn("daily_arpu", F.col("daily_fees") / F.col("daily_users"))

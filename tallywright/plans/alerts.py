@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.functions.amounts import exact_sum
 from tallywright.functions.clock import utc_day
 from tallywright.functions.derived import with_full_name
 from tallywright.operators.rollups import user_utc_days
@@ -35,7 +36,7 @@ def anniversary_totals_over(
         user_utc_days(contributions)
         .join(members, F.col("user_id") == F.col("id"))
         .groupBy("user_id", "full_name", "date_joined", year.alias("year"))
-        .agg(F.sum("contribution").cast("double").alias("total_contribution"))
+        .agg(exact_sum("contribution").alias("total_contribution"))
         .filter(F.col("total_contribution") > threshold)
         .select(
             "user_id",

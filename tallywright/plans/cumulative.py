@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.functions.amounts import EXACT, MONEY, WHOLE, exact_sum
+from tallywright.functions.amounts import MONEY, WHOLE, exact_sum
 from tallywright.functions.clock import LOCAL_ZONE, local_day, utc_day
 from tallywright.functions.derived import with_full_name
 from tallywright.operators.rollups import user_totals
 
 # Balances from before the first stored day.
-OPENING_CONTRIBUTIONS = Decimal("1872.61")
-OPENING_FEES = Decimal("187.26")
+OPENING_CONTRIBUTIONS = 1872.61
+OPENING_FEES = 187.26
 OPENING_TRANSACTIONS = 3937
 
 
@@ -44,8 +42,8 @@ def daily_cumulative(
     contributions: DataFrame,
     *,
     tz: str = LOCAL_ZONE,
-    opening_contributions: Decimal = OPENING_CONTRIBUTIONS,
-    opening_fees: Decimal = OPENING_FEES,
+    opening_contributions: float = OPENING_CONTRIBUTIONS,
+    opening_fees: float = OPENING_FEES,
     opening_transactions: int = OPENING_TRANSACTIONS,
 ) -> DataFrame:
     """Sums per local day with their running totals, with and without opening balances.
@@ -68,17 +66,17 @@ def daily_cumulative(
     )
     so_far = Window.orderBy(F.asc_nulls_first("date")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     series = [
-        ("contributions", F.lit(opening_contributions).cast(EXACT), MONEY),
-        ("fees", F.lit(opening_fees).cast(EXACT), MONEY),
-        ("transactions", F.lit(opening_transactions), WHOLE),
+        ("contributions", exact_sum("contributions", so_far), opening_contributions, MONEY),
+        ("fees", exact_sum("fees", so_far), opening_fees, MONEY),
+        ("transactions", F.sum("transactions").over(so_far), opening_transactions, WHOLE),
     ]
-    running = daily.select("*", *[F.sum(name).over(so_far).alias(f"running_{name}") for name, _, _ in series])
+    running = daily.select("*", *[total.alias(f"running_{name}") for name, total, _, _ in series])
     return running.select(
         "date",
-        *[F.col(name).cast(kind).alias(f"daily_{name}") for name, _, kind in series],
+        *[F.col(name).cast(kind).alias(f"daily_{name}") for name, _, _, kind in series],
         *[
             column
-            for name, opening, kind in series
+            for name, _, opening, kind in series
             for column in (
                 F.col(f"running_{name}").cast(kind).alias(f"cumulative_{name}"),
                 (F.col(f"running_{name}") + opening).cast(kind).alias(f"adj_cumulative_{name}"),

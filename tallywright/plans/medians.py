@@ -26,8 +26,8 @@ def medians(
     active = user_totals(contributions).filter(F.datediff(today, utc_day("last_timestamp")) <= active_days)
     joined = users.select("id", "date_joined").join(active, F.col("id") == F.col("user_id"))
 
-    contributed = F.coalesce(F.col("total_contributions").cast("double"), F.lit(0.0))
-    paid = F.coalesce(F.col("total_fees").cast("double"), F.lit(0.0))
+    contributed = F.coalesce("total_contributions", F.lit(0.0))
+    paid = F.coalesce("total_fees", F.lit(0.0))
     days = F.datediff(today, F.col("date_joined"))
 
     def share(part: Column, whole: Column) -> Column:

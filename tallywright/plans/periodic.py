@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions.amounts import count_ratio, exact_mean, round_half_even, round_half_up
+from tallywright.functions.amounts import count_ratio, exact_mean, exact_sum, round_half_up
 from tallywright.functions.clock import LOCAL_ZONE, Period, local_today, reporting_periods
 from tallywright.operators.rollups import daily_stats, user_days
 
+SINGLE_DAYS = ("today", "yesterday")
+
 
 def period_totals(
     contributions: DataFrame, *, as_of: date | None = None, tz: str = LOCAL_ZONE
 ) -> DataFrame:
     """One row per period: distinct users, sums, and means over the days with data."""
     per_user_day = user_days(contributions, tz)
-    periods = reporting_periods(local_today(as_of, tz))
-    return _period_totals(per_user_day, daily_stats(per_user_day), periods)
+    return _period_totals(per_user_day, daily_stats(per_user_day), reporting_periods(as_of or local_today(tz)))
 
 
 def _period_totals(per_user_day: DataFrame, daily: DataFrame, periods: list[Period]) -> DataFrame:
@@ -30,43 +30,30 @@ def _period_totals(per_user_day: DataFrame, daily: DataFrame, periods: list[Peri
     The whole-history sums are taken in that branch too: it then needs the same
     columns as the daily one and Spark reuses the exchange.
     """
-    day = F.col("day")
-    flags = per_user_day.groupBy("user_id").agg(
-        *[F.max(p.holds(day)).alias(p.name) for p in periods],
-        F.sum("contribution").alias("contribution"),
-        F.sum("fee").alias("fee"),
-    )
-    reach = flags.agg(
-        *[F.count_if(p.name).alias(p.name) for p in periods],
-        F.sum("contribution").alias("contribution"),
-        F.sum("fee").alias("fee"),
-    )
-    no_day, no_sum = F.lit(None).cast("date"), F.lit(None).cast("decimal(38,8)")
-
-    def reach_row(p: Period) -> Column:
-        whole = p.start is None
-        return F.struct(
-            F.lit(p.name).alias("period"),
-            (no_day if whole else p.start).alias("period_start"),
-            (no_day if whole else p.end).alias("period_end"),
-            (no_day if whole else p.elapsed_to).alias("elapsed_to"),
-            F.col(p.name).alias("users"),
-            (F.col("contribution") if whole else no_sum).alias("all_contributions"),
-            (F.col("fee") if whole else no_sum).alias("all_fees"),
-        )
+    sums = [exact_sum(name).alias(name) for name in ("contribution", "fee")]
+    flags = per_user_day.groupBy("user_id").agg(*[F.expr(f"max({p.holds('day')}) AS {p.name}") for p in periods], *sums)
+    reach = flags.agg(*[F.expr(f"count_if({p.name}) AS {p.name}") for p in periods], *sums)
 
-    reach = reach.select(F.inline(F.array(*[reach_row(p) for p in periods])))
+    def day(value: date | None) -> str:
+        return "CAST(NULL AS DATE)" if value is None else f"DATE'{value}'"
 
-    names = F.filter(
-        F.array(*[F.when(p.holds(day), F.lit(p.name)) for p in periods]), lambda name: name.isNotNull()
-    )
+    rows = [
+        f"named_struct('position', {i}, 'period', '{p.name}', 'period_start', {day(p.start)}, "
+        f"'period_end', {day(p.end)}, 'elapsed_to', {day(p.elapsed_to)}, 'users', {p.name}, "
+        f"'all_contributions', {'contribution' if p.start is None else 'CAST(NULL AS DOUBLE)'}, "
+        f"'all_fees', {'fee' if p.start is None else 'CAST(NULL AS DOUBLE)'})"
+        for i, p in enumerate(periods)
+    ]
+    reach = reach.selectExpr(f"inline(array({', '.join(rows)}))")
+
+    names = ", ".join(f"IF({p.holds('day')}, '{p.name}', NULL)" for p in periods)
     # At most one row per period: small enough to broadcast by construction.
     by_period = (
-        daily.withColumn("period", F.explode(names))
+        daily.selectExpr("*", f"explode(array_compact(array({names}))) AS period")
         .groupBy("period")
         .agg(
-            F.sum("daily_contributions").alias("contributions"),
-            F.sum("daily_fees").alias("fees"),
+            exact_sum("daily_contributions").alias("contributions"),
+            exact_sum("daily_fees").alias("fees"),
             F.count(F.lit(1)).alias("days_with_data"),
             F.sum("daily_users").alias("sum_daily_users"),
             exact_mean("daily_contributions").alias("avg_daily_contributions"),
@@ -77,13 +64,14 @@ def _period_totals(per_user_day: DataFrame, daily: DataFrame, periods: list[Peri
         )
     )
     return reach.join(F.broadcast(by_period), "period", "left").select(
+        "position",
         "period",
         "period_start",
         "period_end",
         "elapsed_to",
         "users",
-        F.coalesce("all_contributions", "contributions").cast("double").alias("contributions"),
-        F.coalesce("all_fees", "fees").cast("double").alias("fees"),
+        F.coalesce("all_contributions", "contributions").alias("contributions"),
+        F.coalesce("all_fees", "fees").alias("fees"),
         F.coalesce("days_with_data", F.lit(0)).alias("days_with_data"),
         count_ratio(F.col("sum_daily_users"), F.col("days_with_data")).alias("avg_daily_users"),
         "avg_daily_contributions",
@@ -100,27 +88,31 @@ def daily_maxima(contributions: DataFrame, *, tz: str = LOCAL_ZONE) -> DataFrame
 
 
 def _daily_maxima(daily: DataFrame) -> DataFrame:
-    best = {
-        "users": F.col("daily_users"),
-        "contributions": F.col("daily_contributions"),
-        "fees": F.col("daily_fees"),
-        "arpu": F.col("daily_arpu"),
-    }
-    tops = daily.agg(*[F.max(F.struct(value.alias("value"), F.col("day"))).alias(name) for name, value in best.items()])
-    return tops.select(
-        F.col("users.value").alias("max_users_value"),
-        F.col("users.day").alias("max_users_date"),
-        *[
-            column
-            for name in ("contributions", "fees", "arpu")
-            for column in (
-                F.col(f"{name}.value").cast("double").alias(f"max_{name}_value"),
-                F.col(f"{name}.day").alias(f"max_{name}_date"),
-            )
-        ],
+    names = ("users", "contributions", "fees", "arpu")
+    tops = daily.agg(*[F.expr(f"max(struct(daily_{n} AS value, day)) AS {n}") for n in names])
+    return tops.selectExpr(
+        *[part for n in names for part in (f"{n}.value AS max_{n}_value", f"{n}.day AS max_{n}_date")]
     )
 
 
+def _cents(value: str) -> str:
+    return f"rint(({value}) * 100) / 100"
+
+
+# Metric: its value on a single day, over a period, and the best day shown with it.
+_METRICS = {
+    "unique_users": ("day_users", "users", "users"),
+    "daily_avg_users": ("day_users", "avg_daily_users", None),
+    "contributions": (_cents("contributions"), _cents("contributions"), "contributions"),
+    "daily_avg_contributions": (_cents("contributions"), _cents("avg_daily_contributions"), None),
+    "fees": (_cents("fees"), _cents("fees"), "fees"),
+    "daily_avg_fees": (_cents("fees"), _cents("avg_daily_fees"), None),
+    "arpu": (_cents("arpu"), _cents("arpu"), "arpu"),
+    "daily_avg_arpu": (_cents("arpu"), _cents("avg_daily_arpu"), None),
+    "daily_average_user_arpu": (_cents("arpu"), _cents("arpu / elapsed_days"), None),
+}
+
+
 def periodic_stats(
     contributions: DataFrame, *, as_of: date | None = None, tz: str = LOCAL_ZONE
 ) -> DataFrame:
@@ -132,76 +124,44 @@ def periodic_stats(
     """
     per_user_day = user_days(contributions, tz)
     daily = daily_stats(per_user_day)
-    periods = reporting_periods(local_today(as_of, tz))
-    totals = _period_totals(per_user_day, daily, periods)
-
-    # One row per period, folded into a single row to be read side by side.
-    values = totals.select(
-        "period",
-        "users",
-        "contributions",
-        "fees",
-        "days_with_data",
-        "avg_daily_users",
-        "avg_daily_contributions",
-        "avg_daily_fees",
-        "avg_daily_arpu",
-        (F.col("fees") / F.nullif(F.col("users"), F.lit(0))).alias("arpu"),
-        (
-            F.datediff(
-                F.coalesce("elapsed_to", "last_day"), F.coalesce("period_start", "first_day")
-            )
-            + 1
-        ).alias("elapsed_days"),
-    )
-    fields = [F.col(c) for c in values.columns if c != "period"]
-    folded = values.agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("period"), F.struct(*fields)))).alias("p")
-    ).crossJoin(F.broadcast(_daily_maxima(daily)))
-
-    single_days = {"today", "yesterday"}
-
-    def metric(
-        name: str,
-        on_day: Callable[[Column], Column],
-        on_period: Callable[[Column], Column],
-        best: str | None = None,
-    ) -> Column:
-        cells = []
-        for period in periods:
-            v = F.col("p")[period.name]
-            cell = on_day(v) if period.name in single_days else on_period(v)
-            cells.append(cell.cast("double").alias(period.name))
-        if best is None:
-            value, day = F.lit(None), F.lit(None)
-        else:
-            value, day = F.col(f"max_{best}_value"), F.col(f"max_{best}_date")
-        if best not in (None, "users"):
-            value = round_half_even(value)
-        return F.struct(
-            F.lit(name).alias("metric"),
-            *cells,
-            value.cast("double").alias("max_users_value"),
-            day.cast("date").alias("max_users_date"),
+    periods = reporting_periods(as_of or local_today(tz))
+
+    on_day = ", ".join(f"CAST({day} AS DOUBLE)" for day, _, _ in _METRICS.values())
+    on_period = ", ".join(f"CAST({period} AS DOUBLE)" for _, period, _ in _METRICS.values())
+    single = ", ".join(f"'{name}'" for name in SINGLE_DAYS)
+    totals = (
+        _period_totals(per_user_day, daily, periods)
+        .withColumn("avg_daily_users", round_half_up(F.col("avg_daily_users"), 2))
+        .selectExpr(
+            "*",
+            "IF(days_with_data > 0, users, NULL) AS day_users",
+            "fees / nullif(users, 0) AS arpu",
+            "datediff(coalesce(elapsed_to, last_day), coalesce(period_start, first_day)) + 1 AS elapsed_days",
         )
+        .selectExpr("position", f"IF(period IN ({single}), array({on_day}), array({on_period})) AS metrics")
+    )
 
-    def cents(field: str) -> Callable[[Column], Column]:
-        return lambda v: round_half_even(v[field])
-
-    def day_users(v: Column) -> Column:
-        return F.when(v["days_with_data"] > 0, v["users"])
-
-    rows = [
-        metric("unique_users", day_users, lambda v: v["users"], "users"),
-        metric("daily_avg_users", day_users, lambda v: round_half_up(v["avg_daily_users"], 2)),
-        metric("contributions", cents("contributions"), cents("contributions"), "contributions"),
-        metric("daily_avg_contributions", cents("contributions"), cents("avg_daily_contributions")),
-        metric("fees", cents("fees"), cents("fees"), "fees"),
-        metric("daily_avg_fees", cents("fees"), cents("avg_daily_fees")),
-        metric("arpu", cents("arpu"), cents("arpu"), "arpu"),
-        metric("daily_avg_arpu", cents("arpu"), cents("avg_daily_arpu")),
-        metric(
-            "daily_average_user_arpu", cents("arpu"), lambda v: round_half_even(v["arpu"] / v["elapsed_days"])
-        ),
+    # Nine rows, one per period, turned into nine rows, one per metric.
+    tops = _daily_maxima(daily)
+    shown = [best for _, _, best in _METRICS.values()]
+    values = [
+        "NULL" if best is None else f"max_{best}_value" if best == "users" else _cents(f"max_{best}_value")
+        for best in shown
     ]
-    return folded.select(F.inline(F.array(*rows)))
+    days = ["CAST(NULL AS DATE)" if best is None else f"max_{best}_date" for best in shown]
+    best = tops.selectExpr(
+        f"array({', '.join(f'CAST({v} AS DOUBLE)' for v in values)}) AS best_values",
+        f"array({', '.join(days)}) AS best_days",
+    )
+    names = ", ".join(f"'{metric}'" for metric in _METRICS)
+    return (
+        totals.agg(F.expr("array_sort(collect_list(struct(position, metrics))).metrics AS cells"))
+        .crossJoin(F.broadcast(best))
+        .selectExpr("*", f"posexplode(array({names})) AS (m, metric)")
+        .selectExpr(
+            "metric",
+            *[f"cells[{i}][m] AS {p.name}" for i, p in enumerate(periods)],
+            "best_values[m] AS max_users_value",
+            "best_days[m] AS max_users_date",
+        )
+    )

@@ -33,8 +33,8 @@ def whales_minnows(
     today = session_today(as_of)
     totals = user_totals(contributions).select(
         "user_id",
-        F.col("total_fees").cast("double").alias("fee_sum"),
-        F.col("total_contributions").cast("double").alias("contribution_sum"),
+        F.col("total_fees").alias("fee_sum"),
+        F.col("total_contributions").alias("contribution_sum"),
         utc_day("last_timestamp").alias("last_contribution_date"),
     )
     joined = (

@@ -14,8 +14,21 @@ from tallywright.operators.first_wins import first_wins
 from tallywright.operators.user_dimension import backfill_dates
 
 
+# The schemas of the test tables, so that no file is opened to infer them.
+SCHEMAS = {
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _fee(amount: Column, user: Column) -> Column:
@@ -32,7 +45,7 @@ def event_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.col("user_id").cast("string").alias("user_id"),
         F.col("value").alias("contribution"),
         _fee(F.col("value"), F.col("user_id")).alias("fee"),
-        F.get_json_object("props", "$.k").cast("int").alias("transaction_count"),
+        F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("int").alias("transaction_count"),
         F.col("event_id").alias("arrival"),
     )
     return with_contribution_columns(rows)
