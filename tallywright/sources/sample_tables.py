@@ -51,9 +51,9 @@ def event_rows(spark: SparkSession, folder: str) -> DataFrame:
     return with_contribution_columns(rows)
 
 
-def order_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Every order as a contribution row, with its arrival order."""
-    orders = table(spark, folder, "orders")
+def order_rows(spark: SparkSession, folder: str, where: str = "true") -> DataFrame:
+    """Every order (or those that meet a condition) as a contribution row, with its arrival order."""
+    orders = table(spark, folder, "orders").filter(where)
     rows = orders.select(
         F.col("o_orderdate").alias("timestamp"),
         F.col("o_custkey").cast("string").alias("user_id"),
