@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,27 +16,28 @@ MICRO = 1_000_000
 _EXACT_BELOW = 2**53 // MICRO
 
 
-def exact_sum(amount: Column | str, window: WindowSpec | None = None) -> Column:
-    """Sum of doubles, each taken to six decimals, as the double nearest to it.
+def exact_sum(amount: str, over: str = "") -> Column:
+    """Sum of a column of doubles, each taken to six decimals, as the double nearest to it.
 
     Whole units and millionths are summed apart as integers. The result depends
     neither on row order nor on how the rows were spread over tasks, and unlike a
     decimal sum it stays in primitive arithmetic. Each integer sum holds for more
     than 9e12 rows; an overflow is an error, never a wrong total.
+
+    `over` is the SQL of a window clause.
     """
-    amount = F.col(amount) if isinstance(amount, str) else amount
-    floor = F.floor(amount)
-    whole, micro = F.sum(floor), F.sum(F.rint((amount - floor) * MICRO).cast("long"))
-    if window is not None:
-        whole, micro = whole.over(window), micro.over(window)
-    units = whole + F.call_function("div", micro, F.lit(MICRO))
-    rest = micro % MICRO
-    return F.when(F.abs(units) < _EXACT_BELOW, (units * MICRO + rest) / MICRO).otherwise(units + rest / MICRO)
-
-
-def exact_mean(amount: Column | str) -> Column:
-    """Mean of doubles over the exact sum; NULLs left out."""
-    return exact_sum(amount) / F.nullif(F.count(amount), F.lit(0))
+    whole = f"sum(floor({amount})) {over}"
+    micro = f"sum(CAST(rint(({amount} - floor({amount})) * {MICRO}) AS BIGINT)) {over}"
+    units, rest = f"({whole} + {micro} DIV {MICRO})", f"({micro} % {MICRO})"
+    return F.expr(
+        f"CASE WHEN abs({units}) < {_EXACT_BELOW} THEN ({units} * {MICRO} + {rest}) / {MICRO}"
+        f" ELSE {units} + {rest} / {MICRO} END"
+    )
+
+
+def exact_mean(amount: str) -> Column:
+    """Mean of a column of doubles over the exact sum; NULLs left out."""
+    return exact_sum(amount) / F.expr(f"nullif(count({amount}), 0)")
 
 
 def round_half_even(value: Column, places: int = 2) -> Column:

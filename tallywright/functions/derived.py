@@ -21,8 +21,8 @@ def with_contribution_columns(contributions: DataFrame) -> DataFrame:
     """Total with fee, fee percentage (NULL on a zero contribution), UTC day."""
     return contributions.withColumns(
         {
-            "total_with_fee": F.col("contribution") + F.col("fee"),
-            "fee_percentage": F.col("fee") / F.nullif(F.col("contribution"), F.lit(0.0)) * 100,
+            "total_with_fee": F.expr("contribution + fee"),
+            "fee_percentage": F.expr("fee / nullif(contribution, 0) * 100"),
             "contrib_date": utc_day("timestamp"),
         }
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.amounts import MONEY, WHOLE, exact_sum
@@ -64,11 +64,11 @@ def daily_cumulative(
             F.sum("transactions").alias("transactions"),
         )
     )
-    so_far = Window.orderBy(F.asc_nulls_first("date")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = "OVER (ORDER BY date NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     series = [
         ("contributions", exact_sum("contributions", so_far), opening_contributions, MONEY),
         ("fees", exact_sum("fees", so_far), opening_fees, MONEY),
-        ("transactions", F.sum("transactions").over(so_far), opening_transactions, WHOLE),
+        ("transactions", F.expr(f"sum(transactions) {so_far}"), opening_transactions, WHOLE),
     ]
     running = daily.select("*", *[total.alias(f"running_{name}") for name, total, _, _ in series])
     return running.select(

@@ -6,8 +6,7 @@ years of sparse history.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.functions.derived import with_contribution_columns
 from tallywright.operators.first_wins import first_wins
@@ -31,36 +30,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _fee(amount: Column, user: Column) -> Column:
+def _fee(amount: str, user: str) -> str:
     """A fee in whole cents, 1 to 7 percent depending on the user."""
-    cents = F.round(amount * 100).cast("long") * (1 + user % 7)
-    return F.floor(cents / 100) / 100.0
+    return f"CAST(round({amount} * 100) AS BIGINT) * (1 + {user} % 7) DIV 100 / 100.0D"
 
 
 def event_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Every event as a contribution row, with its arrival order."""
-    events = table(spark, folder, "events")
-    rows = events.select(
-        F.col("ts").alias("timestamp"),
-        F.col("user_id").cast("string").alias("user_id"),
-        F.col("value").alias("contribution"),
-        _fee(F.col("value"), F.col("user_id")).alias("fee"),
-        F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("int").alias("transaction_count"),
-        F.col("event_id").alias("arrival"),
+    rows = table(spark, folder, "events").selectExpr(
+        "ts AS timestamp",
+        "CAST(user_id AS STRING) AS user_id",
+        "value AS contribution",
+        f"{_fee('value', 'user_id')} AS fee",
+        r"""CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) AS transaction_count""",
+        "event_id AS arrival",
     )
     return with_contribution_columns(rows)
 
 
 def order_rows(spark: SparkSession, folder: str, where: str = "true") -> DataFrame:
     """Every order (or those that meet a condition) as a contribution row, with its arrival order."""
-    orders = table(spark, folder, "orders").filter(where)
-    rows = orders.select(
-        F.col("o_orderdate").alias("timestamp"),
-        F.col("o_custkey").cast("string").alias("user_id"),
-        F.col("o_totalprice").alias("contribution"),
-        _fee(F.col("o_totalprice"), F.col("o_custkey")).alias("fee"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("transaction_count"),
-        F.col("o_orderkey").alias("arrival"),
+    rows = table(spark, folder, "orders").filter(where).selectExpr(
+        "o_orderdate AS timestamp",
+        "CAST(o_custkey AS STRING) AS user_id",
+        "o_totalprice AS contribution",
+        f"{_fee('o_totalprice', 'o_custkey')} AS fee",
+        "CAST(left(o_orderpriority, 1) AS INT) AS transaction_count",
+        "o_orderkey AS arrival",
     )
     return with_contribution_columns(rows)
 
@@ -79,12 +75,12 @@ def order_contributions(spark: SparkSession, folder: str) -> DataFrame:
 
 def bare_customers(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as users that have no dates yet."""
-    return table(spark, folder, "customer").select(
-        F.col("c_custkey").cast("string").alias("id"),
-        F.col("c_name").alias("first_name"),
-        F.col("c_mktsegment").alias("last_name"),
-        F.lit(None).cast("date").alias("date_joined"),
-        F.lit(None).cast("timestamp_ntz").alias("last_contrib"),
+    return table(spark, folder, "customer").selectExpr(
+        "CAST(c_custkey AS STRING) AS id",
+        "c_name AS first_name",
+        "c_mktsegment AS last_name",
+        "CAST(NULL AS DATE) AS date_joined",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS last_contrib",
     )
 
 
