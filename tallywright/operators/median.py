@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A quantile summary of this accuracy brackets the median; the slack covers its
@@ -16,61 +16,46 @@ SLACK = 3.0 / ACCURACY
 def exact_medians(values: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with the exact median of every column (NULLs left out).
 
-    A mergeable quantile summary brackets the middle ranks, a count of the rows
-    below the bracket turns them into ranks inside it, and only the values
-    inside (about 2 * SLACK of all) are ordered, after equal ones were merged.
-    Should a bracket miss, all distinct values of that column are ordered
-    instead, so the result is always exact.
+    A mergeable quantile summary brackets the middle ranks. A second pass keeps
+    the values inside the bracket (about 2 * SLACK of all), equal ones merged, and
+    folds all others into one count below and one above, so that a running count
+    over few rows gives true ranks.
 
-    Both broadcasts hold one row per column.
+    Should a bracket miss the middle, all distinct values of that column are
+    ordered instead, so the result is always exact. When none does, adaptive
+    execution drops that pass, because its broadcast side is empty.
+
+    All broadcasts hold at most one row per column.
     """
-    long = values.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-        ).alias("entry")
-    ).select("entry.*")
-    long = long.filter(F.col("value").isNotNull())
+    entries = ", ".join(f"struct('{c}' AS column, CAST({c} AS DOUBLE) AS value)" for c in columns)
+    long = values.selectExpr(f"inline(array({entries}))").filter("value IS NOT NULL")
 
     brackets = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("value", [0.5 - SLACK, 0.5 + SLACK], ACCURACY).alias("bracket"),
-    )
-    lower, upper = F.col("bracket")[0], F.col("bracket")[1]
-    located = (
-        long.join(F.broadcast(brackets), "column")
-        .groupBy("column", "n", "bracket")
-        .agg(F.count_if(F.col("value") < lower).alias("below"), F.count_if(F.col("value") <= upper).alias("through"))
+        F.expr("count(1) AS n"),
+        F.expr(f"percentile_approx(value, array({0.5 - SLACK}D, {0.5 + SLACK}D), {ACCURACY}) AS bracket"),
     )
-    low_rank, high_rank = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
-    hit = (F.col("below") < low_rank) & (F.col("through") >= high_rank)
-    located = located.select(
-        "column",
-        low_rank.alias("low_rank"),
-        high_rank.alias("high_rank"),
-        F.when(hit, lower).alias("lower"),
-        F.when(hit, upper).alias("upper"),
-        F.when(hit, F.col("below")).otherwise(0).alias("below"),
+    zones = long.join(F.broadcast(brackets), "column").selectExpr(
+        "column", "n", "value", "CASE WHEN value < bracket[0] THEN -1 WHEN value <= bracket[1] THEN 0 ELSE 1 END AS zone"
     )
+    bracketed = _middle(zones.selectExpr("column", "n", "zone", "IF(zone = 0, value, NULL) AS value"))
+    found = bracketed.filter("low IS NOT NULL AND high IS NOT NULL")
 
-    inside = F.col("lower").isNull() | F.col("value").between(F.col("lower"), F.col("upper"))
-    candidates = (
-        long.join(F.broadcast(located), "column")
-        .filter(inside)
-        .groupBy("column", "low_rank", "high_rank", "below", "value")
-        .agg(F.count(F.lit(1)).alias("copies"))
+    missed = bracketed.filter("low IS NULL OR high IS NULL").select("column", "n")
+    ordered = _middle(long.join(F.broadcast(missed), "column").selectExpr("column", "n", "0 AS zone", "value"))
+    return found.unionByName(ordered).agg(
+        *[F.expr(f"max(IF(column = '{c}', (low + high) / 2, NULL)) AS {c}") for c in columns]
     )
-    running = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last_rank = F.col("below") + F.sum("copies").over(running)
-    ranked = candidates.withColumn("last_rank", last_rank).withColumn(
-        "first_rank", F.col("last_rank") - F.col("copies") + 1
+
+
+def _middle(entries: DataFrame) -> DataFrame:
+    """Per column the values at the two middle ranks; NULL where they are not inside zone 0."""
+    counts = entries.groupBy("column", "n", "zone", "value").agg(F.expr("count(1) AS copies"))
+    ranked = counts.selectExpr(
+        "*", "sum(copies) OVER (PARTITION BY column ORDER BY zone, value ROWS UNBOUNDED PRECEDING) AS last_rank"
     )
 
-    def at(column: str, rank: str):
-        return F.max(
-            F.when(
-                (F.col("column") == column) & F.col(rank).between(F.col("first_rank"), F.col("last_rank")),
-                F.col("value"),
-            )
-        )
+    def at(rank: str, name: str):
+        inside = f"zone = 0 AND {rank} BETWEEN last_rank - copies + 1 AND last_rank"
+        return F.expr(f"max(IF({inside}, value, NULL)) AS {name}")
 
-    return ranked.agg(*[((at(c, "low_rank") + at(c, "high_rank")) / 2).alias(c) for c in columns])
+    return ranked.groupBy("column", "n").agg(at("(n + 1) DIV 2", "low"), at("(n + 2) DIV 2", "high"))
