@@ -35,7 +35,7 @@ def cohort_retention(
     share = round_half_up(count_ratio(F.col("active_users"), F.col("cohort_size")), QUOTIENT_SCALE)
     result = active.join(F.broadcast(sizes), "cohort").select(
         F.date_format("cohort", "yyyy-MM").alias("cohort_month"),
-        F.timestamp_diff("MONTH", F.col("cohort"), F.col("month")).cast("long").alias("months_since_join"),
+        F.expr("CAST(12 * (year(month) - year(cohort)) + month(month) - month(cohort) AS BIGINT) AS months_since_join"),
         "active_users",
         "cohort_size",
         round_half_up(share * 100, 1).cast("decimal(10,1)").alias("pct_retained"),
