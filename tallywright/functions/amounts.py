@@ -22,7 +22,7 @@ def exact_sum(amount: str, over: str = "") -> Column:
     Whole units and millionths are summed apart as integers. The result depends
     neither on row order nor on how the rows were spread over tasks, and unlike a
     decimal sum it stays in primitive arithmetic. Each integer sum holds for more
-    than 9e12 rows; an overflow is an error, never a wrong total.
+    than 9e12 rows; beyond, Spark's default (ANSI) arithmetic raises an error.
 
     `over` is the SQL of a window clause.
     """

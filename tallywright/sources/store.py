@@ -83,19 +83,24 @@ class ContributionStore:
     def load_rows(self, rows: DataFrame, order: Sequence[Column | str]) -> None:
         """Adds contribution rows; per user and UTC day the first in `order` wins, stored rows before all.
 
-        Historic rows come in this way, with any order columns.
+        Historic rows come in this way, with any order columns. Rows without a
+        time have no day to share, so all of them are kept.
         """
         days = {row[0] for row in rows.select(utc_day("timestamp")).distinct().collect()}
         self._load(rows, order, days)
 
-    def _load(self, rows: DataFrame, order: Sequence[Column | str], days: set[date]) -> None:
+    def _load(self, rows: DataFrame, order: Sequence[Column | str], days: set[date | None]) -> None:
         # `days` has one entry per calendar day of the load; only those
         # partitions of the stored table are compared with.
         rows = with_contribution_columns(rows)
-        stored = self.contributions().filter(F.col("contrib_date").isin(list(days)))
+        stored = self.contributions().filter(F.col("contrib_date").isin([d for d in days if d is not None]))
+        winners = first_wins(rows.filter("contrib_date IS NOT NULL"), order)
+        fresh = not_stored(winners, stored)
+        if None in days:
+            fresh = fresh.unionByName(rows.filter("contrib_date IS NULL"))
         now = F.current_timestamp()
         audit = {"contributions_created": now, "contributions_modified": now}
-        inserted = not_stored(first_wins(rows, order), stored).select(
+        inserted = fresh.select(
             *[audit.get(name, F.col(name)).alias(name) for name in CONTRIBUTIONS.names]
         )
         inserted = cut_lineage(inserted)

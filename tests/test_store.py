@@ -105,6 +105,15 @@ def test_historic_rows_and_backfill(store, contributions):
     }
 
 
+def test_rows_without_a_time_are_all_kept(store, contributions):
+    columns = ["timestamp", "user_id", "contribution", "fee", "transaction_count"]
+    rows = contributions((None, "a", 1.0), (None, "a", 2.0), ("2024-06-03 19:00:00", "a", 3.0))
+    store.load_rows(rows.select(columns), ["timestamp"])
+    assert sorted(r["contribution"] for r in store.contributions().collect()) == [1.0, 2.0, 3.0]
+    assert store.contributions().filter("contrib_date IS NULL").count() == 2
+    assert members(store) == {"a": (date(2024, 6, 3), datetime(2024, 6, 3))}
+
+
 def test_only_the_days_of_the_load_are_compared(store, contributions, spark):
     columns = ["timestamp", "user_id", "contribution", "fee", "transaction_count"]
     store.load_rows(contributions(("2024-06-03 19:00:00", "a"), ("2024-06-04 19:00:00", "a")).select(columns), ["timestamp"])
