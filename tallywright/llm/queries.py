@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import kd_shards as kd
-from tallywright.llm import warc
+from tallywright.llm import subspace_join, warc
 from tallywright.llm.common import table
 
 SHARDS = 40
@@ -18,6 +18,10 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.record_table(warc.archive_round_trip(table(spark, folder, "pages")))
 
 
+def op4_subspace_join(spark: SparkSession, folder: str) -> DataFrame:
+    return subspace_join.linked_vectors(table(spark, folder, "embeddings"), threshold=0.98)
+
+
 def op7_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     return kd.kd_shards(table(spark, folder, "documents"), shards=SHARDS).select(
         "doc_id",
@@ -32,6 +36,7 @@ def op7_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op4_subspace_join": op4_subspace_join,
     "op7_kd_shards": op7_kd_shards,
 }
 
@@ -49,6 +54,28 @@ SELECT p.page_id, p.bytes AS payload_bytes, sha1(p.body) AS payload_digest,
 FROM pages_ p LEFT JOIN firsts f USING (body)
 """
 
+_LINKED = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+   AND list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.98
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e
+JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) c ON c.a = e.vec_id
+LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) n ON n.a = e.vec_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_subspace_join": _LINKED,
     "op2_warc": _WARC,
 }
