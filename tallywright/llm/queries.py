@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import kd_shards as kd
-from tallywright.llm import subspace_join, warc
+from tallywright.llm import cross_parsing, subspace_join, warc
 from tallywright.llm.common import table
 
 SHARDS = 40
@@ -22,6 +22,18 @@ def op4_subspace_join(spark: SparkSession, folder: str) -> DataFrame:
     return subspace_join.linked_vectors(table(spark, folder, "embeddings"), threshold=0.98)
 
 
+def _remainder(divisor: int) -> Column:
+    """crc32 of the id as text, by which rows are held out from learning; a null id counts as an empty one."""
+    return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % divisor
+
+
+def op5_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    learn = docs.filter(_remainder(4) != 2)
+    found = cross_parsing.identify(docs.select("doc_id", "text"), learn)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     return kd.kd_shards(table(spark, folder, "documents"), shards=SHARDS).select(
         "doc_id",
@@ -37,6 +49,7 @@ def op7_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_subspace_join": op4_subspace_join,
+    "op5_cross_parsing": op5_cross_parsing,
     "op7_kd_shards": op7_kd_shards,
 }
 

@@ -55,17 +55,18 @@ def records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: s
 
     `refers_to` is the largest key among equal payloads of SMALLEST_REVISIT bytes or more
     where that is another key, else null. Rows that repeat a whole page are all responses.
-    Only digests that occur more than once are joined back; payloads are not shuffled unless
-    those are too many to broadcast. A null key never is the response of other pages.
+    Only digests that occur more than once are joined back, from a stored table, so that the
+    planner knows its size: payloads are shuffled only where it is too large to broadcast. A null key never is the response of other pages.
     """
     plain = pages.select(F.col(key).alias("key"), F.col(uri).alias("uri"), F.col(payload).alias("html"))
     found = with_digest(plain, "html").drop("html")
-    repeated = (
+    repeated = stored(
         found.filter(F.col("payload_bytes") >= SMALLEST_REVISIT)
         .groupBy("payload_digest")
         .agg(F.max("key").alias("first_key"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .drop("n")
+        .drop("n"),
+        "repeated-payloads",
     )
     first = F.when(F.col("payload_bytes") >= SMALLEST_REVISIT, F.col("first_key"))
     return (
