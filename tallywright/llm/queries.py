@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import kd_shards as kd
-from tallywright.llm import cross_parsing, subspace_join, warc
+from tallywright.llm import cross_parsing, subspace_join, toxic_segments, warc
 from tallywright.llm.common import table
 
 SHARDS = 40
@@ -46,11 +46,30 @@ def op7_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """`docs` with their toxicity, learnt from the labelled documents of `folder` that are not held out."""
+    learn = table(spark, folder, "documents").filter(_remainder(3) != 1)
+    labels = table(spark, folder, "labels").filter(_remainder(3) != 1)
+    return toxic_segments.score_toxicity(docs, learn, labels)
+
+
+def op9_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity(spark, table(spark, folder, "documents").select("doc_id", "text"), folder)
+    return found.select(
+        "doc_id",
+        (_remainder(3) == 1).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        toxic_segments.toxic(F.col("toxicity")).alias("predicted"),
+        F.size("toxic_passages").cast("long").alias("n_passages"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_subspace_join": op4_subspace_join,
     "op5_cross_parsing": op5_cross_parsing,
     "op7_kd_shards": op7_kd_shards,
+    "op9_toxic_segments": op9_toxic_segments,
 }
 
 _WARC = """
