@@ -8,7 +8,7 @@ segments of a text: every passage that cannot be extended or cut without losing
 
 Scores become comparable across text lengths by the extreme-value law of such segments
 (expected number of equally good ones by chance: K n exp(-lambda S)), with lambda and K
-fitted to clean labelled documents; the evidence of a document's significant passages
+taken from clean labelled documents; the evidence of a document's significant passages
 adds up, and a logistic curve turns it into a probability.
 
 Learning takes at most about MAX_LABELLED labelled rows, three quarters for the tokens
@@ -32,9 +32,12 @@ from tallywright.llm.common import fresh_name
 MAX_LABELLED = 20_000
 MAX_UNITS = 50_000
 LEAST_DOCS = 5
+LEAST_FAR = 4.0  # standard deviations by which a unit's counts must be off
 PREFIX = 4
 PRIOR = 10.0
 TOLL = 0.5
+RATES = np.arange(1, 41) / 10
+ATOM = 1.0  # score from which segments count for K
 SIGNIFICANT = 0.05  # expected number of passages as good by chance
 
 _TOKEN = re.compile(r"\w+")
@@ -69,7 +72,7 @@ def count_units(rows: DataFrame, most: int, least_docs: int = LEAST_DOCS) -> tup
     share = (totals[0] or 0) / max(1, totals[1])
     # How far the counts are from what the totals let expect, in standard deviations.
     far = F.abs(F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1e-9)
-    found = counts.orderBy(F.desc(far), "unit").limit(most).collect()
+    found = counts.filter(far >= LEAST_FAR).orderBy(F.desc(far), "unit").limit(most).collect()
     return [(r.unit, r.t, r.n - r.t) for r in found], totals[0] or 0, (totals[1] or 0) - (totals[0] or 0)
 
 
@@ -107,6 +110,17 @@ class _Scores(dict):
         return self[word]
 
 
+def score_tokens(words: list[str], scores: _Scores) -> list[float]:
+    """Scores of a text's tokens; what speaks for toxicity counts by half the second time a word comes, a third the third."""
+    found = list(map(scores.__getitem__, words))
+    seen: dict[str, int] = {}
+    for at, score in enumerate(found):
+        if score > 0:
+            seen[words[at]] = times = seen.get(words[at], 0) + 1
+            found[at] = (score + scores.toll) / times - scores.toll
+    return found
+
+
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, end, score) of a sequence, in one linear scan."""
     found: list[list] = []  # first, end, sum before, sum after, nearest earlier one that starts lower
@@ -134,17 +148,28 @@ def _tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
-def fit_extremes(best: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
-    """lambda and log K of the extreme-value law, by moments of the best scores of clean texts."""
+def growth(scores: list[float]) -> list[float]:
+    """Sums of exp(rate * score) over a text, for each of RATES."""
+    return np.exp(np.outer(RATES, np.array(scores))).sum(axis=1).tolist()
+
+
+def fit_extremes(grown: np.ndarray, sizes: np.ndarray, segments: np.ndarray) -> tuple[float, float]:
+    """lambda and log K of the extreme-value law of ordinary text.
+
+    lambda is where the mean of exp(lambda * score) over tokens is one; K follows from the
+    number of segments of score ATOM or more. The texts that grow most by length, one in a
+    hundred, are left out: labels err.
+    """
     use = sizes > 0
-    if use.sum() < 2 or not np.ptp(best[use]):
+    grown, sizes, segments = grown[use], sizes[use], segments[use]
+    if not len(sizes):
         return 1.0, 0.0
-    x, logs = best[use], np.log(sizes[use])
-    rate = 1.0
-    for _ in range(50):  # the spread that is left once the growth with length is taken off
-        rest = x - logs / rate
-        rate = 0.5 * rate + 0.5 * math.pi / (math.sqrt(6) * max(1e-6, float(np.std(rest))))
-    return rate, rate * float(np.mean(x - logs / rate)) - 0.5772156649
+    means = grown[:, -1] / sizes
+    plain = means <= np.quantile(means, 0.99)
+    mean = grown[plain].sum(axis=0) / sizes[plain].sum()
+    rate = RATES[int(np.argmax(mean >= 1))] if (mean >= 1).any() else RATES[-1]
+    log_k = math.log((1 + segments[plain].sum()) / sizes[plain].sum()) + rate * ATOM
+    return float(rate), float(log_k)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -188,23 +213,26 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, r
         scores = _Scores(shared.value, TOLL)
         for batch in batches:
             rows = [_tokens(t) for t in batch.column("text").to_pylist()]
-            found = [maximal_segments([scores[w] for w in r]) for r in rows]
+            values = [score_tokens(r, scores) for r in rows]
+            found = [maximal_segments(v) for v in values]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("toxic"),
                     pa.array([len(r) for r in rows], pa.int64()),
                     pa.array([[s for *_, s in f] for f in found], pa.list_(pa.float64())),
+                    pa.array([growth(v) for v in values], pa.list_(pa.float64())),
                 ],
-                ["toxic", "size", "scores"],
+                ["toxic", "size", "scores", "grown"],
             )
 
     # At most a quarter of `rows` rows.
-    held = known.filter("mark % 4 = 0").select("toxic", "text").mapInArrow(best, "toxic int, size long, scores array<double>").collect()
+    held = known.filter("mark % 4 = 0").select("toxic", "text").mapInArrow(best, "toxic int, size long, scores array<double>, grown array<double>").collect()
     sizes = np.array([r.size for r in held], float)
     toxic = np.array([r.toxic for r in held], float)
-    top = np.array([max(r.scores, default=0.0) for r in held])
     if len(held):
-        model["rate"], model["log_k"] = fit_extremes(top[toxic == 0], sizes[toxic == 0])
+        grown = np.array([r.grown for r in held])
+        many = np.array([sum(s >= ATOM for s in r.scores) for r in held])
+        model["rate"], model["log_k"] = fit_extremes(grown[toxic == 0], sizes[toxic == 0], many[toxic == 0])
         x = np.array([_told(evidence([(0, 0, s) for s in r.scores], r.size, model["rate"], model["log_k"])[0]) for r in held])
         model["curve"] = fit_curve(x, toxic)
     return model
@@ -246,7 +274,7 @@ def score_toxicity(
             for item in batch.column(scored):
                 body = item.as_py()
                 words = _tokens(body)
-                nats, found = evidence(maximal_segments(list(map(scores.__getitem__, words))), len(words), m["rate"], m["log_k"])
+                nats, found = evidence(maximal_segments(score_tokens(words, scores)), len(words), m["rate"], m["log_k"])
                 values.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * _told(nats))))))
                 if found:
                     spans = [x.span() for x in _TOKEN.finditer(body.lower())]
