@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD_GAP = r"[^\p{L}\p{N}]+"
 
@@ -48,9 +49,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP), lambda w: w != "")
 
 
-def fresh_name(df: DataFrame, wanted: str) -> str:
-    """`wanted`, or with underscores before it until no column of `df` has that name."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = f"_{wanted}"
-    return wanted
+def extended(df: DataFrame, more: str) -> T.StructType:
+    """The schema of `df` with the columns of a DDL string behind it, all nullable."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema] + T.StructType.fromDDL(more).fields)
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """The position of a column, as the same name in another case may come twice in a batch."""
+    return df.columns.index(df.select(name).columns[0])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import fresh_name
+from tallywright.llm.common import extended, place_of
 
 SAMPLE_ROWS = 200
 SAMPLE_CHARS = 40_000
@@ -215,21 +215,17 @@ def identify(
     """
     model = docs.sparkSession.sparkContext.broadcast(learn_model(learning_pieces(learn, text, lang, key, sample_rows), sample_chars))
     rest = docs.drop("lang_pred", "score")
-    whole = fresh_name(rest, "whole_text")
-    columns = [c for c in rest.columns if c != text]
+    at = place_of(rest, text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, start, held = batch.column(whole).to_pylist(), 0, 0
+            texts, start, held = batch.column(at).to_pylist(), 0, 0
             for end in range(1, len(texts) + 1):
                 held += len(texts[end - 1] or "")
                 if held >= _SLICE_CHARS or end == len(texts):
                     langs, scores = predict_languages(model.value, texts[start:end])
-                    part = batch.slice(start, end - start).drop_columns([whole])
+                    part = batch.slice(start, end - start)
                     yield part.append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(scores))
                     start, held = end, 0
 
-    # The text goes to Python once and does not come back unless it is kept below.
-    passed = rest.select(*[F.col(f"`{c}`") for c in columns], F.col(text).alias(whole))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != text] + ["lang_pred string", "score double"])
-    return passed.mapInArrow(predict, schema)
+    return rest.mapInArrow(predict, extended(rest, "lang_pred string, score double"))

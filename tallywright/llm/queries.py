@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import kd_shards as kd
-from tallywright.llm import cross_parsing, subspace_join, toxic_segments, warc
+from tallywright.llm import cross_parsing, duckdb_bpe, subspace_join, toxic_segments, warc
 from tallywright.llm.common import table
 
 SHARDS = 40
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,6 +48,22 @@ def op7_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def token_ids(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """`docs` with token_ids and the bytes decoded from these."""
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    return duckdb_bpe.decode(duckdb_bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+
+
+def op8_duckdb_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    found = token_ids(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """`docs` with their toxicity, learnt from the labelled documents of `folder` that are not held out."""
     learn = table(spark, folder, "documents").filter(_remainder(3) != 1)
@@ -69,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_subspace_join": op4_subspace_join,
     "op5_cross_parsing": op5_cross_parsing,
     "op7_kd_shards": op7_kd_shards,
+    "op8_duckdb_bpe": op8_duckdb_bpe,
     "op9_toxic_segments": op9_toxic_segments,
 }
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import fresh_name
+from tallywright.llm.common import extended, place_of
 
 MAX_LABELLED = 20_000
 MAX_UNITS = 50_000
@@ -262,8 +262,7 @@ def score_toxicity(
     """
     model = docs.sparkSession.sparkContext.broadcast(learn(learn_docs, labels, text, key, label, max_labelled, max_units))
     rest = docs.drop("toxicity", "toxic_passages")
-    scored = fresh_name(rest, "scored_text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["toxicity double", f"toxic_passages {_PASSAGES}"])
+    at = place_of(rest, text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -271,7 +270,7 @@ def score_toxicity(
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("by_chance", pa.float64())]))
         for batch in batches:
             values, passages = [], []
-            for item in batch.column(scored):
+            for item in batch.column(at):
                 body = item.as_py()
                 words = _tokens(body)
                 nats, found = evidence(maximal_segments(score_tokens(words, scores)), len(words), m["rate"], m["log_k"])
@@ -280,10 +279,9 @@ def score_toxicity(
                     spans = [x.span() for x in _TOKEN.finditer(body.lower())]
                     found = [{"start": spans[f][0], "end": spans[e - 1][1], "score": s, "by_chance": c} for f, e, s, c in found]
                 passages.append(found)
-            part = batch.drop_columns([scored])
-            yield part.append_column("toxicity", pa.array(values)).append_column("toxic_passages", pa.array(passages, kind))
+            yield batch.append_column("toxicity", pa.array(values)).append_column("toxic_passages", pa.array(passages, kind))
 
-    return rest.withColumn(scored, F.col(text)).mapInArrow(score, schema)
+    return rest.mapInArrow(score, extended(rest, f"toxicity double, toxic_passages {_PASSAGES}"))
 
 
 def toxic(score: Column, threshold: float = 0.7) -> Column:
