@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import kd_shards as kd
-from tallywright.llm import cross_parsing, duckdb_bpe, subspace_join, toxic_segments, warc
+from tallywright.llm import cross_parsing, duckdb_bpe, order_minhash, subspace_join, toxic_segments, warc
 from tallywright.llm.common import table
 
 SHARDS = 40
@@ -36,6 +36,10 @@ def op5_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     return kd.kd_shards(table(spark, folder, "documents"), shards=SHARDS).select(
         "doc_id",
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_subspace_join": op4_subspace_join,
     "op5_cross_parsing": op5_cross_parsing,
+    "op6_order_minhash": op6_order_minhash,
     "op7_kd_shards": op7_kd_shards,
     "op8_duckdb_bpe": op8_duckdb_bpe,
     "op9_toxic_segments": op9_toxic_segments,
