@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import kd_shards as kd
-from tallywright.llm import cross_parsing, duckdb_bpe, order_minhash, subspace_join, toxic_segments, warc
+from tallywright.llm import cross_parsing, decontaminate, duckdb_bpe, order_minhash, subspace_join, toxic_segments, warc
 from tallywright.llm.common import table
 
 SHARDS = 40
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.record_table(warc.archive_round_trip(table(spark, folder, "pages")))
 
@@ -87,6 +91,7 @@ def op9_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spaced_seeds": op1_spaced_seeds,
     "op2_warc": op2_warc,
     "op4_subspace_join": op4_subspace_join,
     "op5_cross_parsing": op5_cross_parsing,
@@ -96,6 +101,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxic_segments": op9_toxic_segments,
 }
 
+# Every agreement of a document's and an item's words, and how many lie in a window on the same diagonal.
+_LEAKS = r"""
+WITH d AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents
+), b AS (
+  SELECT item_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM benchmark
+), dw AS (
+  SELECT doc_id, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), bw AS (
+  SELECT item_id, len(w) AS n, least(len(w), 20) AS win, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM b
+  WHERE len(w) >= 8
+), met AS (
+  SELECT doc_id, item_id, size, n, win, p - q AS diagonal, q FROM dw JOIN bw USING (word)
+), starts AS (
+  SELECT doc_id, item_id, win, diagonal, greatest(1, 1 - diagonal) AS low, least(n, size - diagonal) - win + 1 AS high, q,
+         count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY q RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS ahead
+  FROM met
+), likely AS (
+  SELECT DISTINCT doc_id, item_id, win, diagonal, low, high FROM starts
+  WHERE high >= low AND ahead >= win - CAST(floor(win * 0.2 + 1e-9) AS INTEGER)
+), windows AS (
+  SELECT doc_id, item_id, win, diagonal, unnest(range(low, high + 1)) AS s FROM likely
+), counted AS (
+  SELECT w.doc_id, w.item_id, w.win, w.s, w.diagonal, count(*) AS matched
+  FROM windows w JOIN met m ON m.doc_id = w.doc_id AND m.item_id = w.item_id AND m.diagonal = w.diagonal
+   AND m.q >= w.s AND m.q < w.s + w.win
+  GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, s + diagonal) AS r FROM counted
+  WHERE matched >= win - CAST(floor(win * 0.2 + 1e-9) AS INTEGER)
+)
+SELECT doc_id, item_id, matched, CAST(win AS BIGINT) AS window_words, s + diagonal - 1 AS start_word FROM ranked WHERE r = 1
+"""
+
 _WARC = """
 WITH pages_ AS (
   SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS bytes FROM pages
@@ -132,6 +171,7 @@ LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) n ON n.a = e.vec
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_spaced_seeds": _LEAKS,
     "op4_subspace_join": _LINKED,
     "op2_warc": _WARC,
 }
