@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import kd_shards as kd
-from tallywright.llm import cross_parsing, decontaminate, duckdb_bpe, order_minhash, subspace_join, toxic_segments, warc
+from tallywright.llm import cross_parsing, decontaminate, duckdb_bpe, line_templates, order_minhash, subspace_join, toxic_segments, warc
 from tallywright.llm.common import table
 
 SHARDS = 40
@@ -24,6 +24,13 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.record_table(warc.archive_round_trip(table(spark, folder, "pages")))
 
 
+def op3_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    n_lines = F.size(line_templates.lines_of(F.col("text"))).cast("long")
+    found = line_templates.drop_recurring_lines(docs.withColumn("n_lines", n_lines))
+    return found.select("doc_id", "n_lines", F.size("dropped_lines").cast("long").alias("n_dropped"), "dropped_lines", "text")
+
+
 def op4_subspace_join(spark: SparkSession, folder: str) -> DataFrame:
     return subspace_join.linked_vectors(table(spark, folder, "embeddings"), threshold=0.98)
 
@@ -93,6 +100,7 @@ def op9_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_warc": op2_warc,
+    "op3_line_templates": op3_line_templates,
     "op4_subspace_join": op4_subspace_join,
     "op5_cross_parsing": op5_cross_parsing,
     "op6_order_minhash": op6_order_minhash,
