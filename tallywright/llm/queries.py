@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import kd_shards as kd
-from tallywright.llm import cross_parsing, decontaminate, duckdb_bpe, line_templates, order_minhash, subspace_join, toxic_segments, warc
+from tallywright.llm import cross_parsing, decontaminate, duckdb_bpe, line_templates, order_minhash, pii_crf, subspace_join, toxic_segments, warc
 from tallywright.llm.common import table
 
 SHARDS = 40
@@ -97,6 +97,21 @@ def op9_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_pii_crf(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii_crf.personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii_crf.KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("pii")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_warc": op2_warc,
@@ -107,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_kd_shards": op7_kd_shards,
     "op8_duckdb_bpe": op8_duckdb_bpe,
     "op9_toxic_segments": op9_toxic_segments,
+    "op10_pii_crf": op10_pii_crf,
 }
 
 # Every agreement of a document's and an item's words, and how many lie in a window on the same diagonal.
