@@ -1,12 +1,64 @@
-"""Cleans a corpus of documents in stages; each stage reads what its predecessor wrote."""
+"""Cleans a corpus of documents and turns it into tokens, stage by stage.
+
+Each stage is a function of (spark, docs, sf_dir) that takes all rows its predecessor kept
+and returns, but for the last, the columns of `documents`. Stages hold for any rows: null
+texts and ids, empty and repeated rows pass like others.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallywright.llm import decontaminate, line_templates, order_minhash, queries, toxic_segments
 from tallywright.llm.common import stored, table
 
-STAGES = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is below the threshold; learnt from the labels of `sf_dir`."""
+    scored = queries.toxicity(spark, docs, sf_dir)
+    return scored.filter(toxic_segments.toxic(F.col("toxicity")) == 0).select(docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines whose templates recur across documents."""
+    cleaned = line_templates.drop_recurring_lines(docs)
+    return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, and one row of rows that repeat as a whole."""
+    found = stored(order_minhash.near_duplicates(docs), "near-duplicates")
+    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if not repeated.isEmpty():
+        docs = docs.dropDuplicates()
+    return docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), key="row_key")
+    leaks = stored(found.select(F.col("doc_id").alias("row_key")).distinct(), "contaminated")
+    return keyed.join(leaks, "row_key", "left_anti").select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their token ids, the number of these, and whether they decode to the text."""
+    found = queries.token_ids(docs)
+    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return found.withColumns({"n_tokens": F.size("token_ids").cast("long"), "round_trip": same}).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("near dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("byte-level bpe", tokenize),
+]
+
+#: Hashes, models and merges of the stages are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -15,4 +67,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)
