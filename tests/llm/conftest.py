@@ -1,0 +1,21 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def docs_of(spark):
+    """Builds documents from (doc_id, text[, lang]), with a column whose name clashes with results."""
+
+    def build(*rows):
+        filled = [(r[0], r[1], r[2] if len(r) > 2 else None, "extra", -1) for r in rows]
+        return spark.createDataFrame(filled, "doc_id long, text string, lang string, score string, n long")
+
+    return build
