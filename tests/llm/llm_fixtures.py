@@ -1,13 +1,6 @@
-from __future__ import annotations
-
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

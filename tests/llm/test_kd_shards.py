@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+from llm_fixtures import docs_of  # noqa: F401
+
 from tallywright.llm import kd_shards as kd
 
 
