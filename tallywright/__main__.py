@@ -28,12 +28,18 @@ def parser() -> argparse.ArgumentParser:
     backfill = commands.add_parser("backfill", help="recompute the dates of all users")
     backfill.add_argument("--store", required=True)
 
-    show = commands.add_parser("report", help="write a report as Parquet, or show it")
+    tidy = commands.add_parser("clean", help="remove old user snapshots")
+    tidy.add_argument("--store", required=True)
+    tidy.add_argument("--keep", type=int, default=2, help="snapshots to keep")
+
+    show = commands.add_parser("report", help="write a report as Parquet, or preview it")
     show.add_argument("name", choices=sorted(REPORTS))
     show.add_argument("--store", required=True)
     show.add_argument("--as-of", type=date.fromisoformat)
     show.add_argument("--tz", default=LOCAL_ZONE)
-    show.add_argument("--out")
+    where = show.add_mutually_exclusive_group(required=True)
+    where.add_argument("--out", help="folder for the whole report")
+    where.add_argument("--preview", type=int, metavar="ROWS", help="print the first rows only")
     return main
 
 
@@ -47,12 +53,14 @@ def main(arguments: Sequence[str] | None = None) -> None:
         store.load_landing(args.landing, args.prefix)
     elif args.command == "backfill":
         store.backfill_users()
+    elif args.command == "clean":
+        store.remove_old_snapshots(args.keep)
     else:
         result = report(store, args.name, as_of=args.as_of, tz=args.tz)
         if args.out:
             result.write.parquet(args.out)
         else:
-            result.show(truncate=False)
+            result.show(args.preview, truncate=False)
 
 
 if __name__ == "__main__":

@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
-from tallywright.functions.clock import LOCAL_ZONE
+from tallywright.functions.clock import LOCAL_ZONE, local_today
 from tallywright.plans.alerts import anniversary_totals_over, weekly_transactions_over
 from tallywright.plans.cohorts import cohort_retention
 from tallywright.plans.cumulative import cumulative_by_user, daily_cumulative
@@ -43,8 +43,10 @@ def report(
 def register_views(store: ContributionStore, *, as_of: date | None = None, tz: str = LOCAL_ZONE) -> None:
     """Makes both tables and every report available to `spark.sql` under their names.
 
-    The views show the tables as they are now; register again after a load.
+    The views show the tables as they are now, and the same report day for all: `as_of`, or
+    today in `tz` when they are registered. Register again after a load or on another day.
     """
+    as_of = as_of or local_today(tz)
     users, contributions = store.users(), store.contributions()
     users.createOrReplaceTempView("users")
     contributions.createOrReplaceTempView("contributions")

@@ -18,6 +18,7 @@ def append_to_database(
     connections: int = 8,
 ) -> None:
     """Appends `df` to a table over at most `connections` parallel connections."""
-    df.coalesce(connections).write.option("batchsize", batch_rows).jdbc(
+    # A shuffle of its own keeps the stages before it as wide as they are.
+    df.repartition(connections).write.option("batchsize", batch_rows).jdbc(
         url, table, mode="append", properties=properties or {}
     )

@@ -12,7 +12,9 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.functions.amounts import AMOUNT_LIMIT
 from tallywright.schemas import LANDING_COLUMNS
+from tallywright.sources.files import escaped, found_by, full_path
 
 # The key layout and the time stamp in file names.
 KEY_PATTERN = r"^new_contributions/year=\d{4}/month=\d{2}/day=\d{2}/[^/]+\.csv$"
@@ -23,9 +25,10 @@ PREFIX = "new_contributions/"
 _DIGITS = r"\d+(_\d+)*"
 DECIMAL_PATTERN = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
 INTEGER_PATTERN = rf"^[+-]?{_DIGITS}$"
+BLANKS_AROUND = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 # Position of a row in the import: file time, then file, then line.
-LOAD_ORDER = ("file_ts", "file_path", "file_block", "line")
+LOAD_ORDER = ("file_ts", "file_key", "file_block", "line")
 
 
 class LandingError(ValueError):
@@ -46,14 +49,20 @@ def matching(files: DataFrame, prefix: str = PREFIX) -> DataFrame:
     return files.filter(F.col("key").startswith(prefix) & F.col("key").rlike(KEY_PATTERN))
 
 
+def _plain(uri: str) -> Column:
+    """A file URI as the path that it stands for."""
+    return F.url_decode(F.replace(F.col(uri), F.lit("+"), F.lit("%2B")))
+
+
 def _key(path: str, root: str) -> Column:
-    """The part of `path` below the landing root, however the file system writes the root."""
-    below = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", root).strip("/")
-    return F.regexp_extract(path, f"/{re.escape(below)}/(.*)$", 1).alias("key")
+    """The part of `path` below the landing root, given in full; empty for a path outside."""
+    below = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*(?=/))?", "", root).strip("/")
+    start = f"/{re.escape(below)}/" if below else "/"
+    return F.regexp_extract(path, rf"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*(?=/))?)?/*{start[1:]}(.*)$", 1).alias("key")
 
 
 def inventory(files: DataFrame, root: str, prefix: str = PREFIX) -> DataFrame:
-    """Importable files of a binary-file listing of `root`: path, URI, size, key and time stamp.
+    """Importable files of a binary-file listing of `root` (its full path): path, URI, size, key and time stamp.
 
     File contents are not read: only columns that the listing provides are selected.
     """
@@ -61,24 +70,39 @@ def inventory(files: DataFrame, root: str, prefix: str = PREFIX) -> DataFrame:
     return with_stamp(matching(files.select("path", uri, "length", _key("path", root)), prefix))
 
 
+def require_visible(spark: SparkSession, root: str, prefix: str = PREFIX) -> None:
+    """Raises for files of the key layout whose names Spark's listing hides (a leading `_` or `.`)."""
+    hidden = found_by(spark, f"{escaped(root)}/{PREFIX}year=*/month=*/day=*/[_.]*")
+    keys = spark.createDataFrame([(path,) for path in hidden], "path string").select(_key("path", root))
+    first = matching(keys, prefix).agg(F.min("key")).first()[0] if hidden else None
+    if first is not None:
+        raise LandingError(f"{first}: names that start with _ or . are hidden from Spark; rename the file")
+
+
 def list_files(spark: SparkSession, root: str, prefix: str = PREFIX) -> DataFrame:
     """Inventory of everything below `root`.
 
     A file of no bytes has no header and therefore none of the required columns.
-    Scans leave such files out, so they are found by comparing with the names.
+    Scans leave such files out, so they are found by comparing with the names. A file that the
+    listing spells in a way that does not start with the root is an error, not a file to skip.
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    root = full_path(spark, root)
+    require_visible(spark, root, prefix)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(escaped(root))
     found = inventory(listing, root, prefix)
     names = spark.createDataFrame([(unquote(uri),) for uri in listing.inputFiles()], "path string")
-    named = matching(names.select(_key("path", root)), prefix)
-    empty = named.join(found, "key", "left_anti").agg(F.min("key")).first()[0]
+    keys = names.select("path", _key("path", root))
+    outside = keys.filter("key = ''").agg(F.min("path")).first()[0]
+    if outside is not None:
+        raise LandingError(f"{outside}: not below {root}")
+    empty = matching(keys, prefix).join(found, "key", "left_anti").agg(F.min("key")).first()[0]
     if empty is not None:
         raise LandingError(f"{empty}: missing columns: {sorted(LANDING_COLUMNS)}")
     return found
 
 
 def _first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    lines = spark.read.text(list(paths)).select(
+    lines = spark.read.text([escaped(p) for p in paths]).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
@@ -101,13 +125,14 @@ def _layouts(spark: SparkSession, files: Sequence[Row]) -> dict[tuple[str, ...],
     return layouts
 
 
-def _read_layout(spark: SparkSession, names: Sequence[str], paths: Sequence[str]) -> DataFrame:
+def _read_layout(spark: SparkSession, names: Sequence[str], paths: Sequence[str], multi_line: bool) -> DataFrame:
     positions = {name: i for i, name in enumerate(names)}
     rows = (
         spark.read.schema(", ".join(f"c{i} string" for i in range(len(names))))
         .option("header", True)
         .option("escape", '"')
-        .csv(list(paths))
+        .option("multiLine", multi_line)
+        .csv([escaped(p) for p in paths])
     )
     return rows.select(
         *[F.col(f"c{positions[name]}").alias(name) for name in LANDING_COLUMNS],
@@ -117,9 +142,11 @@ def _read_layout(spark: SparkSession, names: Sequence[str], paths: Sequence[str]
     )
 
 
-def read_files(spark: SparkSession, files: Sequence[Row]) -> DataFrame:
+def read_files(spark: SparkSession, files: Sequence[Row], *, multi_line: bool = False) -> DataFrame:
     """Raw (string) rows of listed files with their load order.
 
+    `multi_line` takes line breaks inside quoted fields; a file is then read by one task.
+
     Columns are found by name in each file's header, so files may order them
     differently or carry more. A file without a stamp or without a required
     column is an error.
@@ -128,13 +155,16 @@ def read_files(spark: SparkSession, files: Sequence[Row]) -> DataFrame:
     if unstamped:
         raise LandingError(f"file names without a _YYYYMMDD_HHMMSS stamp: {unstamped[:10]}")
     layouts = _layouts(spark, sorted(files, key=lambda f: f["key"]))
-    parts = [_read_layout(spark, names, paths) for names, paths in layouts.items()]
-    return with_stamp(reduce(DataFrame.unionByName, parts), "file_path")
+    parts = [_read_layout(spark, names, paths, multi_line) for names, paths in layouts.items()]
+    rows = reduce(DataFrame.unionByName, parts).withColumn("file_key", _plain("file_path"))
+    return with_stamp(rows, "file_key")
 
 
 def _number(column: str, pattern: str, kind: str) -> Column:
-    text = F.trim(F.col(column))
-    return F.when(text.rlike(pattern), F.regexp_replace(text, "_", "").try_cast(kind))
+    """The number in a text with any blank characters around it; NULL where there is none or it is too large."""
+    text = F.regexp_replace(column, BLANKS_AROUND, "")
+    number = F.when(text.rlike(pattern), F.regexp_replace(text, "_", "").try_cast(kind))
+    return F.when(F.abs(number) < AMOUNT_LIMIT, number) if kind == "double" else number
 
 
 def checked(raw: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import date
 
@@ -16,6 +17,7 @@ from tallywright.operators.first_wins import first_wins, not_stored
 from tallywright.operators.user_dimension import apply_inserted_dates, backfill_dates, upsert_users
 from tallywright.schemas import CONTRIBUTIONS, USERS
 from tallywright.session import cut_lineage
+from tallywright.sources.files import create_once, names_in, read_small, remove
 from tallywright.sources.landing import (
     LOAD_ORDER,
     PREFIX,
@@ -26,7 +28,8 @@ from tallywright.sources.landing import (
     require_clean,
 )
 
-_PUBLISHED = T.StructType([T.StructField("version", T.LongType()), T.StructField("published", T.TimestampType())])
+class ConcurrentLoadError(RuntimeError):
+    """Another load has published users since this one began."""
 
 
 class ContributionStore:
@@ -34,8 +37,14 @@ class ContributionStore:
 
     A load writes the next users snapshot, publishes it, then appends the
     contributions. Whatever a crash leaves behind, running the same load again
-    completes it: rows already stored are ignored, and widening dates twice
-    changes nothing.
+    completes it: rows of a user and day that are stored are ignored, and widening
+    dates twice changes nothing. Only rows without a time, which have no day to
+    share, are added again by a load that is run again.
+
+    A version is published by creating its marker, which a file system does once: of
+    two loads that began at the same version the second fails before it has added
+    anything. A load that begins between the publishing and the end of another must
+    not overlap with it in days; run loads of one store one after the other.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -56,29 +65,49 @@ class ContributionStore:
         return self._read("contributions", CONTRIBUTIONS)
 
     def users(self) -> DataFrame:
-        version = self._users_version()
+        return self._users_at(self._users_version())
+
+    def _users_at(self, version: int) -> DataFrame:
         if version == 0:
             return self.spark.createDataFrame([], USERS)
-        return self._read(f"users/snapshot_{version:08d}", USERS)
+        return self._read(f"users/{self._snapshot(version)}", USERS)
+
+    def _marker(self, version: int) -> str:
+        return f"{self.root}/users/published/{version:08d}"
+
+    def _snapshot(self, version: int) -> str:
+        return read_small(self.spark, self._marker(version))
+
+    def _versions(self) -> list[int]:
+        return [int(name) for name in names_in(self.spark, f"{self.root}/users/published") if name.isdigit()]
 
     def _users_version(self) -> int:
-        return self._read("users/published", _PUBLISHED).agg(F.max("version")).first()[0] or 0
+        return max(self._versions(), default=0)
 
     # Loading
 
-    def load_landing(self, landing_root: str, prefix: str = PREFIX) -> None:
+    def load_landing(self, landing_root: str, prefix: str = PREFIX, *, multi_line: bool = False) -> None:
         """Imports every matching file below `landing_root`."""
-        self.load_files(list_files(self.spark, landing_root, prefix))
+        self.load_files(list_files(self.spark, landing_root, prefix), multi_line=multi_line)
+
+    def load_files(self, files: DataFrame, *, multi_line: bool = False) -> None:
+        """Imports the files of an inventory, all or none of them.
 
-    def load_files(self, files: DataFrame) -> None:
-        """Imports the files of an inventory, all or none of them."""
+        Files are read for their headers and once more for their rows, which are checked and
+        staged below the store; all further steps read the staged rows.
+        """
         listed = files.collect()
         if not listed:
             return
-        rows = checked(read_files(self.spark, listed))
-        require_clean(rows)
-        days = {f["file_ts"].date() for f in listed}
-        self._load(accepted(rows), LOAD_ORDER, days)
+        staging = f"{self.root}/staging/{uuid.uuid4().hex}"
+        try:
+            checked(read_files(self.spark, listed, multi_line=multi_line)).write.parquet(staging)
+            rows = self.spark.read.parquet(staging)
+            require_clean(rows)
+            days = {f["file_ts"].date() for f in listed}
+            self._load(accepted(rows), LOAD_ORDER, days)
+        finally:
+            remove(self.spark, staging)
 
     def load_rows(self, rows: DataFrame, order: Sequence[Column | str]) -> None:
         """Adds contribution rows; per user and UTC day the first in `order` wins, stored rows before all.
@@ -92,6 +121,7 @@ class ContributionStore:
     def _load(self, rows: DataFrame, order: Sequence[Column | str], days: set[date | None]) -> None:
         # `days` has one entry per calendar day of the load; only those
         # partitions of the stored table are compared with.
+        base = self._users_version()
         rows = with_contribution_columns(rows)
         stored = self.contributions().filter(F.col("contrib_date").isin([d for d in days if d is not None]))
         winners = first_wins(rows.filter("contrib_date IS NOT NULL"), order)
@@ -104,21 +134,35 @@ class ContributionStore:
             *[audit.get(name, F.col(name)).alias(name) for name in CONTRIBUTIONS.names]
         )
         inserted = cut_lineage(inserted)
-        self._publish_users(apply_inserted_dates(upsert_users(rows, self.users()), inserted))
+        self._publish_users(apply_inserted_dates(upsert_users(rows, self._users_at(base)), inserted), base)
         append_by_day(inserted, f"{self.root}/contributions")
 
     def backfill_users(self) -> None:
         """Recomputes the dates of all users from the stored contributions."""
-        self._publish_users(backfill_dates(self.users(), self.contributions()))
+        base = self._users_version()
+        self._publish_users(backfill_dates(self._users_at(base), self.contributions()), base)
 
-    def _publish_users(self, users: DataFrame) -> None:
+    def _publish_users(self, users: DataFrame, base: int) -> None:
         # A new folder each time: the snapshot being read is never overwritten.
-        version = self._users_version() + 1
-        users.write.mode("overwrite").parquet(f"{self.root}/users/snapshot_{version:08d}")
-        marker = self.spark.range(1).select(
-            F.lit(version).cast("long").alias("version"), F.current_timestamp().alias("published")
-        )
-        marker.write.mode("append").parquet(f"{self.root}/users/published")
+        name = f"snapshot_{base + 1:08d}_{uuid.uuid4().hex}"
+        users.write.parquet(f"{self.root}/users/{name}")
+        if not create_once(self.spark, self._marker(base + 1), name):
+            remove(self.spark, f"{self.root}/users/{name}")
+            raise ConcurrentLoadError(f"another load has published version {base + 1}; run this load again")
+
+    def remove_old_snapshots(self, keep: int = 2) -> None:
+        """Removes all users snapshots but the last `keep`, their markers, and leftovers of loads that died.
+
+        Not while a load runs, nor while older views of the users are in use.
+        """
+        versions = sorted(self._versions())[-max(1, keep) :]
+        kept = {self._snapshot(version) for version in versions}
+        for version in set(self._versions()) - set(versions):
+            remove(self.spark, self._marker(version))
+        for name in names_in(self.spark, f"{self.root}/users"):
+            if name.startswith("snapshot_") and name not in kept:
+                remove(self.spark, f"{self.root}/users/{name}")
+        remove(self.spark, f"{self.root}/staging")
 
 
 def append_by_day(contributions: DataFrame, path: str) -> None:

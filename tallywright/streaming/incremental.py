@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallywright.sources.landing import PREFIX, inventory
+from tallywright.sources.files import escaped, full_path
+from tallywright.sources.landing import PREFIX, inventory, require_visible
 from tallywright.sources.store import ContributionStore
 
 _LISTING = T.StructType(
@@ -19,37 +22,39 @@ _LISTING = T.StructType(
 )
 
 
+# Files count as new however old they are; the seen-files log keeps every name, which is its cost.
+ANY_AGE = "36500d"
+
+
 def import_new_files(
     store: ContributionStore,
     landing_root: str,
     *,
     prefix: str = PREFIX,
     checkpoint_location: str | None = None,
-    max_files: int | None = None,
+    multi_line: bool = False,
 ) -> StreamingQuery:
     """Starts a run over all files not imported before; it stops by itself when done.
 
     The stream only carries file names: contents are left out of the listing and
     read by the batch loader, which checks headers and rows. The checkpoint
-    remembers the files; it defaults to a folder below `spark.checkpoint.dir`.
-    Without `max_files` one run is one batch, loaded in the order of the file
-    stamps; with it, batches follow the arrival order of the files.
+    remembers the files; it defaults to a folder of the store for this landing root
+    and prefix. One run is one batch, loaded in the order of the file stamps, so which
+    row of a user and day wins does not depend on when its file arrived within the run.
     """
     spark = store.spark
+    root = full_path(spark, landing_root)
+    require_visible(spark, root, prefix)
     if checkpoint_location is None:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            raise ValueError("pass checkpoint_location or set spark.checkpoint.dir")
-        checkpoint_location = f"{folder.rstrip('/')}/tallywright-import"
+        name = hashlib.sha256(f"{root}\n{prefix}".encode()).hexdigest()[:24]
+        checkpoint_location = f"{store.root}/imports/{name}"
 
     def load(batch: DataFrame, _batch_id: int) -> None:
-        store.load_files(batch)
+        store.load_files(batch, multi_line=multi_line)
 
     reader = spark.readStream.format("binaryFile").schema(_LISTING).option("recursiveFileLookup", True)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
     return (
-        inventory(reader.load(landing_root), landing_root, prefix)
+        inventory(reader.option("maxFileAge", ANY_AGE).load(escaped(root)), root, prefix)
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint_location)
         .trigger(availableNow=True)

@@ -128,9 +128,9 @@ def test_recurring_import_takes_each_file_once(spark, store, landing, tmp_path_f
     seen = []
     original = ContributionStore.load_files
 
-    def spy(self, files):
+    def spy(self, files, **options):
         seen.extend(sorted(r["key"].rsplit("/", 1)[1] for r in files.collect()))
-        original(self, files)
+        original(self, files, **options)
 
     monkeypatch.setattr(ContributionStore, "load_files", spy)
 
