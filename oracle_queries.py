@@ -20,7 +20,8 @@ def _r2(value: str) -> str:
 
 
 def _dec(value: str) -> str:
-    return f"cast({value} as decimal(18, 2))"
+    """An amount with all its places, to be summed exactly; rounding comes after the sum."""
+    return f"cast({value} as decimal(38, 15))"
 
 
 EVENT_ROWS = f"""
@@ -289,7 +290,7 @@ kept as (
   from cohort join seen on seen.user_id = cohort.id and seen.m >= cohort.m group by all
 )
 select strftime(m, '%Y-%m') as cohort_month, months as months_since_join, n as active_users, size as cohort_size,
-       (((20000 * n + size) // (2 * size) + 5) // 10) / 10.0 as pct_retained
+       ((2000 * n + size) // (2 * size)) / 10.0 as pct_retained
 from kept"""
 
 _ANNIVERSARY = f"""with {ORDER_MODEL},
@@ -331,14 +332,15 @@ _RAW = """
 raw as (
   select cast(event_id as varchar) as contribution_id,
          case when k = 99 then '' else cast(user_id as varchar) end as customer_id,
-         case when k = 98 and event_type = 'error' then 'n/a' else cast(value as varchar) end as amount,
+         case when k = 98 and event_type = 'error' then 'n/a' when k = 95 then '1e400' when k = 94 then chr(9) || cast(value as varchar) || chr(9)
+              else cast(value as varchar) end as amount,
          case when k = 97 then '1,5' else ' 0.5 ' end as fee_total,
          case when k = 96 then '1.5' else cast(k as varchar) end as transaction_count
   from (select *, cast(json_extract_string(props, '$.k') as integer) as k from events)
 ),
 judged as (
   select contribution_id,
-         case when try_cast(trim(amount) as double) is null then 'amount is not a decimal'
+         case when coalesce(not isfinite(try_cast(trim(amount, concat(' ', chr(9))) as double)), true) then 'amount is not a decimal'
               when try_cast(trim(fee_total) as double) is null then 'fee_total is not a decimal'
               when not regexp_full_match(trim(transaction_count), '[+-]?[0-9]+')
                 then 'transaction_count is not an integer'
@@ -377,6 +379,9 @@ ORACLE_SQL: dict[str, str] = {
 select d as day, users as daily_users, cast(contributions as double) as daily_contributions,
        cast(fees as double) as daily_fees, arpu as daily_arpu from daily""",
     "daily_maxima": f"with {_daily(EVENT_MODEL)} {_maxima()}",
+    "sums_of_thirds": f"""with {EVENT_ROWS}
+select user_id, cast(cast(sum(cast(contribution / 3 as decimal(38, 15))) as decimal(28, 9)) as varchar) as total
+from event_rows group by user_id""",
     "derived_columns": f"""with {EVENT_ROWS}
 select arrival, contribution + fee as total_with_fee, fee / nullif(contribution, 0) * 100 as fee_percentage,
        utc_day as contrib_date from event_rows""",

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from tallywright.functions.amounts import count_ratio, round_half_up
 from tallywright.functions.clock import LOCAL_ZONE, local_month
 
-# Scale of an exact quotient of two whole numbers before it is used further.
-QUOTIENT_SCALE = 4
-
 
 def cohort_retention(
     users: DataFrame, contributions: DataFrame, *, tz: str = LOCAL_ZONE, ordered: bool = True
@@ -32,12 +29,12 @@ def cohort_retention(
         .groupBy("cohort", "month")
         .agg(F.count(F.lit(1)).alias("active_users"))
     )
-    share = round_half_up(count_ratio(F.col("active_users"), F.col("cohort_size")), QUOTIENT_SCALE)
+    share = count_ratio(F.col("active_users") * 100, F.col("cohort_size"))
     result = active.join(F.broadcast(sizes), "cohort").select(
         F.date_format("cohort", "yyyy-MM").alias("cohort_month"),
         F.expr("CAST(12 * (year(month) - year(cohort)) + month(month) - month(cohort) AS BIGINT) AS months_since_join"),
         "active_users",
         "cohort_size",
-        round_half_up(share * 100, 1).cast("decimal(10,1)").alias("pct_retained"),
+        round_half_up(share, 1).cast("decimal(10,1)").alias("pct_retained"),
     )
     return result.orderBy("cohort_month", "months_since_join") if ordered else result

@@ -45,3 +45,16 @@ def test_nulls_are_left_out(spark):
     frame = spark.createDataFrame([(1, 1.5), (1, None), (1, 2.5), (2, None)], "g int, v double")
     rows = frame.groupBy("g").agg(exact_sum("v"), exact_mean("v")).orderBy("g").collect()
     assert [tuple(r) for r in rows] == [(1, 4.0, 2.0), (2, None, None)]
+
+
+def test_places_beyond_the_sixth_count(spark):
+    frame = spark.range(1_000_000).selectExpr("0.0000004D AS v", "CAST(id % 3 AS DOUBLE) / 3 AS w")
+    small, thirds = frame.agg(exact_sum("v"), exact_sum("w")).first()
+    assert small == 0.4 and thirds == 333333.0
+
+
+def test_large_amounts(spark):
+    values = [1e19, 1e19, 2.5, -1e19, 3e25, -3e25, 0.25]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    assert frame.agg(exact_sum("v")).first()[0] == 1e19 + 2.75
+    assert spark.createDataFrame([(1e26,), (-7.5,)], "v double").agg(exact_sum("v")).first()[0] == 1e26
