@@ -66,7 +66,7 @@ def op7_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
 def token_ids(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """`docs` with token_ids and the bytes decoded from these."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    return duckdb_bpe.decode(duckdb_bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    return duckdb_bpe.round_trip(docs, path, public_tokenizers.PATTERN)
 
 
 def op8_duckdb_bpe(spark: SparkSession, folder: str) -> DataFrame:
