@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # rank error on both sides.
 ACCURACY = 5000
 SLACK = 3.0 / ACCURACY
+# Parts of a column whose bracket missed.
+STRETCHES = 200
 
 
 def exact_medians(values: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -21,11 +23,12 @@ def exact_medians(values: DataFrame, columns: Sequence[str]) -> DataFrame:
     folds all others into one count below and one above, so that a running count
     over few rows gives true ranks.
 
-    Should a bracket miss the middle, all distinct values of that column are
-    ordered instead, so the result is always exact. When none does, adaptive
-    execution drops that pass, because its broadcast side is empty.
+    Should a bracket miss the middle, that column is cut into many stretches by a finer
+    summary; their counts tell which of them hold the middle ranks, and only those are
+    ordered, so the result is always exact. When none misses, adaptive execution drops
+    that pass, because its broadcast side is empty.
 
-    All broadcasts hold at most one row per column.
+    All broadcasts hold at most one row per column, or two in the second pass.
     """
     entries = ", ".join(f"struct('{c}' AS column, CAST({c} AS DOUBLE) AS value)" for c in columns)
     long = values.selectExpr(f"inline(array({entries}))").filter("value IS NOT NULL")
@@ -41,12 +44,37 @@ def exact_medians(values: DataFrame, columns: Sequence[str]) -> DataFrame:
     found = bracketed.filter("low IS NOT NULL AND high IS NOT NULL")
 
     missed = bracketed.filter("low IS NULL OR high IS NULL").select("column", "n")
-    ordered = _middle(long.join(F.broadcast(missed), "column").selectExpr("column", "n", "0 AS zone", "value"))
+    ordered = _middle_of_stretches(long.join(F.broadcast(missed), "column"))
     return found.unionByName(ordered).agg(
         *[F.expr(f"max(IF(column = '{c}', (low + high) / 2, NULL)) AS {c}") for c in columns]
     )
 
 
+def _middle_of_stretches(values: DataFrame) -> DataFrame:
+    """Per column the values at the two middle ranks, found in the stretches whose counts reach them."""
+    shares = ", ".join(f"{i / STRETCHES}D" for i in range(1, STRETCHES))
+    cuts = values.groupBy("column").agg(F.expr(f"percentile_approx(value, array({shares}), {ACCURACY}) AS cuts"))
+    cut = values.join(F.broadcast(cuts), "column").selectExpr(
+        "column", "n", "value", "size(filter(cuts, c -> c < value)) AS stretch"
+    )
+    counts = cut.groupBy("column", "n", "stretch").agg(F.expr("count(1) AS size"))
+    upto = "sum(size) OVER (PARTITION BY column ORDER BY stretch ROWS UNBOUNDED PRECEDING)"
+    holding = (
+        counts.selectExpr("column", "stretch", "n", "size", f"{upto} AS last_rank")
+        .filter("last_rank >= (n + 1) DIV 2 AND last_rank - size < (n + 2) DIV 2")
+        .selectExpr("column", "stretch", "last_rank - size AS before")
+    )
+    copies = cut.join(F.broadcast(holding), ["column", "stretch"]).groupBy("column", "n", "stretch", "before", "value")
+    ranked = copies.agg(F.expr("count(1) AS copies")).selectExpr(
+        "*", "before + sum(copies) OVER (PARTITION BY column, stretch ORDER BY value ROWS UNBOUNDED PRECEDING) AS last_rank"
+    )
+
+    def at(rank: str, name: str):
+        return F.expr(f"max(IF({rank} BETWEEN last_rank - copies + 1 AND last_rank, value, NULL)) AS {name}")
+
+    return ranked.groupBy("column", "n").agg(at("(n + 1) DIV 2", "low"), at("(n + 2) DIV 2", "high"))
+
+
 def _middle(entries: DataFrame) -> DataFrame:
     """Per column the values at the two middle ranks; NULL where they are not inside zone 0."""
     counts = entries.groupBy("column", "n", "zone", "value").agg(F.expr("count(1) AS copies"))

@@ -1,7 +1,7 @@
 """Pre-aggregations that the reports build on.
 
-Each one combines on the map side first, so neither a busy user nor a busy day
-reaches a reducer as raw rows.
+Days combine on the map side first, so that a busy day does not reach a reducer as
+raw rows; users are no longer than the calendar.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.amounts import exact_sum
-from tallywright.functions.clock import LOCAL_ZONE, local_day, utc_day
+from tallywright.functions.clock import LOCAL_ZONE, local_day
 
 
 def user_totals(contributions: DataFrame) -> DataFrame:
@@ -26,19 +26,18 @@ def user_totals(contributions: DataFrame) -> DataFrame:
 
 
 def user_days(contributions: DataFrame, tz: str = LOCAL_ZONE) -> DataFrame:
-    """One row per user and local day: exact sums."""
-    return contributions.groupBy("user_id", local_day("timestamp", tz).alias("day")).agg(
+    """One row per user and local day: exact sums.
+
+    Rows are dealt out by user alone, so that what follows by user needs no further
+    shuffle. Stored contributions have one row per user and UTC day: there is nothing to
+    combine before the shuffle, and no user is longer than the calendar.
+    """
+    needed = contributions.select("user_id", "timestamp", "contribution", "fee")
+    return needed.repartition("user_id").groupBy("user_id", local_day("timestamp", tz).alias("day")).agg(
         exact_sum("contribution").alias("contribution"), exact_sum("fee").alias("fee")
     )
 
 
-def user_utc_days(contributions: DataFrame) -> DataFrame:
-    """One row per user and UTC day: exact contribution sum."""
-    return contributions.groupBy("user_id", utc_day("timestamp").alias("day")).agg(
-        exact_sum("contribution").alias("contribution")
-    )
-
-
 def daily_stats(per_user_day: DataFrame) -> DataFrame:
     """Users, sums and fee per user for every day of `user_days`."""
     stats = per_user_day.groupBy("day").agg(

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tallywright.functions.amounts import exact_sum
 from tallywright.functions.clock import utc_day
 from tallywright.functions.derived import with_full_name
-from tallywright.operators.rollups import user_utc_days
 
 # Thresholds and windows of the two rules.
 ANNIVERSARY_THRESHOLD = 8000
@@ -27,13 +26,14 @@ def anniversary_totals_over(
     """Users whose contributions within one year of membership exceed `threshold`.
 
     Years are 365.25 days long, but labelled with calendar anniversaries. The
-    join sees at most one row per user and day; it leaves the rows partitioned by
-    user, so the last aggregation needs no further shuffle.
+    join leaves the rows partitioned by user, so the aggregation needs no further
+    shuffle. Stored contributions have one row per user and day, which leaves nothing
+    to combine before it and bounds a user by the calendar.
     """
     members = with_full_name(users).filter("date_joined IS NOT NULL").select("id", "full_name", "date_joined")
     year = F.floor(F.datediff("day", "date_joined") / DAYS_PER_YEAR).cast("int")
     result = (
-        user_utc_days(contributions)
+        contributions.select("user_id", utc_day("timestamp").alias("day"), "contribution")
         .join(members, F.col("user_id") == F.col("id"))
         .groupBy("user_id", "full_name", "date_joined", year.alias("year"))
         .agg(exact_sum("contribution").alias("total_contribution"))

@@ -19,17 +19,19 @@ def new_returning_daily(
     where it ends turns the as-of lookup of every user on every day into one
     running sum over days.
 
-    Users are first reduced to one row per day, which bounds the per-user window
-    by the calendar; the unpartitioned window sees one row per calendar day.
+    Rows are shuffled once, by user, and reduced to one row per user and day in place.
+    Stored contributions have one row per user and UTC day, so a user's window is no longer
+    than the calendar; the unpartitioned window sees one row per calendar day.
     """
-    per_user_day = contributions.groupBy("user_id", local_day("timestamp", tz).alias("day")).agg(
-        F.min("timestamp").alias("first_timestamp")
-    )
     user = Window.partitionBy("user_id")
-    history = per_user_day.select(
+    in_time = user.orderBy("timestamp")
+    local = contributions.select("user_id", "timestamp", local_day("timestamp", tz).alias("day"))
+    first_of_day = (F.row_number().over(in_time) == 1) | ~F.col("day").eqNullSafe(F.lag("day").over(in_time))
+    per_user_day = local.select("*", first_of_day.alias("first_of_day"), F.min("timestamp").over(user).alias("first_timestamp"))
+    history = per_user_day.filter("first_of_day").select(
         "day",
-        local_day(F.min("first_timestamp").over(user), tz).alias("first_day"),
-        F.lead("day").over(user.orderBy("day")).alias("next_day"),
+        local_day("first_timestamp", tz).alias("first_day"),
+        F.lead("day").over(in_time).alias("next_day"),
     )
 
     idle_from = F.date_add("day", idle_after_days)

@@ -31,3 +31,14 @@ def test_a_missed_bracket_still_gives_the_exact_median(spark, monkeypatch):
     monkeypatch.setattr(median, "SLACK", -0.3)
     frame = spark.range(1001).selectExpr("CAST(id AS DOUBLE) AS v")
     assert exact_medians(frame, ["v"]).first()[0] == 500.0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, 30_001])
+def test_missed_brackets_on_skewed_input(spark, monkeypatch, n):
+    monkeypatch.setattr(median, "SLACK", -0.3)
+    frame = spark.range(n).selectExpr("IF(id % 3 = 0, 0.0D, exp(id / 5000)) AS v", "CAST(id % 7 AS DOUBLE) AS w")
+    rows = frame.collect()
+    row = exact_medians(frame, ["v", "w"]).first()
+    for name in ("v", "w"):
+        values = sorted(r[name] for r in rows)
+        assert row[name] == pytest.approx((values[(n - 1) // 2] + values[n // 2]) / 2, rel=1e-15)

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 from datetime import date, datetime, timedelta
 from decimal import Decimal
@@ -374,3 +375,24 @@ def test_contributions_are_read_once_for_all_periods(contributions):
     plan = result._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Scan ") == 1
     assert "ReusedExchange" in plan
+
+
+def exchanges(result, *columns):
+    """Shuffles by exactly these columns in the plan that ran."""
+    result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    found = [re.sub(r"#\d+L?", "", c) for c in re.findall(r"(?<!Reused)Exchange hashpartitioning\((.*?), \d+\)", plan)]
+    return [c for c in found if set(columns) <= set(c.split(", "))]
+
+
+def test_user_level_reports_shuffle_contributions_once(contributions, users, spark):
+    rows = contributions(*random_history(6))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        members = users(("a", "2020-01-01"), ("b", "2021-01-01"))
+        yearly = plans.anniversary_totals_over(members, rows, threshold=0, ordered=False)
+        assert exchanges(yearly, "user_id") == ["user_id"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert exchanges(plans.new_returning_daily(rows, ordered=False), "user_id") == ["user_id"]
+    assert set(exchanges(plans.periodic_stats(rows, as_of=AS_OF), "user_id")) == {"user_id"}
