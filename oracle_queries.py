@@ -19,9 +19,9 @@ def _r2(value: str) -> str:
     return f"(round_even(({value}) * 100, 0) / 100)"
 
 
-def _dec(value: str) -> str:
-    """An amount with all its places, to be summed exactly; rounding comes after the sum."""
-    return f"cast({value} as decimal(38, 15))"
+def _total(value: str) -> str:
+    """Exact sum of amounts with all their places; only the sum is cut, to what a double holds of it."""
+    return f"cast(sum(cast({value} as decimal(38, 15))) as decimal(38, 6))"
 
 
 EVENT_ROWS = f"""
@@ -70,9 +70,9 @@ def _daily(model: str) -> str:
     return f"""{model},
 local_rows as (select *, {_local_day("ts")} as d from c),
 daily as (
-  select d, count(distinct user_id) as users, sum({_dec("contribution")}) as contributions,
-         sum({_dec("fee")}) as fees,
-         cast(sum({_dec("fee")}) as double) / nullif(count(distinct user_id), 0) as arpu
+  select d, count(distinct user_id) as users, {_total("contribution")} as contributions,
+         {_total("fee")} as fees,
+         cast({_total("fee")} as double) / nullif(count(distinct user_id), 0) as arpu
   from local_rows group by d
 )"""
 
@@ -103,7 +103,7 @@ def _periods(model: str, today: str) -> str:
 period(name, s, e, upto) as ({rows} union all select 'all_time', null, null, null),
 from_rows as (
   select p.name, any_value(p.s) as s, any_value(p.e) as e, any_value(p.upto) as upto,
-         count(distinct r.user_id) as users, sum({_dec("r.fee")}) as fees
+         count(distinct r.user_id) as users, {_total("r.fee")} as fees
   from period p left join local_rows r on p.s is null or r.d between p.s and p.e
   group by p.name
 ),
@@ -207,8 +207,8 @@ group by v.d"""
 
 _DAILY_CUMULATIVE = f"""with {EVENT_MODEL},
 sums as (
-  select {_local_day("ts")} as "date", sum({_dec("coalesce(contribution, 0)")}) as a,
-         sum({_dec("coalesce(fee, 0)")}) as f, sum(coalesce(tx, 0)) as t
+  select {_local_day("ts")} as "date", {_total("coalesce(contribution, 0)")} as a,
+         {_total("coalesce(fee, 0)")} as f, sum(coalesce(tx, 0)) as t
   from c group by 1
 ),
 running as (select x."date", x.a, x.f, x.t, sum(y.a) as ra, sum(y.f) as rf, sum(y.t) as rt
@@ -221,8 +221,8 @@ select "date", cast(a as double) as daily_contributions, cast(f as double) as da
 from running"""
 
 _CUMULATIVE_BY_USER = f"""with {ORDER_MODEL}
-select u.id, u.full_name, u.date_joined, cast(sum({_dec("c.contribution")}) as double) as total_contributions,
-       cast(sum({_dec("c.fee")}) as double) as total_fees, cast(sum(c.tx) as double) as total_transactions,
+select u.id, u.full_name, u.date_joined, cast({_total("c.contribution")} as double) as total_contributions,
+       cast({_total("c.fee")} as double) as total_fees, cast(sum(c.tx) as double) as total_transactions,
        count(*) as num_contributions, cast(max(c.ts) as date) - cast(min(c.ts) as date) as lifespan_days
 from u, c where c.user_id = u.id group by u.id, u.full_name, u.date_joined"""
 
@@ -236,8 +236,8 @@ select * from gap where days_since_last_contribution > 14"""
 
 _RATES = f"""
 per_user as (
-  select u.id, u.full_name, u.date_joined, coalesce(cast(sum({_dec("c.fee")}) as double), 0) as f,
-         coalesce(cast(sum({_dec("c.contribution")}) as double), 0) as a,
+  select u.id, u.full_name, u.date_joined, coalesce(cast({_total("c.fee")} as double), 0) as f,
+         coalesce(cast({_total("c.contribution")} as double), 0) as a,
          {ORDERS_AS_OF} - u.date_joined as age, cast(max(c.ts) as date) as seen,
          {ORDERS_AS_OF} - cast(max(c.ts) as date) as away
   from u left join c on c.user_id = u.id group by u.id, u.full_name, u.date_joined
@@ -301,8 +301,8 @@ years as (
 )
 select id as user_id, full_name, cast(date_joined + to_years(y) as date) as period_start,
        cast(date_joined + to_years(y + 1) as date) as period_end,
-       cast(sum({_dec("contribution")}) as double) as total_contribution
-from years group by id, full_name, date_joined, y having sum({_dec("contribution")}) > 970000"""
+       cast({_total("contribution")} as double) as total_contribution
+from years group by id, full_name, date_joined, y having {_total("contribution")} > 970000"""
 
 _WEEKLY = f"""with {EVENT_MODEL}
 select a.user_id, cast(a.ts as date) as period_end, cast(sum(b.tx) as bigint) as weekly_transaction_count

@@ -396,3 +396,10 @@ def test_user_level_reports_shuffle_contributions_once(contributions, users, spa
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert exchanges(plans.new_returning_daily(rows, ordered=False), "user_id") == ["user_id"]
     assert set(exchanges(plans.periodic_stats(rows, as_of=AS_OF), "user_id")) == {"user_id"}
+
+
+@pytest.mark.parametrize(("active", "size", "share"), [(4, 21, "19.0"), (13, 107, "12.1"), (1, 8, "12.5"), (1, 3, "33.3"), (2, 3, "66.7")])
+def test_retention_is_rounded_once(contributions, users, active, size, share):
+    members = users(*[(f"u{i}", "2024-01-10") for i in range(size)])
+    rows = contributions(*[("2024-02-10 00:00", f"u{i}") for i in range(active)])
+    assert [str(r["pct_retained"]) for r in plans.cohort_retention(members, rows).collect()] == [share]
