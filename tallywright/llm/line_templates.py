@@ -65,7 +65,7 @@ def _anchor(b: int) -> Column:
 def _template_keys(line: str) -> Column:
     """Hashes of the templates of a line: as it is, and with each stretch left open."""
     plain = F.lower(F.trim(F.translate(line, "\t\r", "  ")))
-    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "\\S*[0-9]\\S*", "<*>")).otherwise(plain)
+    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "(?<!\\S)[^\\s0-9]*+[0-9]\\S*", "<*>")).otherwise(plain)
     return F.split(masked, " +")
 
 

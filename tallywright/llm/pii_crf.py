@@ -103,7 +103,7 @@ def _shape(token: str) -> list[int]:
         16 + int(np.searchsorted([7, 16, 25], len(token), side="right")),  # 16..19
         20 + ("@" in token),
         22 + (13 <= n <= 19 and luhn(digits)),
-        24 + (len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)),
+        24 + (len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)),
         26 + token.startswith("+"),
         28 + ("(" in token or ")" in token),
         30 + ("-" in token),

@@ -125,7 +125,8 @@ def test_a_word_field_is_generalised(docs_of):
 
 
 def test_lines_of_odd_rows(docs_of):
-    assert lines(docs_of, *ODD) == sorted([(d, t, []) for d, t in ODD], key=str)
+    rows = [*ODD, (96, "x" * 300_000 + " 1 " + "y" * 300_000)]
+    assert lines(docs_of, *rows) == sorted([(d, t, []) for d, t in rows], key=str)
     assert line_templates.drop_recurring_lines(docs_of((1, "a")).limit(0)).collect() == []
 
 
@@ -325,6 +326,9 @@ def test_base_spans_are_those_of_the_patterns():
             want = [(i, *m.span()) for i, (k, p) in enumerate(BASE.items()) for m in re.finditer(p, text) if passes(k, m[0])]
             assert pii_crf.base_spans(text) == want, text
     assert pii_crf.base_spans("4111 1111 1111 1111")[0][0] == 2
+    weights = pii_crf.learn_weights(np.zeros(0, np.int64), np.zeros((0, 11), np.int64), np.zeros((0, 3), np.int64))
+    odd = ["1.2.3.²", "٣.٣.٣.٣ 1", "1" * 50_000, "@" * 5000 + "1", "a" * 100_000 + "@", "+" + "1 " * 20_000, None]
+    assert len(pii_crf.find_spans(odd, weights)) == len(odd)
 
 
 def test_cards_side_by_side_are_added(docs_of):
