@@ -70,7 +70,7 @@ def _template_keys(line: str) -> Column:
 
 
 def _keyed_lines(documents: DataFrame) -> DataFrame:
-    """(doc_key, line_no, anchors, key): a row per line and template, for lines that are not blank."""
+    """(doc_key, line_no, anchors, keys): a row per line that is not blank, with its templates."""
     lines = (
         documents.select("*", F.posexplode(lines_of(F.col("body"))).alias("line_no", "line"))
         .filter(F.trim(F.translate("line", "\t\r", "  ")) != "")
@@ -87,16 +87,16 @@ def _keyed_lines(documents: DataFrame) -> DataFrame:
     rest = lambda j: [F.col(f"s{i}") for i in range(_STRETCHES) if i != j]
     keys = [F.xxhash64(F.lit(-1), "n", "whole")]
     keys += [F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(F.lit(j), "n", "lead", *rest(j))) for j in range(_STRETCHES)]
-    return parts.select(
-        "doc_key", "line_no", *[f"a{b}" for b in range(ANCHORS)], F.explode(F.array(*keys)).alias("key")
-    ).filter("key IS NOT NULL")
+    return parts.select("doc_key", "line_no", *[f"a{b}" for b in range(ANCHORS)], F.array_compact(F.array(*keys)).alias("keys"))
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(doc_key, dropped): the numbers (from 0) of the lines to drop, for documents that have any."""
-    lines = _keyed_lines(_document(docs, key, text))
+    # Numbers only, in place of parsing every text again for the second pass.
+    lines = stored(_keyed_lines(_document(docs, key, text)), "keyed-lines").withColumn("key", F.explode("keys")).drop("keys")
     common = stored(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("key"), "common-templates")
-    met = stored(lines.join(common, "key"), "common-lines")
+    # Both grow with the input: merged from the start, never broadcast.
+    met = stored(lines.join(common.hint("merge"), "key"), "common-lines")
     anchors = F.array(*[F.struct(F.lit(b).alias("b"), F.col(f"a{b}").alias("anchor")) for b in range(ANCHORS)])
     documents = met.select("key", "doc_key", *[f"a{b}" for b in range(ANCHORS)]).distinct()
     shares = (
@@ -111,7 +111,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     recurring = stored(
         shares.filter((F.col("all") >= ANCHORS * least) & (2 * F.col("most") <= F.col("all"))).select("key"), "recurring-templates"
     )
-    dropped = met.select("key", "doc_key", "line_no").join(recurring, "key")
+    dropped = met.select("key", "doc_key", "line_no").join(recurring.hint("merge"), "key")
     return dropped.groupBy("doc_key").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
@@ -128,7 +128,7 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     kept = F.filter(lines_of(F.col(text)), lambda line, i: ~F.array_contains("dropped_lines", i))
     joined = (
         rest.withColumn("__doc_key", F.xxhash64(F.col(key), F.col(text)))
-        .join(found.select(F.col("doc_key").alias("__doc_key"), F.col("dropped").alias("dropped_lines")), "__doc_key", "left")
+        .join(found.select(F.col("doc_key").alias("__doc_key"), F.col("dropped").alias("dropped_lines")).hint("merge"), "__doc_key", "left")
         .drop("__doc_key")
     )
     cleaned = F.when(F.col("dropped_lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
