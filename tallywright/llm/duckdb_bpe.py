@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from tallywright.llm.common import extended, place_of
 
 LONG_BYTES = 300
-KNOWN = 700_000
+KNOWN = 1_000_000
 QUERY_WORDS = 40_000
 _SLICE_CHARS = 1 << 21
 
@@ -183,7 +183,7 @@ class Codec:
             self.encoded.clear()
         new = set().union(*matches) - self.encoded.keys()
         if new:
-            self.learn_words(sorted(new))
+            self.learn_words(list(new))
         get = self.encoded.__getitem__
         return [np.frombuffer(b"".join(map(get, m)), np.int32) for m in matches]
 
@@ -211,7 +211,7 @@ class Codec:
             cut.append([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)])
         new = set().union(*cut) - self.decoded.keys()
         if new:
-            self.learn_runs(sorted(new))
+            self.learn_runs(list(new))
         get = self.decoded.__getitem__
         return [b"".join(map(get, runs)) for runs in cut]
 
