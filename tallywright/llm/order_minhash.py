@@ -3,12 +3,13 @@
 Each document's word k-mers (five words) are labelled by how often they have occurred
 before. A sketch entry samples the two labelled k-mers that are least under its hash and
 keeps them in the order of the text, so equal entries speak for equal order too: for
-similarity of edits, not of bags. Documents that share an entry are candidates of that
-entry's two leaders (its smallest and largest id), so a bucket of n documents asks for
-2n comparisons, never for all pairs; candidates that neither leader is close to are dealt
-out once more among themselves. A pair is a link if a banded alignment of the two word
-sequences needs edits for at most a fifth of the longer one, and groups are the connected
-components of links.
+similarity of edits, not of bags. Documents that share an entry are candidates. They first
+meet that entry's two leaders (its smallest and largest id), then, while this connects
+more, one member of the entry's largest and of its smallest group. Then all members that
+are not yet connected meet each other, so that no candidate is left out; pairs whose
+lengths or counts of words alone ask for too many edits need no alignment. A pair is a
+link if a banded alignment of the two word sequences needs edits for at most a fifth of
+the longer one, and groups are the connected components of links.
 
 Copies with the same words are one class from the start. Sketches of two documents with
 a share j of common k-mers agree in an entry with a probability of about j squared; with
@@ -32,6 +33,8 @@ from tallywright.llm.components import components
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 ENTRIES = 20
+BAG = 256  # counters of words, up to 255 each
+CHUNK_ROWS = 256
 
 _SLICE_BYTES = 2 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -131,8 +134,14 @@ def sketch(words: np.ndarray, sizes: np.ndarray, entries: int = ENTRIES, k: int
     return sequence, result
 
 
+def bags(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many words of each text fall on each counter."""
+    at = np.repeat(np.arange(len(sizes)), sizes) * BAG + (words % np.uint64(BAG)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=len(sizes) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
+
+
 def fingerprints(docs: DataFrame, key: str, text: str, entries: int = ENTRIES) -> DataFrame:
-    """(doc_id, h1, h2, entries) of every row that has an id and words."""
+    """(doc_id, h1, h2, entries, size, bag) of every row that has an id and words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -153,13 +162,15 @@ def fingerprints(docs: DataFrame, key: str, text: str, entries: int = ENTRIES) -
                             pa.array(sequence[:, 0].astype(np.int64)),
                             pa.array(sequence[:, 1].astype(np.int64)),
                             pa.ListArray.from_arrays(offsets, pa.array(found.ravel().astype(np.int64))),
+                            pa.array(sizes[some].astype(np.int64)),
+                            pa.array([b.tobytes() for b in bags(words, sizes[some])], pa.binary()),
                         ],
-                        ["doc_id", "h1", "h2", "entries"],
+                        ["doc_id", "h1", "h2", "entries", "size", "bag"],
                     )
                 start, held = end, 0
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull())
-    return rows.mapInArrow(work, "doc_id long, h1 long, h2 long, entries array<long>")
+    return rows.mapInArrow(work, "doc_id long, h1 long, h2 long, entries array<long>, size long, bag binary")
 
 
 def banded_distance(a: list, b: list, most: int) -> int | None:
@@ -211,15 +222,93 @@ def similar(a: list, b: list, similarity: float = SIMILARITY) -> bool:
     return banded_distance(a, b, most) is not None
 
 
-def _bucket_pairs(rows: DataFrame) -> DataFrame:
-    """(entry, a, b): every member of an entry with the entry's smallest and its largest id."""
-    leaders = stored(
-        rows.groupBy("entry").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"), "entry-leaders"
+def _members(rows: DataFrame) -> DataFrame:
+    """(entry, id, n, low, high): the members of entries that several ids share, with their number and the leaders."""
+    leaders = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    return stored(rows.join(stored(leaders.filter("low < high"), "entry-leaders"), "entry"), "bucket-members")
+
+
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): every member of an entry with the entry's smallest and its largest id."""
+    low = members.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    high = members.filter("id < high AND id > low").select(F.col("id").alias("a"), F.col("high").alias("b"))
+    return low.union(high).distinct()
+
+
+def _unconnected(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """`members` of entries that hold several groups, with component, cross (pairs of different groups) and two pivots.
+
+    In entries of up to three members all pairs have met their leaders.
+    """
+    component = F.coalesce("component", "id").alias("component")
+    named = stored(
+        members.filter("n > 3").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select(*members.columns, component),
+        "named-members",
+    )
+    fresh = F.when((F.col("id") > F.col("low")) & (F.col("id") < F.col("high")), F.col("id"))
+    parts = named.groupBy("entry", "component").agg(
+        F.count(F.lit(1)).alias("part"), F.coalesce(F.min(fresh), F.min("id")).alias("pivot"), F.max_by("id", F.xxhash64("id")).alias("other")
+    )
+    several = (
+        parts.groupBy("entry")
+        .agg(
+            F.sum("part").alias("all"),
+            F.sum(F.col("part") * F.col("part")).alias("squares"),
+            F.max(F.struct("part", "component", "pivot")).alias("large"),
+            F.min(F.struct("part", "component", "other")).alias("small"),
+        )
+        .filter(F.col("all") * F.col("all") > F.col("squares"))
+        .select("entry", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("cross"), "large", "small")
+    )
+    return stored(named.join(stored(several, "unconnected-entries"), "entry"), "unconnected-members")
+
+
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): a member of each entry's largest and one of its smallest group with all members of other groups."""
+    pivot = lambda of, name: members.filter(F.col("component") != F.col(f"{of}.component")).select(
+        F.least("id", f"{of}.{name}").alias("a"), F.greatest("id", f"{of}.{name}").alias("b")
     )
-    met = rows.join(leaders, "entry")
-    low = met.filter("id > low").select("entry", F.col("low").alias("a"), F.col("id").alias("b"))
-    high = met.filter("id < high AND id > low").select("entry", F.col("id").alias("a"), F.col("high").alias("b"))
-    return low.union(high)
+    return pivot("large", "pivot").union(pivot("small", "other")).distinct()
+
+
+def _remaining_pairs(members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of members of different groups in an entry that lengths and counts of words don't rule out.
+
+    An edit changes the length by one at most, and adds and takes one word at most. Entries
+    of many members are dealt out as pairs of chunks.
+    """
+    chunks = F.ceil(F.col("n") / CHUNK_ROWS).cast("int")
+    dealt = (
+        members.join(classes.select("id", "size", "bag"), "id")
+        .withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .select("entry", "id", "component", "size", "bag", "chunk", F.expr("id = low OR id = high").alias("leader"),
+                F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
+    )
+
+    def meet(rows: pa.Table) -> pa.Table:
+        ids, component, size, chunk = (rows.column(c).to_numpy() for c in ("id", "component", "size", "chunk"))
+        leader = np.array(rows.column("leader").to_pylist(), bool)
+        bag = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
+        cross = rows.column("left")[0].as_py() != rows.column("right")[0].as_py()
+        a, b = [], []
+        for i in np.flatnonzero(~leader):
+            longer = np.maximum(size, size[i])
+            most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+            able = (ids > ids[i]) & ~leader & (component != component[i]) & (2 * longer - size - size[i] <= most)
+            if cross:
+                able &= chunk != chunk[i]
+            at = np.flatnonzero(able)
+            change = bag[at] - bag[i]
+            more = np.maximum(change, 0).sum(axis=1, dtype=np.int64)
+            less = more - change.sum(axis=1, dtype=np.int64)
+            at = at[np.maximum(more, less) <= most[at]]
+            a.append(np.full(len(at), ids[i]))
+            b.append(ids[at])
+        empty = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+
+    return dealt.groupBy("entry", "left", "right").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
@@ -258,19 +347,28 @@ def near_duplicates(
     links. An empty table gives no rows.
     """
     prints = stored(fingerprints(docs, key, text, entries), "fingerprints")
-    classes = stored(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("entries").alias("entries")), "word-classes")
-    rows = classes.select("id", F.explode("entries").alias("entry")).distinct()
-
-    asked = stored(_bucket_pairs(rows), "bucket-pairs")
-    links = _verified(stored(asked.select("a", "b").distinct(), "candidate-pairs"), docs, key, text, similarity)
-    # Members that no leader of their entry is close to meet among themselves once more.
-    leaders = asked.select("entry", F.col("a").alias("id")).union(asked.select("entry", F.col("b").alias("id"))).distinct()
-    close = asked.join(links, ["a", "b"]).select("entry", F.explode(F.array("a", "b")).alias("id")).distinct()
-    left = stored(leaders.join(close, ["entry", "id"], "left_anti"), "left-members")
-    again = _bucket_pairs(left).select("a", "b").distinct().join(asked.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    links = links.union(_verified(stored(again, "candidate-pairs"), docs, key, text, similarity))
-
-    groups = components(links)
+    first = [F.first(c).alias(c) for c in ("entries", "size", "bag")]
+    classes = stored(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *first), "word-classes")
+    members = _members(classes.select("id", F.explode("entries").alias("entry")).distinct())
+
+    asked = stored(_leader_pairs(members), "candidate-pairs")
+    links = _verified(asked, docs, key, text, similarity)
+    groups, before = components(links), None
+    while True:
+        apart = _unconnected(members, groups)
+        n, cross = apart.agg(F.count(F.lit(1)), F.sum(F.col("cross") / F.col("n"))).first()
+        if not n:
+            break
+        # Pivots as long as they spare many pairs; the pairs that are left then meet all at once.
+        last = cross <= 4 * n or (before is not None and cross > 0.8 * before)
+        pairs = _remaining_pairs(apart, classes, similarity) if last else _pivot_pairs(apart)
+        new = stored(pairs.join(asked, ["a", "b"], "left_anti"), "candidate-pairs")
+        links = stored(links.union(_verified(new, docs, key, text, similarity)), "links")
+        groups = components(links)
+        if last:
+            break
+        asked, before = stored(asked.union(new), "asked-pairs"), cross
+
     same = prints.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", F.col("id").alias("class_id")), ["h1", "h2"])
     # An id that several rows carry belongs to the smallest group that any of them reaches.
     named = (

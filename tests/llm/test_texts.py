@@ -199,6 +199,53 @@ def test_near_copies_match_brute_force(docs_of):
     assert all(r.kept == (r.doc_id == r.cluster_id) for r in found)
 
 
+def groups_by_entries(docs, entries):
+    """The groups by links between all documents that share an entry."""
+    rows = order_minhash.fingerprints(docs, "doc_id", "text", entries).collect()
+    words = {r.doc_id: order_minhash.word_list(r.text) for r in docs.collect()}
+    root = {r.doc_id: r.doc_id for r in rows}
+    for a in rows:
+        for b in rows:
+            if a.doc_id < b.doc_id and set(a.entries) & set(b.entries) and order_minhash.similar(words[a.doc_id], words[b.doc_id]):
+                old, new = max(root[a.doc_id], root[b.doc_id]), min(root[a.doc_id], root[b.doc_id])
+                root = {d: new if x == old else x for d, x in root.items()}
+    return root
+
+
+def test_spokes_meet_their_hub(docs_of):
+    base, r = prose(41, 200), random.Random(12)
+    rows = [(20, " ".join(base))]
+    for i in [*range(20), *range(21, 41)]:
+        body = list(base)
+        for at in r.sample(range(200), 24):
+            body[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(body)))
+    expected = groups_by_entries(docs_of(*rows), order_minhash.ENTRIES)
+    assert sum(c == expected[20] for c in expected.values()) > 30
+    assert {r.doc_id: r.cluster_id for r in order_minhash.near_duplicates(docs_of(*rows)).collect()} == expected
+
+
+def test_all_groups_of_a_shared_passage_are_found(docs_of):
+    passage, rows = prose(43, 90), []
+    for k in range(20):
+        own = [f"own{k}x{i}" for i in range(60)]
+        rows += [(k, " ".join(own + passage)), (100 + k, " ".join(own[:58] + ["else", f"other{k}"] + passage))]
+        rows.append((200 + k, " ".join([f"alone{k}x{i}" for i in range(60)] + passage)))
+    expected = groups_by_entries(docs_of(*rows), 1)
+    assert sum(d - c == 100 for d, c in expected.items()) > 15
+    assert {r.doc_id: r.cluster_id for r in order_minhash.near_duplicates(docs_of(*rows), entries=1).collect()} == expected
+
+
+def test_bags_rule_no_close_pair_out():
+    r, hashes = random.Random(8), order_minhash.WordHashes()
+    for _ in range(300):
+        a = prose(r.randrange(99), r.randrange(5, 400))
+        b = [w for w in a if r.random() > 0.1] + prose(r.randrange(99), r.randrange(9))
+        x, y = order_minhash.bags(*hashes([" ".join(a), " ".join(b)])).astype(int)
+        edits = order_minhash.banded_distance(a, b, 500)
+        assert max(np.maximum(x - y, 0).sum(), np.maximum(y - x, 0).sum(), abs(len(a) - len(b))) <= edits
+
+
 def test_near_copies_of_odd_rows(docs_of):
     found = order_minhash.near_duplicates(docs_of(*ODD, (95, "ONE!"))).collect()
     assert Counter((r.doc_id, r.cluster_id) for r in found) == Counter(
