@@ -8,7 +8,8 @@ from all of them.
 
 Copies of whole documents are no recurring lines: there the surroundings recur too. Each
 line has three anchors, the least stretches between punctuation of the document's other
-lines under three hashes. Of the documents with a template, those of its most common anchor
+lines under three hashes: long stretches if there are any, else short ones, and the least
+word where a document has no other line. Of the documents with a template, those of its most common anchor
 may be half at most (on the mean of the three); if they are more, the template recurs because its document does, and
 stays for document deduplication.
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import stored
+from tallywright.llm.common import stored, words
 
 LEADING = 3
 VARIABLE = 5  # one part in so many may be a variable stretch
@@ -44,7 +45,11 @@ def _document(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
 
     def least_of(b: int) -> Column:
-        hashed = lambda u: F.when(F.length(u) >= UNIT_CHARS, F.xxhash64(F.lit(b), F.trim(u)))
+        # Long stretches get negative numbers, so that they come before short ones.
+        unit = lambda u: F.xxhash64(F.lit(b), F.trim(u))
+        hashed = lambda u: F.when(F.length(u) >= UNIT_CHARS, unit(u).bitwiseOR(F.lit(-(1 << 63)))).when(
+            F.trim(u) != "", unit(u).bitwiseAND(F.lit((1 << 63) - 1))
+        )
         return F.transform(lines_of(F.col("body")), lambda line: F.array_min(F.transform(F.split(line, "[.,\r]+"), hashed)))
 
     two = lambda b: F.slice(F.sort_array(F.array_distinct(F.array_compact(f"m{b}"))), 1, 2)
@@ -56,10 +61,11 @@ def _document(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _anchor(b: int) -> Column:
-    """The least stretch of the document's other lines; of the whole text where there is none."""
+    """The least stretch of the document's other lines; where there is none the least word of the text, which near copies share."""
     first, second = F.get(f"low{b}", F.lit(0)), F.get(f"low{b}", F.lit(1))
     own = F.get(f"m{b}", F.col("line_no"))
-    return F.coalesce(F.when(own.eqNullSafe(first), second).otherwise(first), F.xxhash64("body"))
+    word = F.array_min(F.transform(words(F.col("body")), lambda w: F.xxhash64(F.lit(b), w)))
+    return F.coalesce(F.when(own.eqNullSafe(first), second).otherwise(first), word, F.xxhash64("body"))
 
 
 def _template_keys(line: str) -> Column:

@@ -124,6 +124,21 @@ def test_a_word_field_is_generalised(docs_of):
     assert [d for _, _, d in lines(docs_of, *rows, (9, text_of(9, other)))][-1] == []
 
 
+def test_copies_without_long_stretches_stay(docs_of):
+    one = prose(61, 30)
+    rows = [(i, " ".join([*one[:12], f"edit{i}".replace(str(i), "abc"[i]), *one[13:]])) for i in range(3)]
+    rows += [(10 + i, f"invoice number {1000 + i} was sent to the customer by the office on time") for i in range(3)]
+    verse = [" ".join(prose(700 + i, 2)) for i in range(12)]
+    rows += [(20 + i, "\n".join([*verse[:i], f"own {'abc'[i]}", *verse[i + 1 :]])) for i in range(3)]
+    assert lines(docs_of, *rows) == sorted([(d, t, []) for d, t in rows], key=str)
+
+
+def test_a_recurring_line_goes_from_short_lined_documents(docs_of):
+    verse = lambda i: [" ".join(prose(800 + 20 * i + j, 2)) for j in range(12)]
+    rows = [(i, "\n".join(["share this", *verse(i)])) for i in range(5)]
+    assert [d for _, _, d in lines(docs_of, *rows)] == [[0]] * 5
+
+
 def test_lines_of_odd_rows(docs_of):
     rows = [*ODD, (96, "x" * 300_000 + " 1 " + "y" * 300_000)]
     assert lines(docs_of, *rows) == sorted([(d, t, []) for d, t in rows], key=str)
