@@ -9,11 +9,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import kd_shards as kd
-from tallywright.llm import cross_parsing, decontaminate, duckdb_bpe, line_templates, order_minhash, pii_crf, subspace_join, toxic_segments, warc
+from tallywright.llm import (
+    centroids,
+    collocations,
+    cross_parsing,
+    decontaminate,
+    duckdb_bpe,
+    exact_groups,
+    line_templates,
+    order_minhash,
+    pii_crf,
+    subspace_join,
+    toxic_segments,
+    warc,
+)
 from tallywright.llm.common import table
 
 SHARDS = 40
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+CENTROIDS, ROUNDS, DIMENSIONS = 40, 5, 64
 
 
 def op1_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,6 +126,20 @@ def op10_pii_crf(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_exact_groups(spark: SparkSession, folder: str) -> DataFrame:
+    found = exact_groups.exact_groups(table(spark, folder, "documents"), every_digest=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def op12_threshold_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.clusters(table(spark, folder, "embeddings"), CENTROIDS, ROUNDS, DIMENSIONS)
+    return centroids.with_inertia(found)
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_warc": op2_warc,
@@ -123,6 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_duckdb_bpe": op8_duckdb_bpe,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_pii_crf": op10_pii_crf,
+    "op11_exact_groups": op11_exact_groups,
+    "op12_threshold_centroids": op12_threshold_centroids,
+    "op13_collocations": op13_collocations,
 }
 
 # Every agreement of a document's and an item's words, and how many lie in a window on the same diagonal.
@@ -194,7 +225,92 @@ JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) c ON c.a = e.vec
 LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) n ON n.a = e.vec_id
 """
 
+_EXACT = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def _rounds_of_clusters(rounds: int) -> str:
+    """Every round as an assignment to all centroids and the means of it; lists of integers throughout."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT v.vec_id, min(struct_pack(d := CAST({distance} AS BIGINT), cluster := c.cluster)) AS best FROM vectors v, c{i} c GROUP BY v.vec_id
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""s{i} AS MATERIALIZED (
+  SELECT cluster, list(m ORDER BY dim) AS x FROM (
+    SELECT cluster, dim, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (
+      SELECT cluster, dim, CAST(sum(value) AS BIGINT) AS s, count(*) AS n FROM (
+        SELECT a.best.cluster AS cluster, unnest(v.x) AS value, generate_subscripts(v.x, 1) AS dim
+        FROM a{i} a JOIN vectors v USING (vec_id)) GROUP BY ALL)) GROUP BY cluster
+), c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(s.x, c.x) AS x FROM c{i} c LEFT JOIN s{i} s USING (cluster)
+)"""
+            )
+    return ",\n".join(steps)
+
+
+_CLUSTERS = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT vec_id, [CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = {DIMENSIONS} AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS cluster, x FROM vectors
+  QUALIFY cluster < {CENTROIDS}
+), {_rounds_of_clusters(ROUNDS)}
+SELECT a.vec_id, a.best.cluster AS cluster, a.best.d AS distance,
+       CAST(sum(a.best.d) OVER (PARTITION BY a.best.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{ROUNDS} a JOIN c{ROUNDS} c ON c.cluster = a.best.cluster
+"""
+
+# All runs of one to five words, counted by their text.
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?
+-]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces
+), runs AS (
+  SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, range(1, 6) sizes(size)
+), f AS MATERIALIZED (
+  SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), split AS (
+  SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1
+), held AS (
+  SELECT s.lang, s.phrase, s.a FROM split s JOIN split o ON o.lang = s.lang AND o.size > s.size
+   AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * o.a >= 100 * s.a
+), cuts AS (
+  SELECT *, unnest(range(1, size)) AS k FROM split WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM held)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, t.n,
+         CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score, c.k
+  FROM cuts c JOIN totals t USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 : c.size], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_exact_groups": _EXACT,
+    "op12_threshold_centroids": _CLUSTERS,
+    "op13_collocations": _PHRASES,
     "op1_spaced_seeds": _LEAKS,
     "op4_subspace_join": _LINKED,
     "op2_warc": _WARC,

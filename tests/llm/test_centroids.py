@@ -1,0 +1,77 @@
+"""Clusters by the threshold algorithm, against distances to all centroids."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallywright.llm.centroids import clusters, nearest, with_inertia
+
+
+def by_all_distances(vectors, centroids):
+    distance = ((vectors[:, None, :] - centroids[None]) ** 2).sum(axis=2)
+    return distance.argmin(axis=1), distance.min(axis=1)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 12), st.integers(1, 9), st.sampled_from([2, 5, 1 << 26]))
+def test_the_walk_finds_the_nearest(seed, k, dims, width):
+    random = np.random.default_rng(seed)
+    vectors, centroids = (random.integers(-width, width + 1, (n, dims)) for n in (50, k))
+    centroids[-1] = centroids[0]  # equal centroids: the smaller number
+    for found, wanted in zip(nearest(vectors, centroids), by_all_distances(vectors, centroids), strict=True):
+        assert (found == wanted).all()
+
+
+def brute(rows, k, rounds, dims):
+    kept = [
+        (i, [math.floor(256 * x) for x in v])
+        for i, v in rows
+        if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) and abs(x) < 1 << 19 for x in v)
+    ]
+    first = sorted(kept, key=lambda r: hashlib.sha256(f"2:{r[0]}".encode()).hexdigest())[:k]
+    middle = [v for _, v in first]
+    vectors = np.array([v for _, v in kept])
+    for _ in range(rounds):
+        number, _ = by_all_distances(vectors, np.array(middle))
+        middle = [
+            [int(s) // int((number == c).sum()) for s in vectors[number == c].sum(axis=0)] if (number == c).any() else m
+            for c, m in enumerate(middle)
+        ]
+    number, distance = by_all_distances(vectors, np.array(middle))
+    return {i: (int(n), int(d)) for (i, _), n, d in zip(kept, number, distance, strict=True)}, middle
+
+
+def test_rounds_equal_brute_force(spark):
+    random = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in random.normal(0, 1, 4).round(1)]) for i in range(200)]
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan")] * 4), (303, [float("inf"), 0.0, 0.0, 0.0]), (304, [1.0] * 3)]
+    rows += [(305, []), (306, [1e30, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, cluster string, distance int")
+    found = clusters(table, k=6, rounds=4, dims=4)
+    wanted, middle = brute(rows, 6, 4, 4)
+    assert found.centroids == middle
+    assert {r.vec_id: (r.cluster, r.distance) for r in found.assigned.collect()} == wanted
+    whole = with_inertia(found).collect()
+    assert {r.inertia for r in whole} == {sum(d for _, d in wanted.values())}
+    for r in whole:
+        assert r.cluster_inertia == sum(d for c, d in wanted.values() if c == r.cluster)
+        assert r.centroid_sha256 == hashlib.sha256(",".join(map(str, middle[r.cluster])).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_fewer_vectors_than_centroids(spark, n):
+    rows = [(i, [float(i), 0.5]) for i in range(n)]
+    found = clusters(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5, rounds=2, dims=2)
+    assert len(found.centroids) == n and all(r.distance == 0 for r in found.assigned.collect())
+    assert with_inertia(found).count() == n
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, [1.0, 1.0]), (None, [9.0, 9.0]), (4, [1.0, 1.0]), (4, [9.0, 9.0]), (4, [9.0, 9.0])]
+    found = clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, rounds=3, dims=2)
+    assert sorted(found.centroids) == [[256, 256], [2304, 2304]]
+    assert found.assigned.count() == 5

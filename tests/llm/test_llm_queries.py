@@ -21,7 +21,7 @@ def texts(spark):
 
 def test_all_are_registered():
     names = registry.queries()
-    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 14)}
     assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(registry.oracle_sql())
 
 
