@@ -22,15 +22,18 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("--landing", required=True, help="landing root, any path Spark reads")
     load.add_argument("--store", required=True)
     load.add_argument("--prefix", default=PREFIX)
-    load.add_argument("--new-only", action="store_true", help="skip files imported by an earlier run")
-    load.add_argument("--checkpoint", help="folder that remembers imported files")
+    load.add_argument("--new-only", action="store_true", help="skip files that the store has loaded already")
+    load.add_argument("--checkpoint", help="with --new-only: a stream's folder that remembers the files, in place of the store")
 
     backfill = commands.add_parser("backfill", help="recompute the dates of all users")
     backfill.add_argument("--store", required=True)
 
-    tidy = commands.add_parser("clean", help="remove old user snapshots")
+    shorten = commands.add_parser("compact", help="rewrite all loads as one")
+    shorten.add_argument("--store", required=True)
+
+    tidy = commands.add_parser("clean", help="remove old commits and what only they name")
     tidy.add_argument("--store", required=True)
-    tidy.add_argument("--keep", type=int, default=2, help="snapshots to keep")
+    tidy.add_argument("--keep", type=int, default=2, help="commits to keep")
 
     show = commands.add_parser("report", help="write a report as Parquet, or preview it")
     show.add_argument("name", choices=sorted(REPORTS))
@@ -46,13 +49,17 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: Sequence[str] | None = None) -> None:
     args = parser().parse_args(arguments)
     store = ContributionStore(build_session(), args.store)
-    if args.command == "import" and args.new_only:
+    if args.command == "import" and args.new_only and args.checkpoint is None:
+        store.load_new(args.landing, args.prefix)
+    elif args.command == "import" and args.new_only:
         query = import_new_files(store, args.landing, prefix=args.prefix, checkpoint_location=args.checkpoint)
         query.awaitTermination()
     elif args.command == "import":
         store.load_landing(args.landing, args.prefix)
     elif args.command == "backfill":
         store.backfill_users()
+    elif args.command == "compact":
+        store.compact()
     elif args.command == "clean":
         store.remove_old_snapshots(args.keep)
     else:

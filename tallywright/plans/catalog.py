@@ -36,8 +36,9 @@ REPORTS: dict[str, Callable[[DataFrame, DataFrame, date | None, str], DataFrame]
 def report(
     store: ContributionStore, name: str, *, as_of: date | None = None, tz: str = LOCAL_ZONE
 ) -> DataFrame:
-    """A report over the store's current tables."""
-    return REPORTS[name](store.users(), store.contributions(), as_of, tz)
+    """A report over the store's tables, both as of its last commit."""
+    now = store.snapshot()
+    return REPORTS[name](now.users(), now.contributions(), as_of, tz)
 
 
 def register_views(store: ContributionStore, *, as_of: date | None = None, tz: str = LOCAL_ZONE) -> None:
@@ -47,7 +48,8 @@ def register_views(store: ContributionStore, *, as_of: date | None = None, tz: s
     today in `tz` when they are registered. Register again after a load or on another day.
     """
     as_of = as_of or local_today(tz)
-    users, contributions = store.users(), store.contributions()
+    now = store.snapshot()
+    users, contributions = now.users(), now.contributions()
     users.createOrReplaceTempView("users")
     contributions.createOrReplaceTempView("contributions")
     for name, build in REPORTS.items():

@@ -58,7 +58,7 @@ def _period_totals(per_user_day: DataFrame, daily: DataFrame, periods: list[Peri
             F.sum("daily_users").alias("sum_daily_users"),
             exact_mean("daily_contributions").alias("avg_daily_contributions"),
             exact_mean("daily_fees").alias("avg_daily_fees"),
-            F.avg("daily_arpu").alias("avg_daily_arpu"),
+            exact_mean("daily_arpu").alias("avg_daily_arpu"),
             F.min("day").alias("first_day"),
             F.max("day").alias("last_day"),
         )

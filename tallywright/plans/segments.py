@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallywright.functions.amounts import round_half_even
 from tallywright.functions.clock import session_today, utc_day
 from tallywright.functions.derived import with_full_name
+from tallywright.operators.moments import exact_moments
 from tallywright.operators.rollups import user_totals
 
 # Fixed value: mean days per month.
@@ -63,21 +64,12 @@ def whales_minnows(
     # One row: safe to broadcast. Counting the users seen makes this branch read
     # the same columns as the main one, so Spark reuses the per-user shuffle and
     # reads the contributions once.
-    levels = rates.agg(
-        F.count("last_contribution_date").alias("users_seen"),
-        *[
-            column
-            for m in measures
-            for column in (
-                F.avg(f"monthly_average_{m}").alias(f"mean_{m}"),
-                F.stddev_pop(f"monthly_average_{m}").alias(f"spread_{m}"),
-            )
-        ]
-    )
+    seen = F.count("last_contribution_date").alias("users_seen")
+    levels = exact_moments(rates, [f"monthly_average_{m}" for m in measures], seen)
 
     def user_class(measure: str) -> Column:
         rate = F.col(f"monthly_average_{measure}")
-        mean, spread = F.col(f"mean_{measure}"), F.col(f"spread_{measure}")
+        mean, spread = F.col(f"mean_monthly_average_{measure}"), F.col(f"spread_monthly_average_{measure}")
         away = F.col("days_since_last_contribution")
         return (
             F.when((F.col("users_seen") == 0) | away.isNull() | (away > active_days), "inactive")

@@ -41,3 +41,12 @@ USERS = T.StructType(
         T.StructField("users_modified", T.TimestampType()),
     ]
 )
+
+# Landing files that a store has loaded; known by root and key.
+LANDED_FILES = T.StructType(
+    [
+        T.StructField("landing_root", T.StringType(), False),
+        T.StructField("key", T.StringType(), False),
+        T.StructField("landing_day", T.DateType()),
+    ]
+)

@@ -1,8 +1,8 @@
-"""Session defaults and the lineage cut used by long loads."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app_name: str = "tallywright", **conf: str) -> SparkSession:
@@ -23,18 +23,3 @@ def build_session(app_name: str = "tallywright", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of `df` in the folder named by `spark.checkpoint.dir`.
-
-    Without a folder the frame comes back as it is: the result is the same, it
-    is only computed again by every consumer.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -56,16 +57,27 @@ def read_small(spark: SparkSession, path: str) -> str:
 
 
 def create_once(spark: SparkSession, path: str, text: str) -> bool:
-    """Writes a small new file; False, and nothing changed, where there is one already."""
+    """Writes a small new file that appears whole or not at all; False, and nothing changed, where there is one already.
+
+    The text goes to a file of another name first, which is then renamed without replacing.
+    """
     files, place = _open(spark, path)
+    written = place.suffix(f".{uuid.uuid4().hex}.tmp")
+    stream = files.create(written, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    no_options = context._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
     try:
-        stream = files.create(place, False)
+        hadoop.FileContext.getFileContext(place.toUri(), context._jsc.hadoopConfiguration()).rename(
+            files.makeQualified(written), files.makeQualified(place), no_options
+        )
     except Py4JJavaError as error:
-        if _is(error, "FileAlreadyExistsException") or files.exists(place):
+        files.delete(written, False)
+        if _is(error, "FileAlreadyExistsException"):
             return False
         raise
-    stream.write(bytearray(text.encode()))
-    stream.close()
     return True
 
 

@@ -25,7 +25,8 @@ PREFIX = "new_contributions/"
 _DIGITS = r"\d+(_\d+)*"
 DECIMAL_PATTERN = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
 INTEGER_PATTERN = rf"^[+-]?{_DIGITS}$"
-BLANKS_AROUND = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every character that counts as blank around a number: Unicode white space and the four separators of ASCII.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # Position of a row in the import: file time, then file, then line.
 LOAD_ORDER = ("file_ts", "file_key", "file_block", "line")
@@ -162,8 +163,8 @@ def read_files(spark: SparkSession, files: Sequence[Row], *, multi_line: bool =
 
 def _number(column: str, pattern: str, kind: str) -> Column:
     """The number in a text with any blank characters around it; NULL where there is none or it is too large."""
-    text = F.regexp_replace(column, BLANKS_AROUND, "")
-    number = F.when(text.rlike(pattern), F.regexp_replace(text, "_", "").try_cast(kind))
+    text = F.trim(column, F.lit(BLANKS))
+    number = F.when(text.rlike(pattern), F.translate(text, "_", "").try_cast(kind))
     return F.when(F.abs(number) < AMOUNT_LIMIT, number) if kind == "double" else number
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +15,9 @@ from tallywright.functions.clock import utc_day
 from tallywright.functions.derived import with_contribution_columns
 from tallywright.operators.first_wins import first_wins, not_stored
 from tallywright.operators.user_dimension import apply_inserted_dates, backfill_dates, upsert_users
-from tallywright.schemas import CONTRIBUTIONS, USERS
-from tallywright.session import cut_lineage
-from tallywright.sources.files import create_once, names_in, read_small, remove
+from tallywright.schemas import CONTRIBUTIONS, LANDED_FILES, USERS
+from tallywright.sources.commit_log import Commit, CommitLog
+from tallywright.sources.files import full_path, names_in, remove
 from tallywright.sources.landing import (
     LOAD_ORDER,
     PREFIX,
@@ -28,70 +28,87 @@ from tallywright.sources.landing import (
     require_clean,
 )
 
+
 class ConcurrentLoadError(RuntimeError):
-    """Another load has published users since this one began."""
+    """Other writers have committed each time that this one tried to."""
 
 
-class ContributionStore:
-    """Contributions by UTC day and versioned snapshots of users below one folder.
-
-    A load writes the next users snapshot, publishes it, then appends the
-    contributions. Whatever a crash leaves behind, running the same load again
-    completes it: rows of a user and day that are stored are ignored, and widening
-    dates twice changes nothing. Only rows without a time, which have no day to
-    share, are added again by a load that is run again.
-
-    A version is published by creating its marker, which a file system does once: of
-    two loads that began at the same version the second fails before it has added
-    anything. A load that begins between the publishing and the end of another must
-    not overlap with it in days; run loads of one store one after the other.
-    """
+class Snapshot:
+    """Both tables, and the landing files they came from, as of one commit."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, commit: Commit):
         self.spark = spark
-        self.root = root.rstrip("/")
+        self.root = root
+        self.commit = commit
 
-    # Reading
-
-    def _read(self, path: str, schema: T.StructType) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{path}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+    def _loads(self, table: str, loads: Sequence[str], schema: T.StructType) -> DataFrame:
+        if not loads:
             return self.spark.createDataFrame([], schema)
+        base = f"{self.root}/{table}"
+        rows = self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{load}" for load in loads])
+        return rows.select(schema.names)
 
     def contributions(self) -> DataFrame:
-        return self._read("contributions", CONTRIBUTIONS)
+        return self._loads("contributions", self.commit.contributions, CONTRIBUTIONS)
 
-    def users(self) -> DataFrame:
-        return self._users_at(self._users_version())
+    def landed_files(self) -> DataFrame:
+        """Root and key of every landing file that has been loaded."""
+        return self._loads("files", self.commit.files, LANDED_FILES)
 
-    def _users_at(self, version: int) -> DataFrame:
-        if version == 0:
+    def users(self) -> DataFrame:
+        if self.commit.users is None:
             return self.spark.createDataFrame([], USERS)
-        return self._read(f"users/{self._snapshot(version)}", USERS)
+        return self.spark.read.schema(USERS).parquet(f"{self.root}/users/{self.commit.users}")
 
-    def _marker(self, version: int) -> str:
-        return f"{self.root}/users/published/{version:08d}"
 
-    def _snapshot(self, version: int) -> str:
-        return read_small(self.spark, self._marker(version))
+class ContributionStore:
+    """Contributions by UTC day, versioned snapshots of users and a log of commits below one folder.
+
+    A load writes its contributions, the names of its files and the next users snapshot into
+    folders of their own, then publishes all of them with one commit. Until then readers see
+    the state before, and a load that dies leaves nothing behind but folders that no commit
+    names (`remove_old_snapshots` deletes them): running it again is all there is to do.
 
-    def _versions(self) -> list[int]:
-        return [int(name) for name in names_in(self.spark, f"{self.root}/users/published") if name.isdigit()]
+    Of two writers that began at the same commit one publishes first; the other throws its
+    folders away and does its work again on the new state, up to `attempts` times.
+    """
 
-    def _users_version(self) -> int:
-        return max(self._versions(), default=0)
+    def __init__(self, spark: SparkSession, root: str, *, attempts: int = 5):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self.attempts = attempts
+        self.log = CommitLog(spark, f"{self.root}/log")
+
+    # Reading
+
+    def snapshot(self, version: int | None = None) -> Snapshot:
+        """The tables as of the last commit, or of an older one that is still kept."""
+        return Snapshot(self.spark, self.root, self.log.latest() if version is None else self.log.read(version))
+
+    def contributions(self) -> DataFrame:
+        return self.snapshot().contributions()
+
+    def users(self) -> DataFrame:
+        return self.snapshot().users()
 
     # Loading
 
     def load_landing(self, landing_root: str, prefix: str = PREFIX, *, multi_line: bool = False) -> None:
         """Imports every matching file below `landing_root`."""
-        self.load_files(list_files(self.spark, landing_root, prefix), multi_line=multi_line)
+        self.load_files(list_files(self.spark, landing_root, prefix), multi_line=multi_line, landing_root=landing_root)
 
-    def load_files(self, files: DataFrame, *, multi_line: bool = False) -> None:
-        """Imports the files of an inventory, all or none of them.
+    def load_new(self, landing_root: str, prefix: str = PREFIX, *, multi_line: bool = False) -> None:
+        """Imports the matching files that no earlier load of this store has taken, however old they are.
+
+        Files are known by root and key. The names of a load are committed with its rows, so a
+        file is either loaded and known or neither. Known names are a table: the comparison is a join.
+        """
+        listed = list_files(self.spark, landing_root, prefix)
+        known = self.snapshot().landed_files().filter(F.col("landing_root") == full_path(self.spark, landing_root))
+        self.load_files(listed.join(known, "key", "left_anti"), multi_line=multi_line, landing_root=landing_root)
+
+    def load_files(self, files: DataFrame, *, multi_line: bool = False, landing_root: str | None = None) -> None:
+        """Imports the files of an inventory, all or none of them; with `landing_root` they count as loaded from there.
 
         Files are read for their headers and once more for their rows, which are checked and
         staged below the store; all further steps read the staged rows.
@@ -105,7 +122,11 @@ class ContributionStore:
             rows = self.spark.read.parquet(staging)
             require_clean(rows)
             days = {f["file_ts"].date() for f in listed}
-            self._load(accepted(rows), LOAD_ORDER, days)
+            names = None
+            if landing_root is not None:
+                root = full_path(self.spark, landing_root)
+                names = self.spark.createDataFrame([(root, f["key"], f["file_ts"].date()) for f in listed], LANDED_FILES)
+            self._load(accepted(rows), LOAD_ORDER, days, names)
         finally:
             remove(self.spark, staging)
 
@@ -118,57 +139,111 @@ class ContributionStore:
         days = {row[0] for row in rows.select(utc_day("timestamp")).distinct().collect()}
         self._load(rows, order, days)
 
-    def _load(self, rows: DataFrame, order: Sequence[Column | str], days: set[date | None]) -> None:
-        # `days` has one entry per calendar day of the load; only those
-        # partitions of the stored table are compared with.
-        base = self._users_version()
+    def _load(
+        self, rows: DataFrame, order: Sequence[Column | str], days: set[date | None], names: DataFrame | None = None
+    ) -> None:
         rows = with_contribution_columns(rows)
-        stored = self.contributions().filter(F.col("contrib_date").isin([d for d in days if d is not None]))
-        winners = first_wins(rows.filter("contrib_date IS NOT NULL"), order)
-        fresh = not_stored(winners, stored)
-        if None in days:
-            fresh = fresh.unionByName(rows.filter("contrib_date IS NULL"))
-        now = F.current_timestamp()
-        audit = {"contributions_created": now, "contributions_modified": now}
-        inserted = fresh.select(
-            *[audit.get(name, F.col(name)).alias(name) for name in CONTRIBUTIONS.names]
-        )
-        inserted = cut_lineage(inserted)
-        self._publish_users(apply_inserted_dates(upsert_users(rows, self._users_at(base)), inserted), base)
-        append_by_day(inserted, f"{self.root}/contributions")
+
+        def write(base: Snapshot) -> Commit:
+            # `days` has one entry per calendar day of the load; only those
+            # partitions of the stored table are compared with.
+            stored = base.contributions().filter(F.col("contrib_date").isin([d for d in days if d is not None]))
+            winners = first_wins(rows.filter("contrib_date IS NOT NULL"), order)
+            fresh = not_stored(winners, stored)
+            if None in days:
+                fresh = fresh.unionByName(rows.filter("contrib_date IS NULL"))
+            now = F.current_timestamp()
+            audit = {"contributions_created": now, "contributions_modified": now}
+            load = _new_name("load=")
+            write_by_day(
+                fresh.select(*[audit.get(name, F.col(name)).alias(name) for name in CONTRIBUTIONS.names]),
+                f"{self.root}/contributions/{load}",
+            )
+            commit = base.commit
+            if _holds_rows(self.spark, f"{self.root}/contributions/{load}"):
+                commit = replace(commit, contributions=(*commit.contributions, load))
+            if names is not None:
+                known = base.landed_files().join(F.broadcast(names), ["landing_root", "key"], "left_semi")
+                names.join(known, ["landing_root", "key"], "left_anti").write.parquet(f"{self.root}/files/{load}")
+                commit = replace(commit, files=(*commit.files, load))
+            inserted = Snapshot(self.spark, self.root, replace(base.commit, contributions=(load,))).contributions()
+            return self._with_users(commit, apply_inserted_dates(upsert_users(rows, base.users()), inserted))
+
+        self._commit(write)
 
     def backfill_users(self) -> None:
         """Recomputes the dates of all users from the stored contributions."""
-        base = self._users_version()
-        self._publish_users(backfill_dates(self._users_at(base), self.contributions()), base)
+        self._commit(lambda base: self._with_users(base.commit, backfill_dates(base.users(), base.contributions())))
+
+    def compact(self) -> None:
+        """Rewrites all loads of each table as one, so that commits stay short and days have few files."""
+
+        def write(base: Snapshot) -> Commit:
+            load = _new_name("load=")
+            commit = base.commit
+            if commit.contributions:
+                write_by_day(base.contributions(), f"{self.root}/contributions/{load}")
+                commit = replace(commit, contributions=(load,))
+            if commit.files:
+                base.landed_files().repartitionByRange("landing_day", "key").write.parquet(f"{self.root}/files/{load}")
+                commit = replace(commit, files=(load,))
+            return commit
 
-    def _publish_users(self, users: DataFrame, base: int) -> None:
+        self._commit(write)
+
+    # Committing
+
+    def _with_users(self, commit: Commit, users: DataFrame) -> Commit:
         # A new folder each time: the snapshot being read is never overwritten.
-        name = f"snapshot_{base + 1:08d}_{uuid.uuid4().hex}"
+        name = _new_name("snapshot_")
         users.write.parquet(f"{self.root}/users/{name}")
-        if not create_once(self.spark, self._marker(base + 1), name):
-            remove(self.spark, f"{self.root}/users/{name}")
-            raise ConcurrentLoadError(f"another load has published version {base + 1}; run this load again")
+        return replace(commit, users=name)
+
+    def _commit(self, write: Callable[[Snapshot], Commit]) -> None:
+        """Publishes what `write` makes of the current state; where another writer was first, makes it anew of the new one."""
+        for _ in range(self.attempts):
+            base = self.snapshot()
+            commit = replace(write(base), version=base.commit.version + 1)
+            if self.log.add(commit):
+                return
+            for folder in sorted(set(_folders(commit)) - set(_folders(base.commit))):
+                remove(self.spark, f"{self.root}/{folder}")
+        raise ConcurrentLoadError(f"others have committed during {self.attempts} attempts; run this load again")
 
     def remove_old_snapshots(self, keep: int = 2) -> None:
-        """Removes all users snapshots but the last `keep`, their markers, and leftovers of loads that died.
+        """Forgets all commits but the last `keep`, and removes what no kept one names, leftovers of loads that died too.
 
-        Not while a load runs, nor while older views of the users are in use.
+        Not while a load runs, nor while older views of the tables are in use.
         """
-        versions = sorted(self._versions())[-max(1, keep) :]
-        kept = {self._snapshot(version) for version in versions}
-        for version in set(self._versions()) - set(versions):
-            remove(self.spark, self._marker(version))
-        for name in names_in(self.spark, f"{self.root}/users"):
-            if name.startswith("snapshot_") and name not in kept:
-                remove(self.spark, f"{self.root}/users/{name}")
+        versions = self.log.versions()
+        kept = versions[-max(1, keep) :]
+        named = {folder for version in kept for folder in _folders(self.log.read(version))}
+        self.log.forget([version for version in versions if version not in kept])
+        for table, start in (("users", "snapshot_"), ("contributions", "load="), ("files", "load=")):
+            for name in names_in(self.spark, f"{self.root}/{table}"):
+                if name.startswith(start) and f"{table}/{name}" not in named:
+                    remove(self.spark, f"{self.root}/{table}/{name}")
         remove(self.spark, f"{self.root}/staging")
 
 
-def append_by_day(contributions: DataFrame, path: str) -> None:
-    """Appends Parquet files partitioned by UTC day.
+def _new_name(start: str) -> str:
+    return f"{start}{uuid.uuid4().hex}"
+
+
+def _folders(commit: Commit) -> list[str]:
+    """Every data folder that a commit names, below the root."""
+    users = [f"users/{commit.users}"] if commit.users else []
+    return users + [f"contributions/{load}" for load in commit.contributions] + [f"files/{load}" for load in commit.files]
+
+
+def _holds_rows(spark: SparkSession, folder: str) -> bool:
+    return any(name.startswith("contrib_date=") for name in names_in(spark, folder))
+
+
+def write_by_day(contributions: DataFrame, path: str) -> None:
+    """Writes Parquet files partitioned by UTC day.
 
     Rebalancing gives each day its own files but splits a day too large for one
     task, so a load of a single day is still written in parallel.
     """
-    contributions.hint("rebalance", "contrib_date").write.mode("append").partitionBy("contrib_date").parquet(path)
+    contributions.hint("rebalance", "contrib_date").write.partitionBy("contrib_date").parquet(path)

@@ -1,0 +1,212 @@
+"""Both tables change together, whoever reads, writes or dies meanwhile."""
+
+from datetime import date
+from pathlib import Path
+
+import pytest
+from pyspark.sql import DataFrameWriter
+from test_landing import HEADER, landing  # noqa: F401
+from test_store import members, store, stored  # noqa: F401
+
+from tallywright.operators.user_dimension import upsert_users
+from tallywright.plans.catalog import report
+from tallywright.sources import store as store_module
+from tallywright.sources.commit_log import Commit, CommitLog
+from tallywright.sources.files import create_once, names_in, read_small
+from tallywright.sources.store import ConcurrentLoadError, ContributionStore
+
+DAY = "2025-01-15"
+COLUMNS = ["timestamp", "user_id", "contribution", "fee", "transaction_count"]
+
+
+def state(store):  # noqa: F811
+    """What a reader of one commit sees: rows and users of the same moment."""
+    now = store.snapshot()
+    rows = {(r["user_id"], r["contrib_date"]): r["contribution"] for r in now.contributions().collect()}
+    return rows, {r["id"] for r in now.users().collect()}, {r["key"] for r in now.landed_files().collect()}
+
+
+@pytest.fixture
+def rows_of(contributions):
+    return lambda *rows: contributions(*rows).select(COLUMNS)
+
+
+def test_a_small_file_is_created_once_and_whole(spark, tmp_path):
+    path = f"{tmp_path}/log/0001"
+    assert create_once(spark, path, "first") and not create_once(spark, path, "second")
+    assert read_small(spark, path) == "first" and names_in(spark, f"{tmp_path}/log") == ["0001"]
+
+
+def test_commits_by_number(spark, tmp_path):
+    log = CommitLog(spark, f"{tmp_path}/log")
+    assert log.latest() == Commit() and log.versions() == []
+    one = Commit(1, "snapshot_a", ("load=x",), ())
+    assert log.add(one) and not log.add(Commit(1, "snapshot_b"))
+    assert log.add(Commit(2, "snapshot_b", ("load=x", "load=y"), ("load=y",)))
+    assert log.read(1) == one and log.latest().contributions == ("load=x", "load=y") and log.versions() == [1, 2]
+
+
+def test_readers_see_both_tables_of_one_commit(store, rows_of, monkeypatch):  # noqa: F811
+    store.load_rows(rows_of(("2024-06-01 10:00", "a")), ["timestamp"])
+    before, seen = state(store), []
+    view = store.snapshot()
+    original = DataFrameWriter.parquet
+
+    def watched(self, path, *args, **options):
+        original(self, path, *args, **options)
+        seen.append((Path(path).parent.name, state(store)))
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    store.load_rows(rows_of(("2024-06-01 10:00", "b"), ("2024-06-02 10:00", "a")), ["timestamp"])
+    assert [name for name, _ in seen] == ["contributions", "users"]
+    assert all(between == before for _, between in seen)
+    after = state(store)
+    assert len(after[0]) == 3 and after[1] == {"a", "b"}
+    # A reader that resolved its commit earlier stays with it, and so does one that asks for it.
+    assert view.contributions().count() == 1 and {r["id"] for r in view.users().collect()} == {"a"}
+    assert store.snapshot(1).contributions().count() == 1
+
+
+@pytest.mark.parametrize("step", ["staging", "contributions", "files", "users", "log"])
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_load_that_dies_changes_nothing_and_can_run_again(store, landing, monkeypatch, step, when):  # noqa: F811
+    landing(DAY, "a_20250115_190002.csv", HEADER + "1,u-a,1,1,1\n")
+    store.load_new(landing.root)
+    before = state(store)
+    landing("2025-01-16", "b_20250116_190002.csv", HEADER + "1,u-a,2,1,1\n2,u-b,3,1,1\n")
+
+    def dying(original, place):
+        def write(*args, **options):
+            if Path(place(args)).parent.name != step:
+                return original(*args, **options)
+            if when == "after":
+                original(*args, **options)
+            raise OSError("lost")
+
+        return write
+
+    with monkeypatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", dying(DataFrameWriter.parquet, lambda args: args[1]))
+        patch.setattr(CommitLog, "add", dying(CommitLog.add, lambda args: f"{args[0].folder}/n"))
+        with pytest.raises(OSError):
+            store.load_new(landing.root)
+    committed = step == "log" and when == "after"
+    assert (state(store) == before) != committed
+    store.load_new(landing.root)
+    assert state(store)[0] == {("u-a", date(2025, 1, 15)): 1.0, ("u-a", date(2025, 1, 16)): 2.0, ("u-b", date(2025, 1, 16)): 3.0}
+    assert store.contributions().count() == 3 and len(state(store)[2]) == 2
+    store.remove_old_snapshots(keep=1)
+    assert len(names_in(store.spark, f"{store.root}/users")) == 1
+    assert store.contributions().count() == 3
+
+
+def test_rows_without_a_time_are_not_added_twice_after_a_crash(store, rows_of, monkeypatch):  # noqa: F811
+    rows = rows_of((None, "a", 1.0), (None, "a", 2.0))
+    with monkeypatch.context() as patch:
+        patch.setattr(CommitLog, "add", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.load_rows(rows, ["timestamp"])
+    store.load_rows(rows, ["timestamp"])
+    assert store.contributions().count() == 2
+
+
+def overtaken_by(other, rows, monkeypatch, times=1):
+    """While a load writes its users, another one commits."""
+    loads = []
+
+    def overtaken(batch, users):
+        if len(loads) < times:
+            loads.append(1)
+            monkeypatch.setattr(store_module, "upsert_users", upsert_users)
+            other.load_rows(rows(len(loads)), ["timestamp"])
+            monkeypatch.setattr(store_module, "upsert_users", overtaken)
+        return upsert_users(batch, users)
+
+    monkeypatch.setattr(store_module, "upsert_users", overtaken)
+
+
+def test_of_two_writers_the_second_does_its_work_again(spark, store, rows_of, monkeypatch):  # noqa: F811
+    other = ContributionStore(spark, store.root)
+    overtaken_by(other, lambda _: rows_of(("2024-06-01 09:00", "a", 9.0), ("2024-06-02 10:00", "b", 8.0)), monkeypatch)
+    store.load_rows(rows_of(("2024-06-01 10:00", "a", 1.0), ("2024-06-03 10:00", "a", 2.0)), ["timestamp"])
+    # The other was stored first, so its row of that day wins; nothing is lost or doubled.
+    assert stored(store) == {
+        ("a", date(2024, 6, 1)): 9.0, ("b", date(2024, 6, 2)): 8.0, ("a", date(2024, 6, 3)): 2.0
+    }
+    assert set(members(store)) == {"a", "b"} and store.contributions().count() == 3
+    assert members(store)["a"][0] == date(2024, 6, 1)
+    # What the lost attempt wrote is gone.
+    assert len(names_in(spark, f"{store.root}/contributions")) == 2 and store.log.versions() == [1, 2]
+
+
+def test_a_writer_that_is_always_late_gives_up(spark, store, rows_of, monkeypatch):  # noqa: F811
+    patient = ContributionStore(spark, store.root, attempts=2)
+    overtaken_by(store, lambda i: rows_of((f"2024-07-0{i} 10:00", "b")), monkeypatch, times=2)
+    with pytest.raises(ConcurrentLoadError):
+        patient.load_rows(rows_of(("2024-06-01 10:00", "a")), ["timestamp"])
+    assert {user for user, _ in stored(store)} == {"b"}
+
+
+def test_compaction_keeps_every_row(store, landing):  # noqa: F811
+    for i in (1, 2, 3):
+        landing(f"2025-01-1{i}", f"a_2025011{i}_190002.csv", HEADER + f"1,u-{i},{i},1,1\n2,u-a,{i},1,1\n")
+        store.load_new(landing.root)
+    before, old = state(store), store.snapshot()
+    store.compact()
+    assert state(store) == before and len(store.snapshot().commit.contributions) == 1
+    assert old.contributions().count() == 6
+    store.load_new(landing.root)
+    assert store.contributions().count() == 6
+    store.remove_old_snapshots(keep=1)
+    assert state(store) == before
+    assert [len(names_in(store.spark, f"{store.root}/{t}")) for t in ("users", "contributions", "files")] == [1, 1, 1]
+
+
+def test_old_commits_are_removed(store, rows_of):  # noqa: F811
+    for day in (1, 2, 3, 4):
+        store.load_rows(rows_of((f"2024-06-0{day} 10:00", f"u{day}")), ["timestamp"])
+    store.remove_old_snapshots(keep=2)
+    assert store.log.versions() == [3, 4] and store.snapshot(3).contributions().count() == 3
+    assert sum(p.name.startswith("snapshot_") for p in Path(store.root, "users").iterdir()) == 2
+    store.load_rows(rows_of(("2024-06-05 10:00", "u5")), ["timestamp"])
+    assert set(members(store)) == {"u1", "u2", "u3", "u4", "u5"}
+
+
+def test_new_files_are_known_by_root_and_name(spark, store, landing, tmp_path_factory):  # noqa: F811
+    landing(DAY, "a_20250115_190002.csv", HEADER + "1,u-a,1,1,1\n")
+    store.load_new(landing.root)
+    version = store.snapshot().commit.version
+    store.load_new(f"{landing.root}//")
+    assert store.snapshot().commit.version == version  # nothing new, nothing written
+    landing("2025-01-14", "late_20250114_190002.csv", HEADER + "1,u-a,2,1,1\n")
+    store.load_new(landing.root)
+    assert stored(store) == {("u-a", date(2025, 1, 15)): 1.0, ("u-a", date(2025, 1, 14)): 2.0}
+    other = ContributionStore(spark, str(tmp_path_factory.mktemp("other")))
+    other.load_new(landing.root)
+    assert stored(other) == stored(store)
+    # A full import takes known files again, and their names stay single.
+    store.load_landing(landing.root)
+    assert store.snapshot().landed_files().count() == 2 and store.contributions().count() == 2
+
+
+def test_many_known_names_stay_out_of_the_driver(spark, store, landing, monkeypatch):  # noqa: F811
+    landing(DAY, "a_20250115_190002.csv", HEADER + "1,u-a,1,1,1\n")
+    store.load_new(landing.root)
+    plans = []
+    original = ContributionStore.load_files
+
+    def spy(self, files, **options):
+        plans.append(files._jdf.queryExecution().optimizedPlan().toString())
+        original(self, files, **options)
+
+    monkeypatch.setattr(ContributionStore, "load_files", spy)
+    store.load_new(landing.root)
+    assert "LeftAnti" in plans[0]
+
+
+def test_reports_read_one_commit(store, rows_of, monkeypatch):  # noqa: F811
+    store.load_rows(rows_of(("2024-06-01 10:00", "a")), ["timestamp"])
+    shown = report(store, "cumulative_by_user")
+    store.load_rows(rows_of(("2024-06-02 10:00", "a"), ("2024-06-02 10:00", "b")), ["timestamp"])
+    assert [r["num_contributions"] for r in shown.collect()] == [1]
+    assert report(store, "cumulative_by_user").count() == 2

@@ -1,8 +1,11 @@
+import time
 from datetime import datetime
 
 import pytest
 
+from tallywright.schemas import LANDING_COLUMNS
 from tallywright.sources.landing import (
+    BLANKS,
     LandingError,
     accepted,
     checked,
@@ -156,3 +159,19 @@ def test_lines_keep_their_order_in_split_files(spark, landing):
         assert [r["contribution"] for r in ordered.collect()] == [float(i) for i in range(3000)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_cell_of_many_blanks_is_checked_in_linear_time(spark):
+    cells = ["1" + " " * 400_000 + "x", " " * 400_000 + "1" + "　\x1c" * 200_000, " " * 400_000]
+    raw = spark.createDataFrame([(str(i), "u", c, "0", "1") for i, c in enumerate(cells)], ", ".join(f"{c} string" for c in LANDING_COLUMNS))
+    checked(raw.limit(0)).count()
+    start = time.perf_counter()
+    found = {r["contribution_id"]: (r["contribution"], r["problem"]) for r in checked(raw).collect()}
+    assert time.perf_counter() - start < 5
+    bad = (None, "amount is not a decimal")
+    assert found == {"0": bad, "1": (1.0, None), "2": bad}
+
+
+def test_blanks_are_those_of_unicode():
+    separators = {chr(c) for c in range(0x1C, 0x20)}
+    assert set(BLANKS) == {chr(c) for c in range(0x110000) if chr(c).isspace()} | separators and len(BLANKS) == len(set(BLANKS))

@@ -9,9 +9,8 @@ from test_landing import HEADER, landing  # noqa: F401
 from test_store import members, store, stored  # noqa: F401
 
 from tallywright import __main__ as cli
-from tallywright.operators.user_dimension import upsert_users
 from tallywright.sources.landing import LandingError, list_files
-from tallywright.sources.store import ConcurrentLoadError, ContributionStore
+from tallywright.sources.store import ContributionStore
 from tallywright.streaming.incremental import import_new_files
 
 DAY = "2025-01-15"
@@ -115,9 +114,9 @@ def test_rows_are_parsed_once(spark, store, landing, monkeypatch):  # noqa: F811
     plans = []
     load = ContributionStore._load
 
-    def spy(self, rows, order, days):
+    def spy(self, rows, *more):
         plans.append(rows._jdf.queryExecution().executedPlan().toString())
-        load(self, rows, order, days)
+        load(self, rows, *more)
 
     monkeypatch.setattr(ContributionStore, "_load", spy)
     store.load_landing(landing.root)
@@ -125,34 +124,6 @@ def test_rows_are_parsed_once(spark, store, landing, monkeypatch):  # noqa: F811
     assert not any(Path(store.root, "staging").iterdir())
 
 
-def test_the_second_of_two_loads_fails(spark, store, contributions, monkeypatch):  # noqa: F811
-    rows = contributions(("2024-06-01 10:00", "a"), ("2024-06-02 10:00", "b"))
-    other = ContributionStore(spark, store.root)
-    loads = []
-
-    def overtaken(batch, users):
-        if not loads:
-            loads.append(1)
-            other.load_rows(rows.filter("user_id = 'b'"), ["timestamp"])
-        return upsert_users(batch, users)
-
-    monkeypatch.setattr("tallywright.sources.store.upsert_users", overtaken)
-    with pytest.raises(ConcurrentLoadError):
-        store.load_rows(rows.filter("user_id = 'a'"), ["timestamp"])
-    assert {user for user, _ in stored(store)} == set(members(store)) == {"b"}
-    store.load_rows(rows.filter("user_id = 'a'"), ["timestamp"])
-    assert {user for user, _ in stored(store)} == set(members(store)) == {"a", "b"}
-
-
-def test_old_snapshots_are_removed(store, contributions):  # noqa: F811
-    for day in (1, 2, 3, 4):
-        store.load_rows(contributions((f"2024-06-0{day} 10:00", f"u{day}")), ["timestamp"])
-    store.remove_old_snapshots(keep=1)
-    assert sum(p.name.startswith("snapshot_") for p in Path(store.root, "users").iterdir()) == 1
-    store.load_rows(contributions(("2024-06-05 10:00", "u5")), ["timestamp"])
-    assert set(members(store)) == {"u1", "u2", "u3", "u4", "u5"}
-
-
 def test_a_report_needs_a_place_or_a_preview():
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["report", "medians", "--store", "s"])

@@ -76,18 +76,6 @@ def test_nothing_to_load(store, landing):  # noqa: F811
     assert store.contributions().count() == 0
 
 
-def test_a_load_cut_short_is_completed_by_the_next_run(store, landing, monkeypatch):  # noqa: F811
-    landing("2025-01-15", "a_20250115_190002.csv", HEADER + "1,u-a,1,1,1\n")
-    with monkeypatch.context() as patch:
-        patch.setattr("tallywright.sources.store.append_by_day", lambda *_: (_ for _ in ()).throw(OSError("lost")))
-        with pytest.raises(OSError):
-            store.load_landing(landing.root)
-    assert store.contributions().count() == 0
-    store.load_landing(landing.root)
-    assert store.contributions().count() == 1
-    assert members(store) == {"u-a": (date(2025, 1, 15), datetime(2025, 1, 15))}
-
-
 def test_historic_rows_and_backfill(store, contributions):
     history = contributions(
         ("2024-06-03 19:00:00", "a", 5.0, 0.0, None),
