@@ -360,6 +360,45 @@ keys as (
   from events
 )"""
 
+_SPELLED = f"""{EVENT_ROWS},
+spelled as (
+  select *, case arrival % 4 when 0 then 'Zoë-' || user_id when 1 then 'ZOE-' || user_id
+                             when 2 then 'zoe-' || user_id || ' ' else 'zoë-' || user_id end as written
+  from event_rows
+),
+keyed as (select *, rtrim(lower(strip_accents(written))) as id_key from spelled)"""
+
+_COLLATED_DATES = f"""with {_SPELLED},
+loads as (select *, if(day(ts) > 15, 0, 1) as load from keyed),
+winners as (select * from loads qualify row_number() over (partition by id_key, utc_day order by load, ts, arrival) = 1),
+names as (select id_key, arg_min(written, (load, ts, arrival)) as id from loads group by id_key)
+select id, min(utc_day) as date_joined, cast(max(utc_day) as timestamp) as last_contrib
+from names join winners using (id_key) group by id"""
+
+_COLLATED_TOTALS = f"""with {_SPELLED},
+winners as (select * from keyed qualify row_number() over (partition by id_key, utc_day order by ts, arrival) = 1)
+select 'ZOË-' || user_id as id, 'u ZOË-' || user_id as full_name, cast(null as date) as date_joined,
+       cast(cast({_total("contribution")} as decimal(18, 2)) as double) as total_contributions,
+       cast(cast({_total("fee")} as decimal(18, 2)) as double) as total_fees,
+       cast(sum(tx) as double) as total_transactions, count(*) as num_contributions,
+       date_diff('day', min(utc_day), max(utc_day)) as lifespan_days
+from winners group by user_id"""
+
+# Rows of a file share its stamp; in a file lines are in order of event ids.
+_HALF_DAYS = f"""{EVENT_ROWS},
+landed as (select *, date_trunc('day', ts) + interval 12 hour * (hour(ts) // 12) as stamp from event_rows)"""
+
+_LANDING_LOAD = f"""with {_HALF_DAYS}
+select user_id, utc_day as contrib_date, stamp as timestamp, contribution, fee, tx as transaction_count from landed
+qualify row_number() over (partition by user_id, utc_day order by stamp, arrival) = 1"""
+
+_LANDING_INCREMENTS = f"""with {_HALF_DAYS},
+winners as (select * from landed qualify row_number() over (partition by user_id, utc_day order by stamp desc, arrival) = 1)
+select user_id, utc_day as contrib_date, stamp as timestamp, contribution, fee,
+       min(utc_day) over (partition by user_id) as date_joined,
+       cast(max(utc_day) over (partition by user_id) as timestamp) as last_contrib
+from winners"""
+
 ORACLE_SQL: dict[str, str] = {
     "daily_cumulative": _DAILY_CUMULATIVE,
     "cumulative_by_user": _CUMULATIVE_BY_USER,
@@ -398,6 +437,13 @@ from c""",
 select user_id, utc_day as contrib_date, contribution, fee, tx as transaction_count, arrival from inserted""",
     "row_validation": f"""with {_RAW}
 select coalesce(problem, 'none') as problem, count(*) as n from judged group by 1""",
+    "landing_load": _LANDING_LOAD,
+    "landing_increments": _LANDING_INCREMENTS,
+    "collated_first_wins": f"""with {_SPELLED}
+select written as user_id, utc_day as contrib_date, ts as timestamp, contribution, arrival from keyed
+qualify row_number() over (partition by id_key, utc_day order by ts, arrival) = 1""",
+    "collated_user_dates": _COLLATED_DATES,
+    "collated_totals": _COLLATED_TOTALS,
     "row_rejects": f"with {_RAW} select contribution_id, problem from judged where problem is not null",
     "landing_keys": f"""with {_KEYS}
 select event_id, key, case event_type when 'signup' then null

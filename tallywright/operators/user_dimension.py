@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.clock import utc_day
+from tallywright.functions.collation import is_collated, spelled
+
+
+def _distinct_ids(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """(id): every id in `rows` once; under a collation in the spelling that comes first in `order`."""
+    if not is_collated(rows, "user_id"):
+        return rows.select(F.col("user_id").alias("id")).distinct()
+    written = spelled("user_id")
+    kind = rows.schema["user_id"].dataType
+    first = F.min_by(written, F.struct(*order, written))
+    return rows.groupBy("user_id").agg(first.alias("_first")).select(F.collate("_first", kind.collation).alias("id"))
 
 
-def new_users(rows: DataFrame, users: DataFrame) -> DataFrame:
+def new_users(rows: DataFrame, users: DataFrame, order: Sequence[Column | str] = ()) -> DataFrame:
     """Ids in `rows` that `users` does not hold, once each, as bare users."""
-    fresh = rows.select(F.col("user_id").alias("id")).distinct().join(users.select("id"), "id", "left_anti")
+    fresh = _distinct_ids(rows, order).join(users.select("id"), "id", "left_anti")
     now = F.current_timestamp()
     filled = {"users_created": now, "users_modified": now}
     return fresh.select(
@@ -18,8 +31,8 @@ def new_users(rows: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def upsert_users(rows: DataFrame, users: DataFrame) -> DataFrame:
-    return users.unionByName(new_users(rows, users))
+def upsert_users(rows: DataFrame, users: DataFrame, order: Sequence[Column | str] = ()) -> DataFrame:
+    return users.unionByName(new_users(rows, users, order))
 
 
 def _contribution_span(contributions: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -84,3 +85,21 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     files, place = _open(spark, path)
     files.delete(place, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Gives a file another name, in a folder that is made where there is none."""
+    files, place = _open(spark, path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+    files.mkdirs(target.getParent())
+    if not files.rename(place, target):
+        raise OSError(f"{path} cannot be moved to {to}")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`; a temporary one only on a local master."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return (folder or tempfile.mkdtemp(prefix="tallywright-")).rstrip("/")

@@ -7,6 +7,7 @@ years of sparse history.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallywright.functions.derived import with_contribution_columns
 from tallywright.operators.first_wins import first_wins
@@ -48,6 +49,15 @@ def event_rows(spark: SparkSession, folder: str) -> DataFrame:
     return with_contribution_columns(rows)
 
 
+def spelled_event_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """`event_rows` whose user ids come in four spellings, differing in case, an accent and a blank at the end."""
+    spelling = (
+        "CASE arrival % 4 WHEN 0 THEN concat('Zoë-', user_id) WHEN 1 THEN concat('ZOE-', user_id)"
+        " WHEN 2 THEN concat('zoe-', user_id, ' ') ELSE concat('zoë-', user_id) END"
+    )
+    return event_rows(spark, folder).withColumn("user_id", F.expr(spelling))
+
+
 def order_rows(spark: SparkSession, folder: str, where: str = "true") -> DataFrame:
     """Every order (or those that meet a condition) as a contribution row, with its arrival order."""
     rows = table(spark, folder, "orders").filter(where).selectExpr(

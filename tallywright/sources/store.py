@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.functions.clock import utc_day
+from tallywright.functions.collation import collated, spelled
 from tallywright.functions.derived import with_contribution_columns
 from tallywright.operators.first_wins import first_wins, not_stored
 from tallywright.operators.user_dimension import apply_inserted_dates, backfill_dates, upsert_users
@@ -36,10 +37,11 @@ class ConcurrentLoadError(RuntimeError):
 class Snapshot:
     """Both tables, and the landing files they came from, as of one commit."""
 
-    def __init__(self, spark: SparkSession, root: str, commit: Commit):
+    def __init__(self, spark: SparkSession, root: str, commit: Commit, id_collation: str | None = None):
         self.spark = spark
         self.root = root
         self.commit = commit
+        self.id_collation = id_collation
 
     def _loads(self, table: str, loads: Sequence[str], schema: T.StructType) -> DataFrame:
         if not loads:
@@ -49,7 +51,7 @@ class Snapshot:
         return rows.select(schema.names)
 
     def contributions(self) -> DataFrame:
-        return self._loads("contributions", self.commit.contributions, CONTRIBUTIONS)
+        return collated(self._loads("contributions", self.commit.contributions, CONTRIBUTIONS), self.id_collation, "user_id")
 
     def landed_files(self) -> DataFrame:
         """Root and key of every landing file that has been loaded."""
@@ -57,8 +59,10 @@ class Snapshot:
 
     def users(self) -> DataFrame:
         if self.commit.users is None:
-            return self.spark.createDataFrame([], USERS)
-        return self.spark.read.schema(USERS).parquet(f"{self.root}/users/{self.commit.users}")
+            users = self.spark.createDataFrame([], USERS)
+        else:
+            users = self.spark.read.schema(USERS).parquet(f"{self.root}/users/{self.commit.users}")
+        return collated(users, self.id_collation, "id")
 
 
 class ContributionStore:
@@ -71,19 +75,25 @@ class ContributionStore:
 
     Of two writers that began at the same commit one publishes first; the other throws its
     folders away and does its work again on the new state, up to `attempts` times.
+
+    With `id_collation` (see `functions.collation`) user ids that differ only in what the
+    collation ignores are one user, in loads and in reports; users keep their first spelling.
+    All loads of a store must use the same one.
     """
 
-    def __init__(self, spark: SparkSession, root: str, *, attempts: int = 5):
+    def __init__(self, spark: SparkSession, root: str, *, attempts: int = 5, id_collation: str | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.attempts = attempts
+        self.id_collation = id_collation
         self.log = CommitLog(spark, f"{self.root}/log")
 
     # Reading
 
     def snapshot(self, version: int | None = None) -> Snapshot:
         """The tables as of the last commit, or of an older one that is still kept."""
-        return Snapshot(self.spark, self.root, self.log.latest() if version is None else self.log.read(version))
+        commit = self.log.latest() if version is None else self.log.read(version)
+        return Snapshot(self.spark, self.root, commit, self.id_collation)
 
     def contributions(self) -> DataFrame:
         return self.snapshot().contributions()
@@ -142,7 +152,7 @@ class ContributionStore:
     def _load(
         self, rows: DataFrame, order: Sequence[Column | str], days: set[date | None], names: DataFrame | None = None
     ) -> None:
-        rows = with_contribution_columns(rows)
+        rows = collated(with_contribution_columns(rows), self.id_collation, "user_id")
 
         def write(base: Snapshot) -> Commit:
             # `days` has one entry per calendar day of the load; only those
@@ -153,10 +163,10 @@ class ContributionStore:
             if None in days:
                 fresh = fresh.unionByName(rows.filter("contrib_date IS NULL"))
             now = F.current_timestamp()
-            audit = {"contributions_created": now, "contributions_modified": now}
+            filled = {"contributions_created": now, "contributions_modified": now, "user_id": spelled("user_id")}
             load = _new_name("load=")
             write_by_day(
-                fresh.select(*[audit.get(name, F.col(name)).alias(name) for name in CONTRIBUTIONS.names]),
+                fresh.select(*[filled.get(name, F.col(name)).alias(name) for name in CONTRIBUTIONS.names]),
                 f"{self.root}/contributions/{load}",
             )
             commit = base.commit
@@ -166,8 +176,8 @@ class ContributionStore:
                 known = base.landed_files().join(F.broadcast(names), ["landing_root", "key"], "left_semi")
                 names.join(known, ["landing_root", "key"], "left_anti").write.parquet(f"{self.root}/files/{load}")
                 commit = replace(commit, files=(*commit.files, load))
-            inserted = Snapshot(self.spark, self.root, replace(base.commit, contributions=(load,))).contributions()
-            return self._with_users(commit, apply_inserted_dates(upsert_users(rows, base.users()), inserted))
+            inserted = Snapshot(self.spark, self.root, Commit(contributions=(load,)), self.id_collation).contributions()
+            return self._with_users(commit, apply_inserted_dates(upsert_users(rows, base.users(), order), inserted))
 
         self._commit(write)
 
@@ -182,7 +192,7 @@ class ContributionStore:
             load = _new_name("load=")
             commit = base.commit
             if commit.contributions:
-                write_by_day(base.contributions(), f"{self.root}/contributions/{load}")
+                write_by_day(base.contributions().withColumn("user_id", spelled("user_id")), f"{self.root}/contributions/{load}")
                 commit = replace(commit, contributions=(load,))
             if commit.files:
                 base.landed_files().repartitionByRange("landing_day", "key").write.parquet(f"{self.root}/files/{load}")
@@ -196,7 +206,7 @@ class ContributionStore:
     def _with_users(self, commit: Commit, users: DataFrame) -> Commit:
         # A new folder each time: the snapshot being read is never overwritten.
         name = _new_name("snapshot_")
-        users.write.parquet(f"{self.root}/users/{name}")
+        users.withColumn("id", spelled("id")).write.parquet(f"{self.root}/users/{name}")
         return replace(commit, users=name)
 
     def _commit(self, write: Callable[[Snapshot], Commit]) -> None:

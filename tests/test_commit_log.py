@@ -114,13 +114,13 @@ def overtaken_by(other, rows, monkeypatch, times=1):
     """While a load writes its users, another one commits."""
     loads = []
 
-    def overtaken(batch, users):
+    def overtaken(*args):
         if len(loads) < times:
             loads.append(1)
             monkeypatch.setattr(store_module, "upsert_users", upsert_users)
             other.load_rows(rows(len(loads)), ["timestamp"])
             monkeypatch.setattr(store_module, "upsert_users", overtaken)
-        return upsert_users(batch, users)
+        return upsert_users(*args)
 
     monkeypatch.setattr(store_module, "upsert_users", overtaken)
 

@@ -162,7 +162,7 @@ def test_lines_keep_their_order_in_split_files(spark, landing):
 
 
 def test_a_cell_of_many_blanks_is_checked_in_linear_time(spark):
-    cells = ["1" + " " * 400_000 + "x", " " * 400_000 + "1" + "　\x1c" * 200_000, " " * 400_000]
+    cells = ["1" + " " * 400_000 + "x", " " * 400_000 + "1" + "\u3000\x1c" * 200_000, " " * 400_000]
     raw = spark.createDataFrame([(str(i), "u", c, "0", "1") for i, c in enumerate(cells)], ", ".join(f"{c} string" for c in LANDING_COLUMNS))
     checked(raw.limit(0)).count()
     start = time.perf_counter()
