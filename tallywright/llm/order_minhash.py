@@ -3,18 +3,23 @@
 Each document's word k-mers (five words) are labelled by how often they have occurred
 before. A sketch entry samples the two labelled k-mers that are least under its hash and
 keeps them in the order of the text, so equal entries speak for equal order too: for
-similarity of edits, not of bags. Documents that share an entry are candidates. They first
-meet that entry's two leaders (its smallest and largest id), then, while this connects
-more, one member of the entry's largest and of its smallest group. Then all members that
-are not yet connected meet each other, so that no candidate is left out; pairs whose
-lengths or counts of words alone ask for too many edits need no alignment. A pair is a
-link if a banded alignment of the two word sequences needs edits for at most a fifth of
-the longer one, and groups are the connected components of links.
+similarity of edits, not of bags. Documents that share an entry are candidates. A pair is a
+link if a banded alignment of the two word sequences needs edits for at most a fifth of the
+longer one, and groups are the connected components of links.
+
+Candidates meet in two steps. First every member of an entry meets the entry's two leaders
+(its smallest and largest id), which joins up most groups. Then, in entries whose members
+are still in several components, all members of different components meet, in tasks that hold
+two chunks of an entry each; a pair that shares several entries meets in the first. Such
+a task aligns what lengths and counts of words do not rule out, stops comparing members that
+its links have connected, and returns a link for each of two components that it has joined:
+no more rows than members, and no candidate left out.
 
 Copies with the same words are one class from the start. Sketches of two documents with
 a share j of common k-mers agree in an entry with a probability of about j squared; with
 20 entries 0.95 of pairs at j = 0.37 are found and 0.999 at j = 0.54. Whole texts are
-read once for the sketches and once for the documents that take part in a candidate pair.
+read once for the sketches and once for the word hashes of documents that have a candidate;
+only those hashes are shuffled.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.llm import bitmaps
 from tallywright.llm.common import stored
 from tallywright.llm.components import components
 
@@ -34,10 +40,13 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 ENTRIES = 20
 BAG = 256  # counters of words, up to 255 each
-CHUNK_ROWS = 256
+CHUNK_ROWS = 1024
 
 _SLICE_BYTES = 2 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+# Thai, Lao, Tibetan, Burmese, Khmer, kana and Han have no blanks between words: there each character is a word.
+_SOLID = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_MARK = re.compile("[^\\w\x00-\x7f\u0300-\u036f]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -51,9 +60,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _prepared(text: str | None) -> bytes:
+    """The text in lower case, with blanks around words that have none and for marks outside ASCII."""
+    if not text:
+        return b""
+    text = text.lower()
+    if not text.isascii():
+        text = _MARK.sub(" ", _SOLID.sub(r" \g<0> ", text))
+    return text.encode("utf-8", "replace")
+
+
 def word_list(text: str | None) -> list[bytes]:
-    """Runs of letters and digits in lower case; all characters outside ASCII count as letters."""
-    return _WORD.findall(text.lower().encode("utf-8", "replace")) if text else []
+    """Runs of letters and digits in lower case; single characters in scripts without blanks."""
+    return _WORD.findall(_prepared(text))
 
 
 class WordHashes:
@@ -70,7 +89,7 @@ class WordHashes:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All words' hashes end to end and the number of words of each text."""
-        raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+        raw = [_prepared(t) for t in texts]
         data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         self._reach(len(data))
         inside = _IS_WORD[data]
@@ -140,17 +159,23 @@ def bags(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(at, minlength=len(sizes) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
 
 
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    start = held = 0
+    for end, text in enumerate(texts, 1):
+        held += len(text or "")
+        if held >= _SLICE_BYTES or end == len(texts):
+            yield start, end
+            start, held = end, 0
+
+
 def fingerprints(docs: DataFrame, key: str, text: str, entries: int = ENTRIES) -> DataFrame:
-    """(doc_id, h1, h2, entries, size, bag) of every row that has an id and words."""
+    """(doc_id, h1, h2, entries) of every row that has an id and words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, texts, start, held = batch.column(0), batch.column(1).to_pylist(), 0, 0
-            for end in range(1, len(texts) + 1):
-                held += len(texts[end - 1] or "")
-                if held < _SLICE_BYTES and end < len(texts):
-                    continue
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for start, end in _slices(texts):
                 words, sizes = hashes(texts[start:end])
                 some = np.flatnonzero(sizes)
                 if len(some):
@@ -162,15 +187,33 @@ def fingerprints(docs: DataFrame, key: str, text: str, entries: int = ENTRIES) -
                             pa.array(sequence[:, 0].astype(np.int64)),
                             pa.array(sequence[:, 1].astype(np.int64)),
                             pa.ListArray.from_arrays(offsets, pa.array(found.ravel().astype(np.int64))),
-                            pa.array(sizes[some].astype(np.int64)),
-                            pa.array([b.tobytes() for b in bags(words, sizes[some])], pa.binary()),
                         ],
-                        ["doc_id", "h1", "h2", "entries", "size", "bag"],
+                        ["doc_id", "h1", "h2", "entries"],
                     )
-                start, held = end, 0
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull())
-    return rows.mapInArrow(work, "doc_id long, h1 long, h2 long, entries array<long>, size long, bag binary")
+    return rows.mapInArrow(work, "doc_id long, h1 long, h2 long, entries array<long>")
+
+
+def word_sequences(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(id, words): the 64-bit hashes of all words, in order, of the documents whose ids are in `wanted`; rows that repeat as one."""
+    place = F.xxhash64(F.col(key).cast("long"))
+    known = docs.sparkSession.sparkContext.broadcast(bitmaps.collected(wanted.select(F.xxhash64("id").alias("place")), "place"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            batch = batch.filter(pa.array(bitmaps.held(known.value, batch.column(2).to_numpy().view(np.uint64))))
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for start, end in _slices(texts):
+                words, sizes = hashes(texts[start:end])
+                ends = np.cumsum(sizes)
+                rows = [words[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(rows, pa.binary())], ["id", "words"])
+
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), place.alias("place")).filter(F.col("id").isNotNull())
+    found = rows.mapInArrow(work, "id long, words binary").filter(F.length("words") > 0).join(wanted, "id", "left_semi")
+    return found.groupBy("id", F.xxhash64("words").alias("same")).agg(F.first("words").alias("words")).select("id", "words")
 
 
 def banded_distance(a: list, b: list, most: int) -> int | None:
@@ -225,114 +268,100 @@ def similar(a: list, b: list, similarity: float = SIMILARITY) -> bool:
 def _members(rows: DataFrame) -> DataFrame:
     """(entry, id, n, low, high): the members of entries that several ids share, with their number and the leaders."""
     leaders = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
-    return stored(rows.join(stored(leaders.filter("low < high"), "entry-leaders"), "entry"), "bucket-members")
+    shared = stored(leaders.filter("low < high"), "shared-entries")
+    # Most entries have one member; a bitmap of the others spares the second shuffle their rows.
+    bitmap = stored(bitmaps.parts(shared, "entry"), "shared-entries-bitmap")
+    likely = bitmaps.perhaps_in(rows, "entry", bitmap, "likely").filter("likely").drop("likely")
+    return stored(likely.join(shared.hint("merge"), "entry"), "bucket-members")
 
 
 def _leader_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): every member of an entry with the entry's smallest and its largest id."""
-    low = members.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    high = members.filter("id < high AND id > low").select(F.col("id").alias("a"), F.col("high").alias("b"))
+    """(leader, id): every member of an entry with the entry's smallest and its largest id, once."""
+    low = members.filter("id > low").select(F.col("low").alias("leader"), "id")
+    high = members.filter("id < high AND id > low").select(F.col("high").alias("leader"), "id")
     return low.union(high).distinct()
 
 
+def _leader_links(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs (leader, id) that align. A leader's words are written once for every chunk of its members."""
+    chunks = F.ceil(F.col("n") / CHUNK_ROWS).cast("int")
+    fan = stored(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), "leaders")
+    members = pairs.join(fan.hint("merge"), "leader").select("leader", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), "id")
+    leaders = fan.select("leader", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.col("leader").alias("id"))
+
+    def align(rows: pa.Table) -> pa.Table:
+        ids, leader = rows.column("id").to_pylist(), rows.column("leader")[0].as_py()
+        lists = [np.frombuffer(w, np.int64).tolist() for w in rows.column("words").to_pylist()]
+        heads = [words for i, words in zip(ids, lists, strict=True) if i == leader]
+        linked = {i for i, words in zip(ids, lists, strict=True) if i != leader and any(similar(h, words, similarity) for h in heads)}
+        return pa.table({"a": pa.array([leader] * len(linked), pa.int64()), "b": pa.array(sorted(linked), pa.int64())})
+
+    met = members.union(leaders).join(words, "id").select("leader", "chunk", "id", "words")
+    return met.groupBy("leader", "chunk").applyInArrow(align, "a long, b long")
+
+
 def _unconnected(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """`members` of entries that hold several groups, with component, cross (pairs of different groups) and two pivots.
+    """`members` of entries whose members are in several components, with component.
 
     In entries of up to three members all pairs have met their leaders.
     """
     component = F.coalesce("component", "id").alias("component")
     named = stored(
-        members.filter("n > 3").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select(*members.columns, component),
+        members.filter("n > 3").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("entry", "id", "n", component),
         "named-members",
     )
-    fresh = F.when((F.col("id") > F.col("low")) & (F.col("id") < F.col("high")), F.col("id"))
-    parts = named.groupBy("entry", "component").agg(
-        F.count(F.lit(1)).alias("part"), F.coalesce(F.min(fresh), F.min("id")).alias("pivot"), F.max_by("id", F.xxhash64("id")).alias("other")
-    )
-    several = (
-        parts.groupBy("entry")
-        .agg(
-            F.sum("part").alias("all"),
-            F.sum(F.col("part") * F.col("part")).alias("squares"),
-            F.max(F.struct("part", "component", "pivot")).alias("large"),
-            F.min(F.struct("part", "component", "other")).alias("small"),
-        )
-        .filter(F.col("all") * F.col("all") > F.col("squares"))
-        .select("entry", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("cross"), "large", "small")
-    )
-    return stored(named.join(stored(several, "unconnected-entries"), "entry"), "unconnected-members")
+    reach = named.groupBy("entry").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    several = stored(reach.filter("least < most").select("entry"), "unconnected-entries")
+    return named.join(several.hint("merge"), "entry", "left_semi")
 
 
-def _pivot_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): a member of each entry's largest and one of its smallest group with all members of other groups."""
-    pivot = lambda of, name: members.filter(F.col("component") != F.col(f"{of}.component")).select(
-        F.least("id", f"{of}.{name}").alias("a"), F.greatest("id", f"{of}.{name}").alias("b")
-    )
-    return pivot("large", "pivot").union(pivot("small", "other")).distinct()
-
+def _remaining_links(members: DataFrame, classes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): components that a link between members of an entry joins; at most one row a member of a task.
 
-def _remaining_pairs(members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of members of different groups in an entry that lengths and counts of words don't rule out.
-
-    An edit changes the length by one at most, and adds and takes one word at most. Entries
-    of many members are dealt out as pairs of chunks.
+    All members of different components meet. An edit changes the length by one at most, and
+    adds and takes one word at most, which rules most pairs out. Entries of many members are
+    dealt out as pairs of chunks, a task for each.
     """
     chunks = F.ceil(F.col("n") / CHUNK_ROWS).cast("int")
     dealt = (
-        members.join(classes.select("id", "size", "bag"), "id")
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+        members.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select("entry", "id", "component", "size", "bag", "chunk", F.expr("id = low OR id = high").alias("leader"),
-                F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
-    )
+        .select("entry", "id", "component", "chunk", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
+        .join(classes.select("id", "entries"), "id")
+        .join(words, "id")
+    )
 
     def meet(rows: pa.Table) -> pa.Table:
-        ids, component, size, chunk = (rows.column(c).to_numpy() for c in ("id", "component", "size", "chunk"))
-        leader = np.array(rows.column("leader").to_pylist(), bool)
-        bag = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
-        cross = rows.column("left")[0].as_py() != rows.column("right")[0].as_py()
+        entry, left = rows.column("entry")[0].as_py(), rows.column("left")[0].as_py()
+        cross = rows.column("right")[0].as_py() != left
+        entries = rows.column("entries").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        held = np.flatnonzero((entries == entry).any(axis=1))  # an id that repeats may come with entries of another text
+        entries = entries[held]
+        ids, component, chunk = (rows.column(c).to_numpy()[held] for c in ("id", "component", "chunk"))
+        raw = [np.frombuffer(w, np.uint64) for w in rows.column("words").take(pa.array(held)).to_pylist()]
+        size = np.array([len(w) for w in raw])
+        bag = bags(np.concatenate([np.zeros(0, np.uint64), *raw]), size).astype(np.int16)
+        component, slot = component.copy(), (entries[:1] == entry).argmax() if len(held) else 0
         a, b = [], []
-        for i in np.flatnonzero(~leader):
-            longer = np.maximum(size, size[i])
-            most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
-            able = (ids > ids[i]) & ~leader & (component != component[i]) & (2 * longer - size - size[i] <= most)
-            if cross:
-                able &= chunk != chunk[i]
-            at = np.flatnonzero(able)
+        order = np.arange(len(ids))
+        for i in np.flatnonzero(chunk == left) if cross else order:
+            at = order[(chunk != left) if cross else (order > i)]
+            at = at[component[at] != component[i]]
+            most = ((1 - similarity) * np.maximum(size[at], size[i]) + 1e-9).astype(np.int64)
+            able = (np.abs(size[at] - size[i]) <= most) & ((entries[at] == entries[i]).argmax(axis=1) == slot)
+            at, most = at[able], most[able]
             change = bag[at] - bag[i]
             more = np.maximum(change, 0).sum(axis=1, dtype=np.int64)
             less = more - change.sum(axis=1, dtype=np.int64)
-            at = at[np.maximum(more, less) <= most[at]]
-            a.append(np.full(len(at), ids[i]))
-            b.append(ids[at])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+            for j in at[np.maximum(more, less) <= most]:
+                if component[j] != component[i] and similar(raw[i].tolist(), raw[j].tolist(), similarity):
+                    old, new = max(component[i], component[j]), min(component[i], component[j])
+                    a.append(new)
+                    b.append(old)
+                    component[component == old] = new
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("entry", "left", "right").applyInArrow(meet, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts align."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
-    bodies = stored(
-        docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id"), "candidate-texts"
-    )
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, words = None, []
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                left = left.as_py()
-                if left != last:
-                    last, words = left, word_list(left)
-                keep.append(similar(words, word_list(right.as_py()), similarity))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    both = pairs.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").join(
-        bodies.select(F.col("id").alias("a"), F.col("text").alias("left")), "a"
-    )
-    return stored(both.select("a", "b", "left", "right").mapInArrow(align, "a long, b long"), "aligned-pairs")
+    return dealt.groupBy("entry", "left", "right").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(
@@ -347,27 +376,20 @@ def near_duplicates(
     links. An empty table gives no rows.
     """
     prints = stored(fingerprints(docs, key, text, entries), "fingerprints")
-    first = [F.first(c).alias(c) for c in ("entries", "size", "bag")]
-    classes = stored(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *first), "word-classes")
-    members = _members(classes.select("id", F.explode("entries").alias("entry")).distinct())
-
-    asked = stored(_leader_pairs(members), "candidate-pairs")
-    links = _verified(asked, docs, key, text, similarity)
-    groups, before = components(links), None
-    while True:
-        apart = _unconnected(members, groups)
-        n, cross = apart.agg(F.count(F.lit(1)), F.sum(F.col("cross") / F.col("n"))).first()
-        if not n:
-            break
-        # Pivots as long as they spare many pairs; the pairs that are left then meet all at once.
-        last = cross <= 4 * n or (before is not None and cross > 0.8 * before)
-        pairs = _remaining_pairs(apart, classes, similarity) if last else _pivot_pairs(apart)
-        new = stored(pairs.join(asked, ["a", "b"], "left_anti"), "candidate-pairs")
-        links = stored(links.union(_verified(new, docs, key, text, similarity)), "links")
-        groups = components(links)
-        if last:
-            break
-        asked, before = stored(asked.union(new), "asked-pairs"), cross
+    classes = stored(
+        prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("entries").alias("entries")), "word-classes"
+    )
+    members = _members(classes.select("id", F.explode("entries").alias("entry")))
+    pairs = stored(_leader_pairs(members), "leader-pairs")
+    wanted = stored(pairs.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), "candidate-ids")
+    words = stored(word_sequences(docs, key, text, wanted), "candidate-words")
+    groups = stored(components(stored(_leader_links(pairs, words, similarity), "leader-links")), "leader-groups")
+    apart = stored(_unconnected(members, groups), "unconnected-members")
+    # Links of the second step are between components of the first.
+    joined = components(stored(_remaining_links(apart, classes, words, similarity), "remaining-links"))
+    merged = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    alone = merged.join(groups, "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
+    groups = groups.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).union(alone)
 
     same = prints.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", F.col("id").alias("class_id")), ["h1", "h2"])
     # An id that several rows carry belongs to the smallest group that any of them reaches.

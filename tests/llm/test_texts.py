@@ -419,3 +419,27 @@ def test_skip_edges_carry_labels():
     graph.add(0, text, pii_crf.base_spans(text))
     p = pii_crf.infer(*graph.arrays(), weights)
     assert p[1].argmax() == pii_crf.KINDS.index("phone") and p[2].max() < 0.3
+
+
+def test_texts_without_blanks_between_words(docs_of):
+    r = random.Random(21)
+    han = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(400))
+    thai = "".join(chr(0x0E01 + r.randrange(40)) for _ in range(300))
+    changed = lambda t, i: t[:i] + ("七" if t is han else "ๆ") + t[i + 1 :]
+    rows = [(1, han), (2, changed(han, 200)), (3, han[::-1]), (4, thai), (5, changed(thai, 40) + "。"), (6, "“Quoted” words — and more of them"), (7, "quoted words and more of them")]
+    found = {row.doc_id: row.cluster_id for row in order_minhash.near_duplicates(docs_of(*rows)).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6}
+
+
+def test_a_large_bucket_of_unlike_documents(spark, docs_of, monkeypatch):
+    """A passage in many unlike texts, some of which have copies: chunks meet each other, and what they return grows no faster than their members."""
+    monkeypatch.setattr(order_minhash, "CHUNK_ROWS", 16)
+    passage, r = prose(77, 40), random.Random(13)
+    rows = []
+    for group in range(40):
+        own = prose(1000 + group, 30)
+        for copy in range(r.choice([1, 1, 2, 3])):
+            rows.append((group + 100 * copy, " ".join([w if r.random() > 0.05 else "edit" for w in own[:15] + passage + own[15:]])))
+    r.shuffle(rows)
+    docs = docs_of(*rows)
+    assert {row.doc_id: row.cluster_id for row in order_minhash.near_duplicates(docs).collect()} == groups_by_entries(docs, order_minhash.ENTRIES)
