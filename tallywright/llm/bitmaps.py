@@ -43,7 +43,7 @@ def collected(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     """The whole bitmap as bytes on the driver: 2**bits / 8 of them, whatever the number of hashes."""
     size = max(1 << bits, _PART_BITS)
     whole = np.zeros(size // 8, np.uint8)
-    for row in parts(hashes, column, bits).toLocalIterator():
+    for row in parts(hashes, column, bits).collect():  # as many rows as the bitmap has parts, at most
         start = (row["part"] - 1) * (_PART_BITS // 8)
         whole[start : start + _PART_BITS // 8] = np.frombuffer(row["bitmap"], np.uint8)
     return whole

@@ -39,7 +39,7 @@ def _surviving_heads(measured: DataFrame) -> DataFrame:
 def _digested(docs: DataFrame, key: str, text: str, row: Column, every_digest: bool) -> DataFrame:
     """(key, row, size, survived, digest) of every row; digest only where needed."""
     measured = _measured(docs, text)
-    bitmap = stored(bitmaps.parts(_surviving_heads(measured), "head"), "surviving-prefixes")
+    bitmap = bitmaps.parts(_surviving_heads(measured), "head")
     flagged = bitmaps.perhaps_in(measured, "__head", bitmap, "__survived")
     digest = F.sha2(F.encode("__body", "UTF-8"), 256)
     if not every_digest:

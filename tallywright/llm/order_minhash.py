@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 
 from tallywright.llm import bitmaps
 from tallywright.llm.common import stored
-from tallywright.llm.components import components
+from tallywright.llm.components import components, jumped, labels, oriented
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 ENTRIES = 20
 BAG = 256  # counters of words, up to 255 each
 CHUNK_ROWS = 1024
+JUMPS = 2
 
 _SLICE_BYTES = 2 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -270,8 +271,7 @@ def _members(rows: DataFrame) -> DataFrame:
     leaders = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     shared = stored(leaders.filter("low < high"), "shared-entries")
     # Most entries have one member; a bitmap of the others spares the second shuffle their rows.
-    bitmap = stored(bitmaps.parts(shared, "entry"), "shared-entries-bitmap")
-    likely = bitmaps.perhaps_in(rows, "entry", bitmap, "likely").filter("likely").drop("likely")
+    likely = bitmaps.perhaps_in(rows, "entry", bitmaps.parts(shared, "entry"), "likely").filter("likely").drop("likely")
     return stored(likely.join(shared.hint("merge"), "entry"), "bucket-members")
 
 
@@ -311,8 +311,8 @@ def _unconnected(members: DataFrame, groups: DataFrame) -> DataFrame:
         "named-members",
     )
     reach = named.groupBy("entry").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    several = stored(reach.filter("least < most").select("entry"), "unconnected-entries")
-    return named.join(several.hint("merge"), "entry", "left_semi")
+    several = reach.filter("least < most").select("entry")
+    return named.join(several, "entry", "left_semi")
 
 
 def _remaining_links(members: DataFrame, classes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -383,13 +383,20 @@ def near_duplicates(
     pairs = stored(_leader_pairs(members), "leader-pairs")
     wanted = stored(pairs.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), "candidate-ids")
     words = stored(word_sequences(docs, key, text, wanted), "candidate-words")
-    groups = stored(components(stored(_leader_links(pairs, words, similarity), "leader-links")), "leader-groups")
-    apart = stored(_unconnected(members, groups), "unconnected-members")
-    # Links of the second step are between components of the first.
-    joined = components(stored(_remaining_links(apart, classes, words, similarity), "remaining-links"))
-    merged = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    alone = merged.join(groups, "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
-    groups = groups.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).union(alone)
+    edges = stored(oriented(_leader_links(pairs, words, similarity)), "leader-links")
+    # Labels by a few steps along links connect nearly all that is connected, which spares most comparisons.
+    found = labels(edges)
+    for _ in range(JUMPS):
+        found = stored(jumped(stored(found, "leader-labels")), "leader-labels")
+    apart = stored(_unconnected(members, found), "unconnected-members")
+    # What is left to connect are labels: by links of the first step between labels, and by those of the second.
+    label = lambda end, name: found.select(F.col("node").alias(end), F.col("component").alias(name)).hint("merge")
+    between = edges.join(label("u", "a"), "u").join(label("v", "b"), "v").select("a", "b")
+    whole = components(between.filter("a <> b").distinct().union(_remaining_links(apart, classes, words, similarity)))
+    named = found.join(whole.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
+    groups = named.select("node", F.coalesce("whole", "component").alias("component"))
+    alone = whole.join(found.select("node"), "node", "left_anti").select("node", "component")
+    groups = groups.union(alone)
 
     same = prints.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", F.col("id").alias("class_id")), ["h1", "h2"])
     # An id that several rows carry belongs to the smallest group that any of them reaches.
