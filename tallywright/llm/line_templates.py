@@ -7,15 +7,18 @@ which that stretch is a variable field. A template that recurs across documents
 from all of them.
 
 Copies of whole documents are no recurring lines: there the surroundings recur too. Each
-line has three anchors, the least stretches between punctuation of the document's other
-lines under three hashes: long stretches if there are any, else short ones, and the least
-word where a document has no other line. Of the documents with a template, those of its most common anchor
-may be half at most (on the mean of the three); if they are more, the template recurs because its document does, and
-stays for document deduplication.
-
-Templates are 64-bit hashes. All counts combine before they shuffle, a template's lines
-are never gathered, and joins have an exchange on both sides, so that a template held by a
-third of all documents can be split.
+line has six anchors, the least stretches between punctuation of the document's other lines
+under six hashes: long stretches if there are any, else short ones, and the least word where
+a document has no other line. Documents that share a template's most common anchor under any
+of the hashes are copies of one document and count as one surrounding; the others count by
+their different anchors. A template recurs if it has LEAST_DOCUMENTS surroundings, two where
+its lines are LONG_TOKENS tokens or more, and if those of the others are at least one in
+STRAY of its documents: heavily edited copies may share no anchor by chance.
+
+Templates are 64-bit hashes. A line's row holds its own text alone, so memory grows with a
+document's length and never with its square. All counts combine before they shuffle, a
+template's lines are never gathered, and joins have an exchange on both sides, so that a
+template held by a third of all documents can be split.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from tallywright.llm.common import stored, words
 LEADING = 3
 VARIABLE = 5  # one part in so many may be a variable stretch
 LEAST_DOCUMENTS = 3
-ANCHORS = 3
+LONG_TOKENS = 20
+STRAY = 20
+ANCHORS = 6
 UNIT_CHARS = 20
 
 _STRETCHES = 6  # (n - LEADING) / (n // VARIABLE) is never more
@@ -40,32 +45,17 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _document(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_key, body, m0.., low0..): per anchor the least stretch of each line, and the two least of different lines."""
-    body = F.coalesce(F.col(text), F.lit(""))
-
-    def least_of(b: int) -> Column:
-        # Long stretches get negative numbers, so that they come before short ones.
-        unit = lambda u: F.xxhash64(F.lit(b), F.trim(u))
-        hashed = lambda u: F.when(F.length(u) >= UNIT_CHARS, unit(u).bitwiseOR(F.lit(-(1 << 63)))).when(
-            F.trim(u) != "", unit(u).bitwiseAND(F.lit((1 << 63) - 1))
-        )
-        return F.transform(lines_of(F.col("body")), lambda line: F.array_min(F.transform(F.split(line, "[.,\r]+"), hashed)))
-
-    two = lambda b: F.slice(F.sort_array(F.array_distinct(F.array_compact(f"m{b}"))), 1, 2)
-    return (
-        docs.select(F.xxhash64(F.col(key), F.col(text)).alias("doc_key"), body.alias("body"))
-        .withColumns({f"m{b}": least_of(b) for b in range(ANCHORS)})
-        .withColumns({f"low{b}": two(b) for b in range(ANCHORS)})
+def _least_stretches(line: Column) -> Column:
+    """The least stretch between punctuation of a line under every hash; empty for a line without any."""
+    # Long stretches get negative numbers, so that they come before short ones.
+    hashed = lambda u: F.when(F.length(u) >= UNIT_CHARS, F.xxhash64(F.trim(u)).bitwiseOR(F.lit(-(1 << 63)))).when(
+        F.trim(u) != "", F.xxhash64(F.trim(u)).bitwiseAND(F.lit((1 << 63) - 1))
     )
-
-
-def _anchor(b: int) -> Column:
-    """The least stretch of the document's other lines; where there is none the least word of the text, which near copies share."""
-    first, second = F.get(f"low{b}", F.lit(0)), F.get(f"low{b}", F.lit(1))
-    own = F.get(f"m{b}", F.col("line_no"))
-    word = F.array_min(F.transform(words(F.col("body")), lambda w: F.xxhash64(F.lit(b), w)))
-    return F.coalesce(F.when(own.eqNullSafe(first), second).otherwise(first), word, F.xxhash64("body"))
+    found = F.array_compact(F.transform(F.split(line, "[.,\r]+"), hashed))
+    sign = F.lit(-(1 << 63))
+    rest = F.lit((1 << 63) - 1)
+    other = lambda b: F.transform(found, lambda h: F.xxhash64(h, F.lit(b)).bitwiseAND(rest).bitwiseOR(h.bitwiseAND(sign)))
+    return F.array(*[F.array_min(other(b)) for b in range(ANCHORS)])
 
 
 def _template_keys(line: str) -> Column:
@@ -75,12 +65,28 @@ def _template_keys(line: str) -> Column:
     return F.split(masked, " +")
 
 
-def _keyed_lines(documents: DataFrame) -> DataFrame:
-    """(doc_key, line_no, anchors, keys): a row per line that is not blank, with its templates."""
+def _keyed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_key, line_no, n, a0.., keys): a row per line that is not blank, with its number of tokens, anchors and templates."""
+    # Two least stretches of different lines per hash: the anchor of a line is the first that is not its own.
+    two = lambda b: F.slice(F.sort_array(F.array_distinct(F.array_compact(F.transform("stretches", lambda s: s[b])))), 1, 2)
+    texts = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("doc_key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    measured = texts.select("doc_key", "body", lines_of(F.col("body")).alias("lines"))
+    measured = measured.withColumn("stretches", F.transform("lines", _least_stretches))
+    lows = measured.select("doc_key", "body", F.arrays_zip("lines", "stretches").alias("rows"), *[two(b).alias(f"low{b}") for b in range(ANCHORS)])
+    alone = F.array_min(F.transform(words(F.col("body")), lambda w: F.xxhash64(w)))
+    # Only what is as long as a line, or two numbers, goes on with every line.
+    single = F.when(F.size("low0") < 2, alone)
+    exploded = lows.select("doc_key", single.alias("alone"), *[f"low{b}" for b in range(ANCHORS)], "rows").select(
+        "doc_key", "alone", *[f"low{b}" for b in range(ANCHORS)], F.posexplode("rows").alias("line_no", "row")
+    )
+
+    def anchor(b: int) -> Column:
+        first, second = F.get(f"low{b}", F.lit(0)), F.get(f"low{b}", F.lit(1))
+        return F.coalesce(F.when(F.col("row.stretches")[b].eqNullSafe(first), second).otherwise(first), "alone", F.lit(0))
+
     lines = (
-        documents.select("*", F.posexplode(lines_of(F.col("body"))).alias("line_no", "line"))
-        .filter(F.trim(F.translate("line", "\t\r", "  ")) != "")
-        .select("doc_key", "line_no", *[_anchor(b).alias(f"a{b}") for b in range(ANCHORS)], _template_keys("line").alias("tokens"))
+        exploded.filter(F.trim(F.translate("row.lines", "\t\r", "  ")) != "")
+        .select("doc_key", "line_no", *[anchor(b).alias(f"a{b}") for b in range(ANCHORS)], _template_keys("row.lines").alias("tokens"))
         .withColumn("n", F.size("tokens"))
         .withColumn("step", F.floor(F.col("n") / VARIABLE).cast("int"))
     )
@@ -93,30 +99,47 @@ def _keyed_lines(documents: DataFrame) -> DataFrame:
     rest = lambda j: [F.col(f"s{i}") for i in range(_STRETCHES) if i != j]
     keys = [F.xxhash64(F.lit(-1), "n", "whole")]
     keys += [F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(F.lit(j), "n", "lead", *rest(j))) for j in range(_STRETCHES)]
-    return parts.select("doc_key", "line_no", *[f"a{b}" for b in range(ANCHORS)], F.array_compact(F.array(*keys)).alias("keys"))
+    return parts.select("doc_key", "line_no", "n", *[f"a{b}" for b in range(ANCHORS)], F.array_compact(F.array(*keys)).alias("keys"))
 
 
-def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(doc_key, dropped): the numbers (from 0) of the lines to drop, for documents that have any."""
-    # Numbers only, in place of parsing every text again for the second pass.
-    lines = stored(_keyed_lines(_document(docs, key, text)), "keyed-lines").withColumn("key", F.explode("keys")).drop("keys")
-    common = stored(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("key"), "common-templates")
-    # Both grow with the input: merged from the start, never broadcast.
-    met = stored(lines.join(common.hint("merge"), "key"), "common-lines")
+def _recurring(documents: DataFrame, least: int) -> DataFrame:
+    """(key): templates with enough different surroundings, of (key, long, a0..), a row for each document that holds it."""
     anchors = F.array(*[F.struct(F.lit(b).alias("b"), F.col(f"a{b}").alias("anchor")) for b in range(ANCHORS)])
-    documents = met.select("key", "doc_key", *[f"a{b}" for b in range(ANCHORS)]).distinct()
-    shares = (
+    shared = (
         documents.select("key", F.explode(anchors).alias("a"))
         .groupBy("key", "a.b", "a.anchor")
         .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
         .groupBy("key", "b")
-        .agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-        .groupBy("key")
-        .agg(F.sum("n").alias("all"), F.sum("most").alias("most"))
+        .agg(F.max_by("anchor", F.struct("n", "anchor")).alias("anchor"))
+    )
+    tops = stored(
+        shared.groupBy("key").agg(*[F.max(F.when(F.col("b") == b, F.col("anchor"))).alias(f"top{b}") for b in range(ANCHORS)]), "top-anchors"
     )
-    recurring = stored(
-        shares.filter((F.col("all") >= ANCHORS * least) & (2 * F.col("most") <= F.col("all"))).select("key"), "recurring-templates"
+    copy = F.lit(False)
+    for b in range(ANCHORS):
+        copy = copy | F.coalesce(F.col(f"a{b}") == F.col(f"top{b}"), F.lit(False))
+    judged = documents.join(tops.hint("merge"), "key", "left").select("key", "long", F.when(~copy, F.col("a0")).alias("anchor"))
+    counts = judged.groupBy("key", "long", "anchor").agg(F.count(F.lit(1)).alias("n")).groupBy("key", "long").agg(
+        F.sum("n").alias("all"), F.count("anchor").alias("different"), F.max(F.col("anchor").isNull().cast("int")).alias("copies")
     )
+    enough = F.col("different") + F.col("copies") >= F.when(F.col("long"), F.least(F.lit(least), F.lit(2))).otherwise(least)
+    return counts.filter(enough & (STRAY * F.col("different") >= F.col("all"))).select("key")
+
+
+def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """(doc_key, dropped): the numbers (from 0) of the lines to drop, for documents that have any."""
+    # Numbers only, in place of parsing every text again for the second pass.
+    lines = stored(_keyed_lines(docs, key, text), "keyed-lines")
+    anchors = [f"a{b}" for b in range(ANCHORS)]
+    keyed = lines.select("doc_key", "line_no", "n", *anchors, F.explode("keys").alias("key"))
+    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), (F.max("n") >= LONG_TOKENS).alias("long"))
+    enough = F.col("lines") >= F.when(F.col("long"), F.least(F.lit(least), F.lit(2))).otherwise(least)
+    common = stored(counted.filter(enough).select("key", "long"), "common-templates")
+    # Both grow with the input: merged from the start, never broadcast.
+    met = stored(keyed.drop("n").join(common.hint("merge"), "key"), "common-lines")
+    documents = met.groupBy("key", "long", "doc_key").agg(*[F.min(a).alias(a) for a in anchors]).drop("doc_key")
+    recurring = stored(_recurring(stored(documents, "template-documents"), least), "recurring-templates")
     dropped = met.select("key", "doc_key", "line_no").join(recurring.hint("merge"), "key")
     return dropped.groupBy("doc_key").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
@@ -131,13 +154,15 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     """
     rest = docs.drop("dropped_lines")
     found = stored(recurring_lines(rest, key, text, least), "dropped-lines")
-    kept = F.filter(lines_of(F.col(text)), lambda line, i: ~F.array_contains("dropped_lines", i))
+    # One byte a line up to the last one dropped, so that telling lines takes a look each and not a search.
+    before = lambda i: F.coalesce(F.get("dropped_lines", i - 1), F.lit(-1))
+    mask = F.array_join(F.transform("dropped_lines", lambda d, i: F.concat(F.repeat(F.lit("0"), d - before(i) - 1), F.lit("1"))), "")
+    kept = F.filter(lines_of(F.col(text)), lambda line, i: F.substring("__mask", i + 1, F.lit(1)) != F.lit(b"1"))
     joined = (
         rest.withColumn("__doc_key", F.xxhash64(F.col(key), F.col(text)))
         .join(found.select(F.col("doc_key").alias("__doc_key"), F.col("dropped").alias("dropped_lines")).hint("merge"), "__doc_key", "left")
         .drop("__doc_key")
     )
     cleaned = F.when(F.col("dropped_lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text, cleaned).withColumn(
-        "dropped_lines", F.coalesce("dropped_lines", F.array().cast(T.ArrayType(T.IntegerType())))
-    )
+    masked = joined.withColumn("__mask", mask.cast("binary")).withColumn(text, cleaned).drop("__mask")
+    return masked.withColumn("dropped_lines", F.coalesce("dropped_lines", F.array().cast(T.ArrayType(T.IntegerType()))))
