@@ -45,16 +45,18 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _least_stretches(line: Column) -> Column:
-    """The least stretch between punctuation of a line under every hash; empty for a line without any."""
-    # Long stretches get negative numbers, so that they come before short ones.
+def _stretches(line: Column) -> Column:
+    """Hashes of the stretches between punctuation of a line; long ones get negative numbers, so that they come before short ones."""
     hashed = lambda u: F.when(F.length(u) >= UNIT_CHARS, F.xxhash64(F.trim(u)).bitwiseOR(F.lit(-(1 << 63)))).when(
         F.trim(u) != "", F.xxhash64(F.trim(u)).bitwiseAND(F.lit((1 << 63) - 1))
     )
-    found = F.array_compact(F.transform(F.split(line, "[.,\r]+"), hashed))
-    sign = F.lit(-(1 << 63))
-    rest = F.lit((1 << 63) - 1)
-    other = lambda b: F.transform(found, lambda h: F.xxhash64(h, F.lit(b)).bitwiseAND(rest).bitwiseOR(h.bitwiseAND(sign)))
+    return F.transform(F.split(line, "[.,\r]+"), hashed)
+
+
+def _least(hashes: Column) -> Column:
+    """The least of some stretches under every hash; nulls where there is none."""
+    sign, rest = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
+    other = lambda b: F.transform(hashes, lambda h: F.xxhash64(h, F.lit(b)).bitwiseAND(rest).bitwiseOR(h.bitwiseAND(sign)))
     return F.array(*[F.array_min(other(b)) for b in range(ANCHORS)])
 
 
@@ -70,14 +72,17 @@ def _keyed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     # Two least stretches of different lines per hash: the anchor of a line is the first that is not its own.
     two = lambda b: F.slice(F.sort_array(F.array_distinct(F.array_compact(F.transform("stretches", lambda s: s[b])))), 1, 2)
     texts = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("doc_key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    # One step at a time: what a lambda computes it computes again wherever it is used.
     measured = texts.select("doc_key", "body", lines_of(F.col("body")).alias("lines"))
-    measured = measured.withColumn("stretches", F.transform("lines", _least_stretches))
+    measured = measured.select("*", F.transform("lines", _stretches).alias("hashes"))
+    measured = measured.select("doc_key", "body", "lines", F.transform("hashes", _least).alias("stretches"))
     lows = measured.select("doc_key", "body", F.arrays_zip("lines", "stretches").alias("rows"), *[two(b).alias(f"low{b}") for b in range(ANCHORS)])
     alone = F.array_min(F.transform(words(F.col("body")), lambda w: F.xxhash64(w)))
-    # Only what is as long as a line, or two numbers, goes on with every line.
+    # Only what is as long as a line, or two numbers, goes on with every line. (No text is without lines; `outer` spares a filter
+    # that would measure everything once more.)
     single = F.when(F.size("low0") < 2, alone)
     exploded = lows.select("doc_key", single.alias("alone"), *[f"low{b}" for b in range(ANCHORS)], "rows").select(
-        "doc_key", "alone", *[f"low{b}" for b in range(ANCHORS)], F.posexplode("rows").alias("line_no", "row")
+        "doc_key", "alone", *[f"low{b}" for b in range(ANCHORS)], F.posexplode_outer("rows").alias("line_no", "row")
     )
 
     def anchor(b: int) -> Column:
