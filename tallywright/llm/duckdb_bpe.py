@@ -4,13 +4,12 @@ Encoding cuts a text by the tokenizer's pattern and merges each match on its own
 partition's new words become (word, position, id) rows, which a recursive query joins
 to the merge table (pairs of ids with the rank of their union): each round contracts the
 leftmost pair of least rank of every word, until no pair of it can be merged. Decoding
-joins ids to the vocabulary and aggregates the bytes in order of position, for every
-distinct run of ids between tokens that begin with a space.
+joins ids to the vocabulary and aggregates the bytes of each document in order of position.
 
-Words are looked up before they are queried: what a worker has encoded or decoded stays
-known to it, up to KNOWN entries, which bounds its memory and never the result. Words
-longer than LONG_BYTES, for which rows of every round would be quadratic, are merged
-with a heap instead; the ids are the same.
+Words are looked up before they are queried: what a worker has encoded stays known to it,
+up to KNOWN_BYTES, which bounds its memory and never the result. Words longer than
+LONG_BYTES, for which rows of every round would be quadratic, are merged with a heap
+instead; the ids are the same.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ import sys
 import tempfile
 import types
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import duckdb
 import numpy as np
@@ -32,11 +32,14 @@ from pyspark.sql import DataFrame
 from tallywright.llm.common import extended, place_of
 
 LONG_BYTES = 300
-KNOWN = 1_000_000
+KNOWN_BYTES = 192 << 20
 QUERY_WORDS = 40_000
+QUERY_IDS = 1 << 19
 _SLICE_CHARS = 1 << 21
+_ENTRY_BYTES = 150  # of a known word besides its letters and ids
 
 # A pair's rank, position and the position that it swallows are one number, so that the least is the leftmost of least rank.
+# Positions go on through all words: one order over them all takes less than one a word.
 _ENCODE = """
 CREATE OR REPLACE TEMP TABLE rounds AS
 WITH RECURSIVE tokens(word, pos, id, round) AS (
@@ -44,11 +47,12 @@ WITH RECURSIVE tokens(word, pos, id, round) AS (
   UNION ALL
   (
     WITH pairs AS (
-      SELECT word, pos, id, lead(id) OVER neighbour AS next_id, lead(pos) OVER neighbour AS next_pos
-      FROM tokens WINDOW neighbour AS (PARTITION BY word ORDER BY pos)
+      SELECT word, pos, id, lead(word) OVER neighbour AS next_word, lead(id) OVER neighbour AS next_id, lead(pos) OVER neighbour AS next_pos
+      FROM tokens WINDOW neighbour AS (ORDER BY pos)
     ), least AS (
       SELECT p.word, min((m.merged::HUGEINT << 64) | (p.pos::HUGEINT << 32) | p.next_pos) AS pair
       FROM pairs p JOIN merges m ON m.first = p.id AND m.second = p.next_id
+      WHERE p.next_word = p.word
       GROUP BY p.word
     ), best AS (
       SELECT word, (pair >> 64)::INTEGER AS merged, ((pair >> 32) & 4294967295)::INTEGER AS kept,
@@ -70,7 +74,7 @@ GROUP BY word
 """
 
 _DECODE = """
-SELECT run, unhex(string_agg(v.hex, '' ORDER BY r.pos)) AS bytes
+SELECT run, unhex(array_to_string(list(v.hex ORDER BY r.pos), '')) AS bytes
 FROM runs r JOIN vocabulary v USING (id)
 GROUP BY run
 """
@@ -114,10 +118,10 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def _known(vocabulary: str) -> tuple[dict, dict]:
-    """What this worker has encoded and decoded so far with this vocabulary."""
+def _known(vocabulary: str) -> dict:
+    """The words that this worker has encoded so far with this vocabulary, and about how many bytes they take."""
     holder = sys.modules.setdefault("tallywright_bpe_words", types.ModuleType("tallywright_bpe_words"))
-    return holder.__dict__.setdefault(vocabulary, ({}, {}))
+    return holder.__dict__.setdefault(vocabulary, {"ids": {}, "bytes": 0})
 
 
 class Codec:
@@ -127,9 +131,9 @@ class Codec:
         self.tokens, self.merges, self.pattern = parts["tokens"], parts["merges"], regex.compile(parts["pattern"])
         self.ranks = {token: i for i, token in enumerate(self.tokens) if token is not None}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.begins = np.array([token is not None and token[:1] == b" " for token in self.tokens])
         self.exists = np.array([token is not None for token in self.tokens])
-        self.encoded, self.decoded = _known(parts["name"])
+        self.known = _known(parts["name"])
+        self.encoded = self.known["ids"]
         self.base = None
 
     def database(self) -> duckdb.DuckDBPyConnection:
@@ -176,44 +180,39 @@ class Codec:
             starts = np.concatenate([[0], ends[:-1]])
             for word, start, end in zip(found.column("word").to_pylist(), starts.tolist(), ends.tolist(), strict=True):
                 self.encoded[some[word][0]] = raw[start:end]
+        self.known["bytes"] += sum(_ENTRY_BYTES + sys.getsizeof(word) + len(self.encoded[word]) for word in words)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         matches = [self.pattern.findall(t) if t else [] for t in texts]
-        if len(self.encoded) > KNOWN:
+        if self.known["bytes"] > KNOWN_BYTES:
             self.encoded.clear()
-        new = set().union(*matches) - self.encoded.keys()
+            self.known["bytes"] = 0
+        new = set(filterfalse(self.encoded.__contains__, chain.from_iterable(matches)))
         if new:
             self.learn_words(list(new))
         get = self.encoded.__getitem__
         return [np.frombuffer(b"".join(map(get, m)), np.int32) for m in matches]
 
-    def learn_runs(self, runs: list[bytes]) -> None:
-        """Decodes runs of ids that are not known yet."""
-        for start in range(0, len(runs), QUERY_WORDS):
-            some = runs[start : start + QUERY_WORDS]
-            sizes = np.array([len(r) // 4 for r in some])
-            ids = np.frombuffer(b"".join(some), np.int32)
-            rows = pa.table({"run": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids})
-            found = self._query("runs", rows, _DECODE)
-            for run, data in zip(found.column("run").to_pylist(), found.column("bytes").to_pylist(), strict=True):
-                self.decoded[some[run]] = data
-
     def decode(self, lists: list[np.ndarray]) -> list[bytes]:
-        if len(self.decoded) > KNOWN:
-            self.decoded.clear()
-        cut = []
-        for ids in lists:
-            if len(ids) and not (0 <= ids.min() and ids.max() < len(self.tokens) and self.exists[ids].all()):
-                raise ValueError("an id is not in the vocabulary")
-            edges = np.flatnonzero(self.begins[ids])
-            edges = (np.concatenate([[0], edges[edges > 0], [len(ids)]]) * 4).tolist() if len(ids) else [0]
-            raw = ids.tobytes()
-            cut.append([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)])
-        new = set().union(*cut) - self.decoded.keys()
-        if new:
-            self.learn_runs(list(new))
-        get = self.decoded.__getitem__
-        return [b"".join(map(get, runs)) for runs in cut]
+        ids = np.concatenate(lists).astype(np.int32)
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.tokens) and self.exists[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        pos = np.arange(len(ids))
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        # A run is a document, or what of it falls into one query.
+        opens = (pos % QUERY_IDS == 0) | np.append(True, owner[1:] != owner[:-1])[: len(ids)]
+        run = np.cumsum(opens) - 1
+        parts: list[bytes] = [b""] * int(opens.sum())
+        for start in range(0, len(ids), QUERY_IDS):
+            some = slice(start, start + QUERY_IDS)
+            rows = pa.table({"run": run[some].astype(np.int32), "pos": pos[some], "id": ids[some]})
+            found = self._query("runs", rows, _DECODE)
+            for i, data in zip(found.column("run").to_pylist(), found.column("bytes").to_pylist(), strict=True):
+                parts[i] = data
+        out: list[list[bytes]] = [[] for _ in lists]
+        for i, data in zip(owner[opens].tolist(), parts, strict=True):
+            out[i].append(data)
+        return [b"".join(some) for some in out]
 
 
 def shared_parts(path: str, pattern: str) -> dict:
