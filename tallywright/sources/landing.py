@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallywright.functions.amounts import AMOUNT_LIMIT
 from tallywright.schemas import LANDING_COLUMNS
 from tallywright.sources.files import escaped, found_by, full_path
+from tallywright.sources.headers import headers
 
 # The key layout and the time stamp in file names.
 KEY_PATTERN = r"^new_contributions/year=\d{4}/month=\d{2}/day=\d{2}/[^/]+\.csv$"
@@ -102,22 +103,12 @@ def list_files(spark: SparkSession, root: str, prefix: str = PREFIX) -> DataFram
     return found
 
 
-def _first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    lines = spark.read.text([escaped(p) for p in paths]).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
-    )
-    return lines.filter("block = 0").groupBy("file_path").agg(F.min_by("value", "line").alias("header"))
-
-
 def _layouts(spark: SparkSession, files: Sequence[Row]) -> dict[tuple[str, ...], list[str]]:
     """Paths by column names. Holds one entry per file on the driver, as the file listing itself does."""
-    headers = dict(_first_lines(spark, [f["path"] for f in files]).collect())
+    first_lines = headers(spark, files)
     layouts = defaultdict(list)
     for file in files:
-        header = headers.get(file["file_path"]) or ""
+        header = first_lines.get(file["file_path"]) or ""
         names = tuple(next(csv.reader([header.lstrip("\ufeff")]), []))
         missing = sorted(set(LANDING_COLUMNS) - set(names))
         if missing:
