@@ -1,10 +1,12 @@
 """Toxicity from maximum-scoring segments of token log-odds.
 
-Tokens are scored by the log of how much likelier they are in documents labelled toxic,
-with Dirichlet priors: a word's counts are smoothed towards those of the words that
-share its first letters, and these towards even odds. A small toll a token makes the
-expected score of ordinary text negative. One linear scan then finds all maximal-scoring
-segments of a text: every passage that cannot be extended or cut without losing score.
+The words of toxic and of clean documents are two multinomials. Each has a Dirichlet prior
+that gives every word PRIOR tokens, shared between the two like all tokens; a word's share is
+moved towards that of its stem, the words that share its first letters, which has a prior
+of the same kind. A token scores the log of how much likelier it is in toxic text, less a
+small toll, which makes the expected score of ordinary text negative. One linear scan then
+finds all maximal-scoring segments of a text: every passage that cannot be extended or cut
+without losing score.
 
 Scores become comparable across text lengths by the extreme-value law of such segments
 (expected number of equally good ones by chance: K n exp(-lambda S)), with lambda and K
@@ -12,14 +14,17 @@ taken from clean labelled documents; the evidence of a document's significant pa
 adds up, and a logistic curve turns it into a probability.
 
 Learning takes at most about MAX_LABELLED labelled rows, three quarters for the tokens
-and one for the calibration, and keeps at most MAX_UNITS tokens and prefixes; both are
-parameters. Scoring reads every text whole.
+and one for the calibration; all tokens of their whole texts count, by the same cut into
+words as in scoring. Words and stems have scores where the number of toxic documents that
+hold them is no chance, which a document cannot bring about by repeating a word; with scores
+for all words, the noise of thousands adds up to passages. Scoring reads every text whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +35,14 @@ from pyspark.sql import functions as F
 from tallywright.llm.common import extended, place_of
 
 MAX_LABELLED = 20_000
-MAX_UNITS = 50_000
 LEAST_DOCS = 5
-LEAST_FAR = 4.0  # standard deviations by which a unit's counts must be off
-PREFIX = 4
-PRIOR = 10.0
+LEAST_FAR = 4.0  # standard deviations
+STEM = 4  # letters
+PRIOR = 10.0  # tokens
 TOLL = 0.5
-RATES = np.arange(1, 41) / 10
+STEPS = 128  # scores are counted to this part of a nat for lambda
+LEAST_RATE = 0.1  # where no lambda solves the equation, as ordinary text gains score
+TAIL = 4.0  # rate by which the texts that grow most are told
 ATOM = 1.0  # score from which segments count for K
 SIGNIFICANT = 0.05  # expected number of passages as good by chance
 
@@ -57,27 +63,49 @@ def labelled_sample(labels: DataFrame, key: str, label: str, rows: int) -> DataF
     return known.withColumn("mark", mark).filter(F.col("mark") < rate * (1 << 30))
 
 
-def count_units(rows: DataFrame, most: int, least_docs: int = LEAST_DOCS) -> tuple[list[tuple], int, int]:
-    """Words and prefixes with the number of toxic and clean documents that hold them; and the totals of words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1))
-    pairs = rows.select("toxic", F.explode(words).alias("word"))
-    totals = pairs.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    both = rows.select(
-        "toxic",
-        F.explode(
-            F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.concat(F.substring(w, 1, PREFIX), F.lit("*"))))))
-        ).alias("unit"),
-    )
-    counts = both.groupBy("unit").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs)
-    share = (totals[0] or 0) / max(1, totals[1])
-    # How far the counts are from what the totals let expect, in standard deviations.
-    far = F.abs(F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1e-9)
-    found = counts.filter(far >= LEAST_FAR).orderBy(F.desc(far), "unit").limit(most).collect()
-    return [(r.unit, r.t, r.n - r.t) for r in found], totals[0] or 0, (totals[1] or 0) - (totals[0] or 0)
+def stem(word: str) -> str:
+    return word[:STEM] + "*"
+
+
+def count_units(rows: DataFrame, least_docs: int = LEAST_DOCS, least_far: float = LEAST_FAR) -> tuple[list[tuple], int, int]:
+    """Words and stems that tell the labels apart, with their tokens in toxic and in clean documents; and the totals of tokens.
+
+    Those count that stand in at least `least_docs` documents, of which the toxic ones are
+    `least_far` standard deviations more or fewer than the totals let expect.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["unit", "toxic_tokens", "clean_tokens", "toxic_docs", "docs"]
+        for batch in batches:
+            tokens, toxic_docs, docs = (Counter(), Counter()), Counter(), Counter()
+            for toxic, body in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                units = Counter(_tokens(body))
+                for word, times in list(units.items()):
+                    units[stem(word)] += times
+                tokens[int(toxic > 0)].update(units)
+                docs.update(units.keys())
+                toxic_docs.update(units.keys() if toxic > 0 else ())
+            found = list(docs)
+            numbers = [pa.array([counts[u] for u in found], pa.int64()) for counts in (tokens[1], tokens[0], toxic_docs, docs)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *numbers], names)
+
+    counted = rows.select("toxic", "text").mapInArrow(count, "unit string, toxic_tokens long, clean_tokens long, toxic_docs long, docs long")
+    sums = counted.groupBy("unit").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]])
+    # No word holds a star; stems would count everything a second time.
+    totals = sums.filter(~F.col("unit").endswith("*")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns[1:]]).first()
+    share = totals.toxic_docs / max(1, totals.docs)
+    far = F.abs(F.col("toxic_docs") - F.col("docs") * share) / F.sqrt(F.col("docs") * share * (1 - share) + 1e-9)
+    found = sums.filter((F.col("docs") >= least_docs) & (far >= least_far)).select("unit", "toxic_tokens", "clean_tokens").collect()
+    return [tuple(u) for u in found], totals.toxic_tokens, totals.clean_tokens
 
 
 def log_odds(units: list[tuple], toxic: int, clean: int, prior: float = PRIOR) -> dict[str, float]:
-    """Scores of words and prefixes ('abcd*'); a word's prior is its prefix, a prefix's the totals."""
+    """Scores of words and stems ('abcd*').
+
+    With Dirichlet priors of `prior * share` tokens for a word in toxic text and of the rest in clean
+    text, the sums over the vocabulary cancel, and the log-odds are those of the smoothed share. The
+    share behind the prior is that of all tokens for a stem, and the stem's own for a word.
+    """
     share = (toxic + 1) / (toxic + clean + 2)
     base = math.log(share / (1 - share))
     counts = {u: (t, c) for u, t, c in units}
@@ -88,14 +116,14 @@ def log_odds(units: list[tuple], toxic: int, clean: int, prior: float = PRIOR) -
 
     scores = {}
     for unit in counts:
-        stem = mean(unit if unit[-1] == "*" else unit[:PREFIX] + "*", share)
-        p = stem if unit[-1] == "*" else mean(unit, stem)
+        family = mean(unit if unit[-1] == "*" else stem(unit), share)
+        p = family if unit[-1] == "*" else mean(unit, family)
         scores[unit] = math.log(p / (1 - p)) - base
     return scores
 
 
 class _Scores(dict):
-    """Token scores less the toll; unknown words score as their prefix."""
+    """Token scores less the toll; unknown words score as their stem."""
 
     def __init__(self, units: dict[str, float], toll: float):
         self.units, self.toll = units, toll
@@ -105,7 +133,7 @@ class _Scores(dict):
             self.clear()
         score = self.units.get(word)
         if score is None:
-            score = self.units.get(word[:PREFIX] + "*", 0.0)
+            score = self.units.get(stem(word), 0.0)
         self[word] = score - self.toll
         return self[word]
 
@@ -148,28 +176,57 @@ def _tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
-def growth(scores: list[float]) -> list[float]:
-    """Sums of exp(rate * score) over a text, for each of RATES."""
-    return np.exp(np.outer(RATES, np.array(scores))).sum(axis=1).tolist()
+def spectrum(scores: list[float]) -> dict[int, int]:
+    """How many tokens of a text have each score, in steps of a nat's STEPS-th part: of fixed size, however long the text."""
+    return Counter(round(s * STEPS) for s in scores)
 
 
-def fit_extremes(grown: np.ndarray, sizes: np.ndarray, segments: np.ndarray) -> tuple[float, float]:
+def growth_rate(spectra: list[dict[int, int]]) -> float:
+    """lambda: the positive root of mean(exp(lambda * score)) = 1 over all tokens, by bisection.
+
+    There is one exactly where the mean score is negative and some score positive. Without a
+    positive score any rate is safe, and that of log-odds themselves, 1, is returned; with a
+    mean that is not negative, LEAST_RATE.
+    """
+    total: Counter = Counter()
+    for counts in spectra:
+        total.update(counts)
+    if not total or max(total) <= 0:
+        return 1.0
+    scores = np.array(list(total), float) / STEPS
+    shares = np.array(list(total.values()), float)
+    shares /= shares.sum()
+    if float(scores @ shares) >= 0:
+        return LEAST_RATE
+
+    def gains(rate: float) -> bool:
+        top = rate * scores.max()
+        return top + math.log(float(shares @ np.exp(rate * scores - top))) >= 0
+
+    high = 1.0
+    while not gains(high):
+        high *= 2
+    low = 0.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if gains(middle) else (middle, high)
+    return high
+
+
+def fit_extremes(spectra: list[dict[int, int]], sizes: np.ndarray, segments: np.ndarray) -> tuple[float, float]:
     """lambda and log K of the extreme-value law of ordinary text.
 
     lambda is where the mean of exp(lambda * score) over tokens is one; K follows from the
     number of segments of score ATOM or more. The texts that grow most by length, one in a
     hundred, are left out: labels err.
     """
-    use = sizes > 0
-    grown, sizes, segments = grown[use], sizes[use], segments[use]
-    if not len(sizes):
+    use = np.flatnonzero(sizes > 0)
+    if not len(use):
         return 1.0, 0.0
-    means = grown[:, -1] / sizes
-    plain = means <= np.quantile(means, 0.99)
-    mean = grown[plain].sum(axis=0) / sizes[plain].sum()
-    rate = RATES[int(np.argmax(mean >= 1))] if (mean >= 1).any() else RATES[-1]
-    log_k = math.log((1 + segments[plain].sum()) / sizes[plain].sum()) + rate * ATOM
-    return float(rate), float(log_k)
+    means = np.array([sum(n * math.exp(TAIL * s / STEPS) for s, n in spectra[i].items()) / sizes[i] for i in use])
+    plain = use[means <= np.quantile(means, 0.99)]
+    rate = growth_rate([spectra[i] for i in plain])
+    return rate, math.log((1 + segments[plain].sum()) / sizes[plain].sum()) + rate * ATOM
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -199,12 +256,12 @@ def evidence(segments: list[tuple[int, int, float]], size: int, rate: float, log
     return (sum(strong) if strong else max(n for n, *_ in nats)), passages
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, rows: int, most: int) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, rows: int) -> dict:
     """Token scores, extreme-value law and curve: plain values, to be broadcast."""
     sample = labelled_sample(labels, key, label, rows)
     known = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     known = known.join(F.broadcast(sample), "key")  # bounded by `rows`
-    units = log_odds(*count_units(known.filter("mark % 4 <> 0"), most))
+    units = log_odds(*count_units(known.filter("mark % 4 <> 0")))
     model = {"units": units, "rate": 1.0, "log_k": 0.0, "curve": (0.0, 1.0)}
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(units)
@@ -220,19 +277,19 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, r
                     batch.column("toxic"),
                     pa.array([len(r) for r in rows], pa.int64()),
                     pa.array([[s for *_, s in f] for f in found], pa.list_(pa.float64())),
-                    pa.array([growth(v) for v in values], pa.list_(pa.float64())),
+                    pa.array([list(spectrum(v).items()) for v in values], pa.map_(pa.int32(), pa.int64())),
                 ],
-                ["toxic", "size", "scores", "grown"],
+                ["toxic", "size", "scores", "spectrum"],
             )
 
     # At most a quarter of `rows` rows.
-    held = known.filter("mark % 4 = 0").select("toxic", "text").mapInArrow(best, "toxic int, size long, scores array<double>, grown array<double>").collect()
+    held = known.filter("mark % 4 = 0").select("toxic", "text").mapInArrow(best, "toxic int, size long, scores array<double>, spectrum map<int, long>").collect()
     sizes = np.array([r.size for r in held], float)
     toxic = np.array([r.toxic for r in held], float)
     if len(held):
-        grown = np.array([r.grown for r in held])
         many = np.array([sum(s >= ATOM for s in r.scores) for r in held])
-        model["rate"], model["log_k"] = fit_extremes(grown[toxic == 0], sizes[toxic == 0], many[toxic == 0])
+        clean = toxic == 0
+        model["rate"], model["log_k"] = fit_extremes([r.spectrum for r in held if r.toxic == 0], sizes[clean], many[clean])
         x = np.array([_told(evidence([(0, 0, s) for s in r.scores], r.size, model["rate"], model["log_k"])[0]) for r in held])
         model["curve"] = fit_curve(x, toxic)
     return model
@@ -251,7 +308,6 @@ def score_toxicity(
     key: str = "doc_id",
     label: str = "toxic",
     max_labelled: int = MAX_LABELLED,
-    max_units: int = MAX_UNITS,
 ) -> DataFrame:
     """`docs` with toxicity (0 to 1) and toxic_passages (first and end character, score, expected number by chance).
 
@@ -260,7 +316,7 @@ def score_toxicity(
     no labels at all every text scores alike. Columns of `docs` with the names of the new ones
     are replaced.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(learn_docs, labels, text, key, label, max_labelled, max_units))
+    model = docs.sparkSession.sparkContext.broadcast(learn(learn_docs, labels, text, key, label, max_labelled))
     rest = docs.drop("toxicity", "toxic_passages")
     at = place_of(rest, text)
 
