@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import extended, place_of
+from tallywright.llm.common import extended, place_of, stored
 
 MAX_LABELLED = 20_000
 LEAST_DOCS = 5
@@ -90,7 +90,7 @@ def count_units(rows: DataFrame, least_docs: int = LEAST_DOCS, least_far: float
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *numbers], names)
 
     counted = rows.select("toxic", "text").mapInArrow(count, "unit string, toxic_tokens long, clean_tokens long, toxic_docs long, docs long")
-    sums = counted.groupBy("unit").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]])
+    sums = stored(counted.groupBy("unit").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]]), "toxic-units")
     # No word holds a star; stems would count everything a second time.
     totals = sums.filter(~F.col("unit").endswith("*")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns[1:]]).first()
     share = totals.toxic_docs / max(1, totals.docs)
