@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,14 @@ WORD_GAP = r"[^\p{L}\p{N}]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: `spark.checkpoint.dir`.
 
-    Only where the cluster names none (tests) the context's checkpoint folder or a
-    new temporary one stands in.
+    Only where the cluster names none (tests) the context's checkpoint folder or, on a
+    local master, a new temporary one stands in.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set")
         folder = tempfile.mkdtemp(prefix="tallywright-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
