@@ -19,7 +19,7 @@ import heapq
 import sys
 import tempfile
 import types
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, filterfalse
 
 import duckdb
@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from tallywright.llm.common import extended, place_of
 
 LONG_BYTES = 300
-KNOWN_BYTES = 192 << 20
+KNOWN_BYTES = 160 << 20
 QUERY_WORDS = 40_000
-QUERY_IDS = 1 << 19
+QUERY_IDS = 1 << 18
 _SLICE_CHARS = 1 << 21
 _ENTRY_BYTES = 150  # of a known word besides its letters and ids
 
@@ -119,9 +119,13 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _known(vocabulary: str) -> dict:
-    """The words that this worker has encoded so far with this vocabulary, and about how many bytes they take."""
+    """What this worker has encoded so far with this vocabulary: recent words, about how many bytes they take, and words of before.
+
+    Where the recent ones take half of KNOWN_BYTES they become those of before, whose rest is
+    forgotten. A word of before that comes again is recent: common words are never queried twice.
+    """
     holder = sys.modules.setdefault("tallywright_bpe_words", types.ModuleType("tallywright_bpe_words"))
-    return holder.__dict__.setdefault(vocabulary, {"ids": {}, "bytes": 0})
+    return holder.__dict__.setdefault(vocabulary, {"ids": {}, "older": {}, "bytes": 0})
 
 
 class Codec:
@@ -133,7 +137,7 @@ class Codec:
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.exists = np.array([token is not None for token in self.tokens])
         self.known = _known(parts["name"])
-        self.encoded = self.known["ids"]
+        self.encoded, self.older = self.known["ids"], self.known["older"]
         self.base = None
 
     def database(self) -> duckdb.DuckDBPyConnection:
@@ -180,14 +184,23 @@ class Codec:
             starts = np.concatenate([[0], ends[:-1]])
             for word, start, end in zip(found.column("word").to_pylist(), starts.tolist(), ends.tolist(), strict=True):
                 self.encoded[some[word][0]] = raw[start:end]
+        self._remember(words)
+
+    def _remember(self, words: Iterable[str]) -> None:
         self.known["bytes"] += sum(_ENTRY_BYTES + sys.getsizeof(word) + len(self.encoded[word]) for word in words)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         matches = [self.pattern.findall(t) if t else [] for t in texts]
-        if self.known["bytes"] > KNOWN_BYTES:
+        if self.known["bytes"] > KNOWN_BYTES // 2:
+            self.older = self.known["older"] = dict(self.encoded)
             self.encoded.clear()
             self.known["bytes"] = 0
         new = set(filterfalse(self.encoded.__contains__, chain.from_iterable(matches)))
+        again = [word for word in new if word in self.older]
+        if again:
+            self.encoded.update((word, self.older.pop(word)) for word in again)
+            self._remember(again)
+            new.difference_update(again)
         if new:
             self.learn_words(list(new))
         get = self.encoded.__getitem__
@@ -233,6 +246,13 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
             start, held = end, 0
 
 
+def _sliced(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(start, end, texts) of a batch, in slices: only the texts of one are Python's at a time."""
+    pa.default_memory_pool().release_unused()  # else what batches before took stays beside the next
+    for start, end in _slices(pc.utf8_length(column).fill_null(0).to_pylist(), _SLICE_CHARS):
+        yield start, end, column.slice(start, end - start).to_pylist()
+
+
 def _as_lists(found: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
@@ -250,9 +270,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(parts.value)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for start, end in _slices([len(t or "") for t in texts], _SLICE_CHARS):
-                found = codec.encode(texts[start:end])
+            for start, end, texts in _sliced(batch.column(at)):
+                found = codec.encode(texts)
                 yield batch.slice(start, end - start).append_column(out, _as_lists(found))
 
     return rest.mapInArrow(work, extended(rest, f"`{out}` array<int>"))
@@ -293,9 +312,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(parts.value)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for start, end in _slices([len(t or "") for t in texts], _SLICE_CHARS):
-                found = codec.encode(texts[start:end])
+            for start, end, texts in _sliced(batch.column(at)):
+                found = codec.encode(texts)
                 part = batch.slice(start, end - start).append_column(ids, _as_lists(found))
                 yield part.append_column(out, pa.array(codec.decode(found), pa.binary()))
 

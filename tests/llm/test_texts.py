@@ -318,6 +318,21 @@ def test_unknown_ids_fail():
         codec.decode([np.array([10**6], np.int32)])
 
 
+def test_common_words_stay_known_within_the_bound(monkeypatch):
+    monkeypatch.setattr(duckdb_bpe, "KNOWN_BYTES", 80_000)
+    codec = duckdb_bpe.Codec(duckdb_bpe.shared_parts(PATH, public_tokenizers.PATTERN) | {"name": "common words"})
+    r, queried, learn = random.Random(3), [], codec.learn_words
+    monkeypatch.setattr(codec, "learn_words", lambda words: (queried.extend(words), learn(words)))
+    word = lambda: " " + "".join(r.choices("bcdfgjkqvxz", k=12))
+    common = [word() for _ in range(20)]
+    for _ in range(12):
+        text = "".join(common + [word() for _ in range(100)])
+        assert codec.decode(codec.encode([text, None])) == [text.encode(), b""]
+        held = [*codec.encoded.items(), *codec.older.items()]
+        assert sum(len(w) + len(ids) + 150 for w, ids in held) < 80_000 + 120 * 300
+    assert len(queried) > 1200 and all(queried.count(w) == 1 for w in common)
+
+
 # Toxicity
 
 
