@@ -39,6 +39,31 @@ def perhaps_in(rows: DataFrame, hashed: str, bitmap: DataFrame, out: str, bits:
     return rows.join(named, F.bitmap_bucket_number(place) == F.col("__part"), "left").withColumn(out, flag).drop("__part", "__bitmap")
 
 
+def _word(place: Column) -> Column:
+    """The position, in a row of the bitmap of `marked`, of the number that holds a place's bit."""
+    return F.shiftright(place, 6).bitwiseAND(F.lit(_PART_BITS // 64 - 1)).cast("int")
+
+
+def marked(rows: DataFrame, column: str, hashes: DataFrame) -> DataFrame:
+    """Those of `rows` whose hash in `column` is perhaps among the distinct ones of `hashes`, by a bitmap of long integers.
+
+    The bitmap has 16 bits for each hash, but no more than 2**BITS. Looking up a bit is plain
+    arithmetic, for rows that are very many.
+    """
+    bits = min(BITS, max(15, (16 * hashes.count()).bit_length()))
+    place = F.shiftrightunsigned(column, 64 - bits)
+    part = lambda at: F.shiftright(at, 15)
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")
+    set_bits = hashes.select(part(place).alias("__part"), _word(place).alias("__word"), one.alias("__bits"))
+    first = F.col("id") * 64
+    none = hashes.sparkSession.range(1 << (bits - 6)).select(part(first), _word(first), F.lit(0).cast("long"))
+    numbers = set_bits.union(none).groupBy("__part", "__word").agg(F.bit_or("__bits").alias("__bits"))
+    held = numbers.groupBy("__part").agg(F.sort_array(F.collect_list(F.struct("__word", "__bits"))).getField("__bits").alias("__marks"))
+    number = F.get("__marks", _word(place))
+    bit = F.call_function("shiftright", number, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    return rows.join(F.broadcast(held), part(place) == F.col("__part")).filter(bit == 1).drop("__part", "__marks")
+
+
 def collected(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     """The whole bitmap as bytes on the driver: 2**bits / 8 of them, whatever the number of hashes."""
     size = max(1 << bits, _PART_BITS)

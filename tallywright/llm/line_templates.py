@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywright.llm import bitmaps
 from tallywright.llm.common import stored, words
 
 LEADING = 3
@@ -155,8 +156,9 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), (F.max("n") >= LONG_TOKENS).alias("long"))
     enough = F.col("lines") >= F.when(F.col("long"), F.least(F.lit(least), F.lit(2))).otherwise(least)
     common = stored(counted.filter(enough).select("key", "long"), "common-templates")
-    # Both grow with the input: merged from the start, never broadcast.
-    met = stored(keyed.drop("n").join(common.hint("merge"), "key"), "common-lines")
+    # Both grow with the input: merged from the start, never broadcast. Most templates have one line, which a bitmap spares the shuffle.
+    likely = bitmaps.marked(keyed.drop("n"), "key", common)
+    met = stored(likely.join(common.hint("merge"), "key"), "common-lines")
     documents = met.groupBy("key", "long", "doc_key").agg(*[F.min(a).alias(a) for a in anchors]).drop("doc_key")
     recurring = stored(_recurring(stored(documents, "template-documents"), least), "recurring-templates")
     dropped = met.select("key", "doc_key", "line_no").join(recurring.hint("merge"), "key")

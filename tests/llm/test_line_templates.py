@@ -3,9 +3,10 @@
 import random
 
 from llm_fixtures import docs_of  # noqa: F401
+from pyspark.sql import functions as F
 from test_texts import WORDS, lines, prose, text_of
 
-from tallywright.llm import line_templates
+from tallywright.llm import bitmaps, line_templates
 
 PASSAGE = "shared passage " + " ".join(WORDS[:40])
 
@@ -79,3 +80,13 @@ def test_unlike_documents_match_brute_force(docs_of):  # noqa: F811
         i: [k for k, line in enumerate(text.split("\n")) if any(len(holders[t]) >= least(line) for t in templates(line))] for i, text in rows
     }
     assert dropped(docs_of, *rows) == wanted and any(wanted.values())
+
+
+def test_a_bitmap_of_numbers_loses_no_template(spark):
+    rows = spark.range(60_000).select(F.xxhash64("id").alias("key"), "id")
+    some = rows.filter("id % 100 = 0").select("key").union(spark.createDataFrame([(-1,), (-(1 << 63),), ((1 << 63) - 1,)], "key long"))
+    edges = spark.createDataFrame([(-1, -1), (-(1 << 63), -2), ((1 << 63) - 1, -3)], "key long, id long")
+    found = [r.id for r in bitmaps.marked(rows.union(edges), "key", some).collect()]
+    assert len(found) == len(set(found)) and {*range(0, 60_000, 100), -1, -2, -3} <= set(found)
+    assert len(found) < 10_000  # 16 bits a hash: most others go
+    assert bitmaps.marked(rows, "key", some.limit(0)).count() == 0
