@@ -106,7 +106,6 @@ def _keyed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = (
         exploded.filter(F.trim(_spaced("row.lines")) != "")
         .select("doc_key", "line_no", *[anchor(b).alias(f"a{b}") for b in range(ANCHORS)], _tokens("row.lines").alias("tokens"))
-        .withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t)))  # parts of numbers are cheaper than of texts
         .withColumn("n", F.size("tokens"))
         .withColumn("step", F.floor(F.col("n") / VARIABLE).cast("int"))
     )
