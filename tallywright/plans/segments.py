@@ -15,6 +15,8 @@ from tallywright.operators.rollups import user_totals
 
 # Fixed value: mean days per month.
 DAYS_PER_MONTH = 30.44
+# Part of a rate or mean by which doubles of the same fifteen digits may differ.
+ROUNDING = 1e-14
 
 
 def whales_minnows(
@@ -71,10 +73,12 @@ def whales_minnows(
         rate = F.col(f"monthly_average_{measure}")
         mean, spread = F.col(f"mean_monthly_average_{measure}"), F.col(f"spread_monthly_average_{measure}")
         away = F.col("days_since_last_contribution")
+        # Rates are doubles, the mean has fifteen digits: who is on the border up to the last digits has not crossed it.
+        slack = F.greatest(F.abs(rate), F.abs(mean)) * ROUNDING
         return (
             F.when((F.col("users_seen") == 0) | away.isNull() | (away > active_days), "inactive")
-            .when(rate > mean + spread, "whale")
-            .when(rate < mean - spread, "minnow")
+            .when(rate - mean - spread > slack, "whale")
+            .when(mean - rate - spread > slack, "minnow")
             .otherwise("dolphin")
         )
 

@@ -61,6 +61,13 @@ def test_a_user_on_the_border_keeps_their_class(spark, users, contributions):
     assert classes == {tuple((u, "dolphin") for u in "abcd")}
 
 
+def test_two_users_are_on_the_border_whatever_their_last_digits(spark, users, contributions):
+    """Each of two is one deviation from their mean; as doubles 1 and 7, or 2 and 4.1, times the factor are beyond it."""
+    rows = contributions(("2024-06-10 10:00", "a", 2.0, 1.0, 1), ("2024-06-10 10:00", "b", 4.1, 7.0, 1))
+    found = whales_minnows(users(("a", "2024-06-09"), ("b", "2024-06-09")), rows, as_of=date(2024, 6, 10)).collect()
+    assert [(r["user_class_by_fee"], r["user_class_by_contribution"]) for r in found] == [("dolphin", "dolphin")] * 2
+
+
 def test_mean_of_days_does_not_depend_on_order(spark):
     values = [0.1, 0.2, 0.3, 1e9 + 0.7, 1 / 3] * 7
     found = {
