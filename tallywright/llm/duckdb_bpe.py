@@ -4,7 +4,7 @@ Encoding cuts a text by the tokenizer's pattern and merges each match on its own
 partition's new words become (word, position, id) rows, which a recursive query joins
 to the merge table (pairs of ids with the rank of their union): each round contracts the
 leftmost pair of least rank of every word, until no pair of it can be merged. Decoding
-joins ids to the vocabulary and aggregates the bytes of each document in order of position.
+selects the tokens of a document's ids from the vocabulary, in order, and joins their bytes.
 
 Words are looked up before they are queried: what a worker has encoded stays known to it,
 up to KNOWN_BYTES, which bounds its memory and never the result. Words longer than
@@ -19,8 +19,9 @@ import heapq
 import sys
 import tempfile
 import types
-from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count, pairwise
 
 import duckdb
 import numpy as np
@@ -41,7 +42,6 @@ _ENTRY_BYTES = 150  # of a known word besides its letters and ids
 # A pair's rank, position and the position that it swallows are one number, so that the least is the leftmost of least rank.
 # Positions go on through all words: one order over them all takes less than one a word.
 _ENCODE = """
-CREATE OR REPLACE TEMP TABLE rounds AS
 WITH RECURSIVE tokens(word, pos, id, round) AS (
   SELECT word, pos, id, 0 FROM bytes
   UNION ALL
@@ -63,20 +63,18 @@ WITH RECURSIVE tokens(word, pos, id, round) AS (
     FROM tokens t JOIN best b USING (word)
     WHERE t.pos <> b.gone
   )
+), rounds AS MATERIALIZED (
+  SELECT * FROM tokens
 )
-SELECT * FROM tokens
-"""
-
-_ENCODED = """
-SELECT word, list(id ORDER BY pos) AS ids
+SELECT word, id
 FROM rounds JOIN (SELECT word, max(round) AS round FROM rounds GROUP BY word) USING (word, round)
-GROUP BY word
+ORDER BY pos
 """
 
+_VOCABULARY = "CREATE TABLE vocabulary AS SELECT list(hex ORDER BY id) AS hexes FROM given"
 _DECODE = """
-SELECT run, unhex(array_to_string(list(v.hex ORDER BY r.pos), '')) AS bytes
-FROM runs r JOIN vocabulary v USING (id)
-GROUP BY run
+SELECT run, unhex(array_to_string(list_select(hexes, places), '')) AS bytes
+FROM runs, vocabulary
 """
 
 
@@ -144,19 +142,16 @@ class Codec:
         if self.base is None:
             self.base = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.gettempdir()})
             merges = pa.table({c: self.merges[:, k] for k, c in enumerate(("first", "second", "merged"))})
-            known = [(i, t.hex()) for i, t in enumerate(self.tokens) if t is not None]
-            words = pa.table({"id": pa.array([i for i, _ in known], pa.int32()), "hex": [h for _, h in known]})
-            for name, rows in (("merges", merges), ("vocabulary", words)):
+            words = pa.table({"id": np.arange(len(self.tokens), dtype=np.int32), "hex": [(t or b"").hex() for t in self.tokens]})
+            for rows, sql in ((merges, "CREATE TABLE merges AS SELECT * FROM given"), (words, _VOCABULARY)):
                 self.base.register("given", rows)
-                self.base.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+                self.base.execute(sql)
                 self.base.unregister("given")
         return self.base
 
-    def _query(self, name: str, rows: pa.Table, sql: str, before: str | None = None) -> pa.Table:
+    def _query(self, name: str, rows: pa.Table, sql: str) -> pa.Table:
         base = self.database()
         base.register(name, rows)
-        if before:
-            base.execute(before)
         found = base.sql(sql).to_arrow_table()
         base.unregister(name)
         return found
@@ -177,49 +172,50 @@ class Codec:
             sizes = np.array([len(raw) for _, raw in some])
             ids = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in some), np.uint8)]
             rows = pa.table({"word": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids})
-            found = self._query("bytes", rows, _ENCODED, before=_ENCODE)
-            lists = found.column("ids").combine_chunks()
-            raw = lists.flatten().to_numpy().astype(np.int32).tobytes()
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy()) * 4
-            starts = np.concatenate([[0], ends[:-1]])
-            for word, start, end in zip(found.column("word").to_pylist(), starts.tolist(), ends.tolist(), strict=True):
-                self.encoded[some[word][0]] = raw[start:end]
+            found = self._query("bytes", rows, _ENCODE)
+            raw = found.column("id").to_numpy().astype(np.int32).tobytes()
+            edges = np.append(0, np.cumsum(np.bincount(found.column("word").to_numpy(), minlength=len(some)))) * 4
+            for (word, _), start, end in zip(some, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                self.encoded[word] = raw[start:end]
         self._remember(words)
 
-    def _remember(self, words: Iterable[str]) -> None:
-        self.known["bytes"] += sum(_ENTRY_BYTES + sys.getsizeof(word) + len(self.encoded[word]) for word in words)
+    def _remember(self, words: list[str]) -> None:
+        ids = map(self.encoded.__getitem__, words)
+        self.known["bytes"] += _ENTRY_BYTES * len(words) + sum(map(sys.getsizeof, words)) + sum(map(len, ids))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        matches = [self.pattern.findall(t) if t else [] for t in texts]
+        places: defaultdict[str, int] = defaultdict(count().__next__)  # words are numbered as they come
+        matches = [np.fromiter(map(places.__getitem__, self.pattern.findall(t) if t else ()), np.int32) for t in texts]
+        words = list(places)
         if self.known["bytes"] > KNOWN_BYTES // 2:
             self.older = self.known["older"] = dict(self.encoded)
             self.encoded.clear()
             self.known["bytes"] = 0
-        new = set(filterfalse(self.encoded.__contains__, chain.from_iterable(matches)))
-        again = [word for word in new if word in self.older]
+        missing = [word for word in words if word not in self.encoded]
+        again = [word for word in missing if word in self.older]
         if again:
             self.encoded.update((word, self.older.pop(word)) for word in again)
             self._remember(again)
-            new.difference_update(again)
+        new = [word for word in missing if word not in self.encoded]
         if new:
-            self.learn_words(list(new))
-        get = self.encoded.__getitem__
-        return [np.frombuffer(b"".join(map(get, m)), np.int32) for m in matches]
+            self.learn_words(new)
+        return _joined(matches, [self.encoded[word] for word in words])
 
     def decode(self, lists: list[np.ndarray]) -> list[bytes]:
-        ids = np.concatenate(lists).astype(np.int32)
+        ids = np.concatenate([*lists, np.empty(0, np.int32)]).astype(np.int32)
         if len(ids) and not (0 <= ids.min() and ids.max() < len(self.tokens) and self.exists[ids].all()):
             raise ValueError("an id is not in the vocabulary")
         pos = np.arange(len(ids))
         owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         # A run is a document, or what of it falls into one query.
         opens = (pos % QUERY_IDS == 0) | np.append(True, owner[1:] != owner[:-1])[: len(ids)]
-        run = np.cumsum(opens) - 1
-        parts: list[bytes] = [b""] * int(opens.sum())
-        for start in range(0, len(ids), QUERY_IDS):
-            some = slice(start, start + QUERY_IDS)
-            rows = pa.table({"run": run[some].astype(np.int32), "pos": pos[some], "id": ids[some]})
-            found = self._query("runs", rows, _DECODE)
+        edges = np.append(np.flatnonzero(opens), len(ids))
+        parts: list[bytes] = [b""] * (len(edges) - 1)
+        first = np.searchsorted(edges, np.arange(0, len(ids), QUERY_IDS))
+        for start, end in pairwise([*first, len(parts)]):
+            places = ids[edges[start] : edges[end]] + 1  # DuckDB's lists count from 1
+            runs = pa.ListArray.from_arrays(pa.array((edges[start : end + 1] - edges[start]).astype(np.int32)), pa.array(places))
+            found = self._query("runs", pa.table({"run": np.arange(start, end, dtype=np.int32), "places": runs}), _DECODE)
             for i, data in zip(found.column("run").to_pylist(), found.column("bytes").to_pylist(), strict=True):
                 parts[i] = data
         out: list[list[bytes]] = [[] for _ in lists]
@@ -228,6 +224,18 @@ class Codec:
         return [b"".join(some) for some in out]
 
 
+def _joined(matches: list[np.ndarray], encoded: list[bytes]) -> list[np.ndarray]:
+    """The ids of each text, whose matches are places in `encoded`."""
+    ids, sizes = np.frombuffer(b"".join(encoded), np.int32), np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+    starts = np.cumsum(sizes) - sizes
+    found = []
+    for places in matches:
+        counts = sizes[places]
+        ends = np.cumsum(counts)
+        found.append(ids[np.arange(counts.sum()) + np.repeat(starts[places] - ends + counts, counts)])
+    return found
+
+
 def shared_parts(path: str, pattern: str) -> dict:
     """What tasks need to know of a vocabulary, as plain values to be broadcast (a few MB, fixed by the vocabulary)."""
     ranks = load_vocabulary(path)

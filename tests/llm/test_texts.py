@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -333,6 +334,43 @@ def test_common_words_stay_known_within_the_bound(monkeypatch):
     assert len(queried) > 1200 and all(queried.count(w) == 1 for w in common)
 
 
+def _codec(name):
+    return duckdb_bpe.Codec(duckdb_bpe.shared_parts(PATH, public_tokenizers.PATTERN) | {"name": name})
+
+
+def test_matches_of_one_text_at_a_time_are_held():
+    codec, texts = _codec("one text"), [" zqx vkj" * 10_000] * 30
+    codec.encode(texts[:1])
+    tracemalloc.start()
+    found = codec.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(ids, found[0]) for ids in found) and codec.decode(found[:1]) == [texts[0].encode()]
+    assert peak < 4 * sum(map(len, found)) + 20_000_000
+
+
+def test_a_word_is_looked_up_once_for_all_its_matches():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    codec = _codec("looked up once")
+    codec.encode([" zqx vkj"])
+    codec.encoded = Counted(codec.encoded)
+    assert codec.decode(codec.encode([" zqx vkj" * 500, " vkj"])) == [b" zqx vkj" * 500, b" vkj"]
+    assert codec.encoded.asked <= 4
+
+
+def test_decoding_in_several_queries(monkeypatch):
+    monkeypatch.setattr(duckdb_bpe, "QUERY_IDS", 7)
+    codec, r = _codec("several queries"), random.Random(5)
+    for texts in ([None, ""], [""], ["".join(r.choices("ab é中🙂\n", k=r.randrange(60))) for _ in range(40)] + ["", "ab " * 30]):
+        assert codec.decode(codec.encode(texts)) == [(t or "").encode() for t in texts]
+
+
 # Toxicity
 
 
