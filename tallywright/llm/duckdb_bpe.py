@@ -20,7 +20,7 @@ import sys
 import tempfile
 import types
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count, pairwise
 
 import duckdb
@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from tallywright.llm.common import extended, place_of
 
 LONG_BYTES = 300
-KNOWN_BYTES = 160 << 20
+KNOWN_BYTES = 96 << 20
 QUERY_WORDS = 40_000
 QUERY_IDS = 1 << 18
-_SLICE_CHARS = 1 << 21
+_SLICE_CHARS = 1 << 20
 _ENTRY_BYTES = 150  # of a known word besides its letters and ids
 
 # A pair's rank, position and the position that it swallows are one number, so that the least is the leftmost of least rank.
@@ -261,6 +261,19 @@ def _sliced(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
         yield start, end, column.slice(start, end - start).to_pylist()
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _giving_back(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """`work`, after which Arrow frees what it took: workers stay for other jobs, and executors' memory is theirs too."""
+
+    def task(batches: Batches) -> Batches:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def _as_lists(found: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
@@ -275,14 +288,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     rest = docs.drop(out)
     at = place_of(rest, text)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Batches) -> Batches:
         codec = Codec(parts.value)
         for batch in batches:
             for start, end, texts in _sliced(batch.column(at)):
                 found = codec.encode(texts)
                 yield batch.slice(start, end - start).append_column(out, _as_lists(found))
 
-    return rest.mapInArrow(work, extended(rest, f"`{out}` array<int>"))
+    return rest.mapInArrow(_giving_back(work), extended(rest, f"`{out}` array<int>"))
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -295,7 +308,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "token_ids", o
     rest = tokens.drop(out)
     at = place_of(rest, ids)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Batches) -> Batches:
         codec = Codec(parts.value)
         for batch in batches:
             column = batch.column(at)
@@ -308,7 +321,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "token_ids", o
                 found = codec.decode([values[edges[i] : edges[i + 1]] for i in range(start, end)])
                 yield batch.slice(start, end - start).append_column(out, pa.array(found, pa.binary()))
 
-    return rest.mapInArrow(work, extended(rest, f"`{out}` binary"))
+    return rest.mapInArrow(_giving_back(work), extended(rest, f"`{out}` binary"))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -317,7 +330,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
     rest = docs.drop(ids, out)
     at = place_of(rest, text)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Batches) -> Batches:
         codec = Codec(parts.value)
         for batch in batches:
             for start, end, texts in _sliced(batch.column(at)):
@@ -325,4 +338,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
                 part = batch.slice(start, end - start).append_column(ids, _as_lists(found))
                 yield part.append_column(out, pa.array(codec.decode(found), pa.binary()))
 
-    return rest.mapInArrow(work, extended(rest, f"`{ids}` array<int>, `{out}` binary"))
+    return rest.mapInArrow(_giving_back(work), extended(rest, f"`{ids}` array<int>, `{out}` binary"))

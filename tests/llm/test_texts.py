@@ -4,7 +4,9 @@ import random
 import re
 import string
 import tracemalloc
+import weakref
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -364,6 +366,21 @@ def test_a_word_is_looked_up_once_for_all_its_matches():
     assert codec.encoded.asked <= 4
 
 
+def test_a_task_gives_memory_back_once_its_own_is_gone(monkeypatch):
+    own, gone = [], []
+
+    def work(batches):
+        rows = {"held"}
+        own.append(weakref.ref(rows))
+        yield from batches
+        assert rows
+
+    monkeypatch.setattr(duckdb_bpe.pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: gone.append(own[0]() is None)))
+    assert list(duckdb_bpe._giving_back(work)(iter([1, 2]))) == [1, 2]
+    assert gone == [True]
+    assert duckdb_bpe.KNOWN_BYTES <= 100 << 20
+
+
 def test_decoding_in_several_queries(monkeypatch):
     monkeypatch.setattr(duckdb_bpe, "QUERY_IDS", 7)
     codec, r = _codec("several queries"), random.Random(5)
