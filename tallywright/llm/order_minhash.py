@@ -10,10 +10,12 @@ longer one, and groups are the connected components of links.
 Candidates meet in two steps. First every member of an entry meets the entry's two leaders
 (its smallest and largest id), which joins up most groups. Then, in entries whose members
 are still in several components, all members of different components meet, in tasks that hold
-two chunks of an entry each; a pair that shares several entries meets in the first. Such
-a task aligns what lengths and counts of words do not rule out, stops comparing members that
-its links have connected, and returns a link for each of two components that it has joined:
-no more rows than members, and no candidate left out.
+two chunks of an entry each; a pair that shares several entries meets in the first. The
+component that most members of an entry are in is connected already and only meets the others:
+its members are dealt out once for each chunk of those others. Such a task aligns what
+lengths and counts of words do not rule out, stops comparing members that its links have
+connected, and returns a link for each of two components that it has joined: no more rows
+than members, and no candidate left out.
 
 Copies with the same words are one class from the start. Sketches of two documents with
 a share j of common k-mers agree in an entry with a probability of about j squared; with
@@ -301,18 +303,41 @@ def _leader_links(pairs: DataFrame, words: DataFrame, similarity: float) -> Data
 
 
 def _unconnected(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """`members` of entries whose members are in several components, with component.
+    """(entry, id, component, n, bulk, bulk_n): the members of entries whose members are in several components.
 
-    In entries of up to three members all pairs have met their leaders.
+    n is the number of an entry's members, bulk the component that most of them are in, bulk_n their number. In entries of
+    up to three members all pairs have met their leaders.
     """
     component = F.coalesce("component", "id").alias("component")
     named = stored(
-        members.filter("n > 3").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("entry", "id", "n", component),
+        members.filter("n > 3").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("entry", "id", component),
         "named-members",
     )
-    reach = named.groupBy("entry").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    several = reach.filter("least < most").select("entry")
-    return named.join(several, "entry", "left_semi")
+    sizes = named.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("size"))
+    reach = sizes.groupBy("entry").agg(F.sum("size").alias("n"), F.max(F.struct("size", "component")).alias("bulk"))
+    several = reach.filter("bulk.size < n").select("entry", "n", F.col("bulk.component").alias("bulk"), F.col("bulk.size").alias("bulk_n"))
+    return named.join(several, "entry")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """`members` of `_unconnected` with chunk, left and right: a row for each pair of chunks that a member's chunk is in.
+
+    The bulk of an entry is connected, so its chunks meet those of the other members only, and the others' chunks come
+    first. The bulk is no chunk of its own where that would make more rows.
+    """
+    chunks = lambda n: F.ceil(n / CHUNK_ROWS).cast("int")
+    n, bulk_n = F.col("n"), F.col("bulk_n")
+    others, bulks = chunks(n - bulk_n), chunks(bulk_n)
+    apart = bulk_n * others + (n - bulk_n) * (others + bulks) < n * chunks(n)
+    first, second = F.when(apart, others).otherwise(chunks(n)), F.when(apart, bulks).otherwise(0)
+    in_bulk = apart & (F.col("component") == F.col("bulk"))
+    of = lambda count: F.pmod(F.xxhash64("id"), F.greatest(count, F.lit(1))).cast("int")
+    return (
+        members.withColumn("chunk", F.when(in_bulk, first + of(second)).otherwise(of(first)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_bulk, first - 1).otherwise(first + second - 1))))
+        .withColumns({"left": F.least("chunk", "other"), "right": F.greatest("chunk", "other")})
+        .drop("other", "n", "bulk", "bulk_n")
+    )
 
 
 def _remaining_links(members: DataFrame, classes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -322,14 +347,8 @@ def _remaining_links(members: DataFrame, classes: DataFrame, words: DataFrame, s
     adds and takes one word at most, which rules most pairs out. Entries of many members are
     dealt out as pairs of chunks, a task for each.
     """
-    chunks = F.ceil(F.col("n") / CHUNK_ROWS).cast("int")
-    dealt = (
-        members.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select("entry", "id", "component", "chunk", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
-        .join(classes.select("id", "entries"), "id")
-        .join(words, "id")
-    )
+    known = classes.select("id", "entries").join(words, "id")
+    dealt = _dealt(members.join(known.hint("merge"), "id"))
 
     def meet(rows: pa.Table) -> pa.Table:
         entry, left = rows.column("entry")[0].as_py(), rows.column("left")[0].as_py()

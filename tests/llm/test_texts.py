@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from llm_fixtures import docs_of  # noqa: F401
+from pyspark.sql.group import GroupedData
 
 from tallywright.llm import (
     cross_parsing,
@@ -513,3 +514,21 @@ def test_a_large_bucket_of_unlike_documents(spark, docs_of, monkeypatch):
     r.shuffle(rows)
     docs = docs_of(*rows)
     assert {row.doc_id: row.cluster_id for row in order_minhash.near_duplicates(docs).collect()} == groups_by_entries(docs, order_minhash.ENTRIES)
+
+
+def test_a_large_group_of_near_copies_is_dealt_out_once(docs_of, monkeypatch):
+    """What is connected already meets the few others only: its members are not repeated for each of its own chunks."""
+    monkeypatch.setattr(order_minhash, "CHUNK_ROWS", 8)
+    met, remaining, apply = [], order_minhash._remaining_links, GroupedData.applyInArrow
+    monkeypatch.setattr(order_minhash, "_remaining_links", lambda members, *rest: met.append(members.count()) or remaining(members, *rest))
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, *how: met.append(self._df.count()) or apply(self, *how))
+    base, r = prose(91, 100), random.Random(19)
+    rows = [(i, " ".join(w if r.random() > 0.02 else f"edit{i}" for w in base)) for i in range(150)]
+    rows += [(150 + i, " ".join(base[:60] + [f"own{i}x{k}" for k in range(40)])) for i in range(6)]
+    rows += [(160 + i, " ".join(base[:60] + [f"own{i}x{k}" for k in range(36)] + ["other", f"end{i}"])) for i in range(3)]
+    r.shuffle(rows)
+    docs = docs_of(*rows)
+    expected = groups_by_entries(docs, order_minhash.ENTRIES)
+    assert {row.doc_id: row.cluster_id for row in order_minhash.near_duplicates(docs).collect()} == expected
+    _, members, dealt = met
+    assert members > 300 and dealt < 4 * members
