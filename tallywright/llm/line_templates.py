@@ -53,11 +53,6 @@ def _replaced(text: Column | str, old: str, new: str) -> Column:
     return text
 
 
-def _spaced(line: Column | str) -> Column:
-    """A line with blanks for its tabs and carriage returns."""
-    return _replaced(line, "\t\r", " ")
-
-
 def _stretches(line: Column) -> Column:
     """Hashes of the stretches between punctuation of a line; long ones get negative numbers, so that they come before short ones."""
     hashed = lambda u: F.when(F.length(u) >= UNIT_CHARS, F.xxhash64(F.trim(u)).bitwiseOR(F.lit(-(1 << 63)))).when(
@@ -67,17 +62,26 @@ def _stretches(line: Column) -> Column:
     return F.transform(F.split(_replaced(line, ".\r", ","), ","), hashed)
 
 
-def _least(hashes: Column) -> Column:
-    """The least of some stretches under every hash; nulls where there is none."""
-    sign, rest = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
-    other = lambda b: F.transform(hashes, lambda h: F.xxhash64(h, F.lit(b)).bitwiseAND(rest).bitwiseOR(h.bitwiseAND(sign)))
-    return F.array(*[F.array_min(other(b)) for b in range(ANCHORS)])
+def _foremost(hashes: Column) -> Column:
+    """The long stretches of a line if there are any, else all; nothing shorter can be the least of them."""
+    return F.when(F.array_min(hashes) < 0, F.filter(hashes, lambda h: h < 0)).otherwise(F.filter(hashes, lambda h: h.isNotNull()))
+
+
+def _least(foremost: Column) -> Column:
+    """The least of a line's foremost stretches under every hash; nulls where there is none."""
+    sign = F.get(foremost, F.lit(0)).bitwiseAND(F.lit(-(1 << 63)))  # the same for all of them
+    other = lambda b: F.transform(foremost, lambda h: F.xxhash64(h, F.lit(b)).bitwiseAND(F.lit((1 << 63) - 1)))
+    return F.array(*[F.array_min(other(b)).bitwiseOR(sign) for b in range(ANCHORS)])
+
+
+def _plain(line: Column | str) -> Column:
+    """A line in lower case with single blanks in place of tabs and carriage returns, and none around it."""
+    return F.lower(F.trim(_replaced(line, "\t\r", " ")))
 
 
-def _tokens(line: str) -> Column:
-    """The tokens of a line, those with a digit as variable fields."""
-    plain = F.lower(F.trim(_spaced(line)))
-    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "(?<!\\S)[^\\s0-9]*+[0-9]\\S*", "<*>")).otherwise(plain)
+def _tokens(plain: str) -> Column:
+    """The tokens of a line made plain, those with a digit as variable fields."""
+    masked = F.when(F.col(plain).rlike("[0-9]"), F.regexp_replace(plain, "(?<!\\S)[^\\s0-9]*+[0-9]\\S*", "<*>")).otherwise(F.col(plain))
     return F.array_remove(F.split(masked, " "), "")
 
 
@@ -89,6 +93,7 @@ def _keyed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     # One step at a time: what a lambda computes it computes again wherever it is used.
     measured = texts.select("doc_key", "body", lines_of(F.col("body")).alias("lines"))
     measured = measured.select("*", F.transform("lines", _stretches).alias("hashes"))
+    measured = measured.select("doc_key", "body", "lines", F.transform("hashes", _foremost).alias("hashes"))
     measured = measured.select("doc_key", "body", "lines", F.transform("hashes", _least).alias("stretches"))
     lows = measured.select("doc_key", "body", F.arrays_zip("lines", "stretches").alias("rows"), *[two(b).alias(f"low{b}") for b in range(ANCHORS)])
     alone = F.array_min(F.transform(words(F.col("body")), lambda w: F.xxhash64(w)))
@@ -103,9 +108,12 @@ def _keyed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
         first, second = F.get(f"low{b}", F.lit(0)), F.get(f"low{b}", F.lit(1))
         return F.coalesce(F.when(F.col("row.stretches")[b].eqNullSafe(first), second).otherwise(first), "alone", F.lit(0))
 
+    # A column of its own for what is looked at and split; the filter looks at the first characters only.
+    anchored = [anchor(b).alias(f"a{b}") for b in range(ANCHORS)]
     lines = (
-        exploded.filter(F.trim(_spaced("row.lines")) != "")
-        .select("doc_key", "line_no", *[anchor(b).alias(f"a{b}") for b in range(ANCHORS)], _tokens("row.lines").alias("tokens"))
+        exploded.filter(F.ltrim("row.lines", F.lit(" \t\r")) != "")
+        .select("doc_key", "line_no", *anchored, _plain("row.lines").alias("plain"))
+        .select("doc_key", "line_no", *[f"a{b}" for b in range(ANCHORS)], _tokens("plain").alias("tokens"))
         .withColumn("n", F.size("tokens"))
         .withColumn("step", F.floor(F.col("n") / VARIABLE).cast("int"))
     )
