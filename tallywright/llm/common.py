@@ -5,13 +5,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD_GAP = r"[^\p{L}\p{N}]+"
 
+Batches = Iterator[pa.RecordBatch]
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: `spark.checkpoint.dir`.
@@ -47,6 +51,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of rows that each end with the row by which their sizes add up to `most`."""
+    start = held = 0
+    for end, size in enumerate(sizes, 1):
+        held += size
+        if held >= most or end == len(sizes):
+            yield start, end
+            start, held = end, 0
+
+
+def giving_back(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """`work`, after which Arrow frees what it took: workers stay for other jobs, and executors' memory is theirs too."""
+
+    def task(batches: Batches) -> Batches:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order; no words for null."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP), lambda w: w != "")

@@ -20,7 +20,7 @@ import sys
 import tempfile
 import types
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import count, pairwise
 
 import duckdb
@@ -30,7 +30,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tallywright.llm.common import extended, place_of
+from tallywright.llm.common import Batches, extended, place_of, slices
+from tallywright.llm.common import giving_back as _giving_back
 
 LONG_BYTES = 300
 KNOWN_BYTES = 96 << 20
@@ -245,35 +246,13 @@ def shared_parts(path: str, pattern: str) -> dict:
     return {"tokens": tokens, "merges": merge_table(ranks), "pattern": pattern, "name": f"{path} {pattern}"}
 
 
-def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for end, size in enumerate(sizes, 1):
-        held += size
-        if held >= most or end == len(sizes):
-            yield start, end
-            start, held = end, 0
-
-
 def _sliced(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
     """(start, end, texts) of a batch, in slices: only the texts of one are Python's at a time."""
     pa.default_memory_pool().release_unused()  # else what batches before took stays beside the next
-    for start, end in _slices(pc.utf8_length(column).fill_null(0).to_pylist(), _SLICE_CHARS):
+    for start, end in slices(pc.utf8_length(column).fill_null(0).to_pylist(), _SLICE_CHARS):
         yield start, end, column.slice(start, end - start).to_pylist()
 
 
-Batches = Iterator[pa.RecordBatch]
-
-
-def _giving_back(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """`work`, after which Arrow frees what it took: workers stay for other jobs, and executors' memory is theirs too."""
-
-    def task(batches: Batches) -> Batches:
-        yield from work(batches)
-        pa.default_memory_pool().release_unused()
-
-    return task
-
-
 def _as_lists(found: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
@@ -317,7 +296,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "token_ids", o
             if flat.null_count:
                 raise ValueError("an id is null")
             values, edges = flat.to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum([len(x) for x in column])])
-            for start, end in _slices(np.diff(edges).tolist(), _SLICE_CHARS // 4):
+            for start, end in slices(np.diff(edges).tolist(), _SLICE_CHARS // 4):
                 found = codec.decode([values[edges[i] : edges[i + 1]] for i in range(start, end)])
                 yield batch.slice(start, end - start).append_column(out, pa.array(found, pa.binary()))
 

@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm import bitmaps
-from tallywright.llm.common import stored
+from tallywright.llm.common import Batches, giving_back, slices, stored
 from tallywright.llm.components import components, jumped, labels, oriented
 
 SHINGLE_WORDS = 5
@@ -45,7 +46,7 @@ BAG = 256  # counters of words, up to 255 each
 CHUNK_ROWS = 1024
 JUMPS = 2
 
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 19  # a word takes some 200 bytes while its text is sketched
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 # Thai, Lao, Tibetan, Burmese, Khmer, kana and Han have no blanks between words: there each character is a word.
 _SOLID = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -78,6 +79,12 @@ def word_list(text: str | None) -> list[bytes]:
     return _WORD.findall(_prepared(text))
 
 
+def _powers(base: np.uint64, size: int) -> np.ndarray:
+    found = np.full(size, base)
+    found[0] = 1
+    return np.cumprod(found, out=found)
+
+
 class WordHashes:
     """Hashes of the words of many texts at once, from sums of bytes times powers."""
 
@@ -87,8 +94,7 @@ class WordHashes:
     def _reach(self, size: int) -> None:
         if len(self.powers) < size:
             inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-            steps = np.full(2 * size, _ODD), np.full(2 * size, inverse)
-            self.powers, self.inverse = (np.concatenate([np.ones(1, np.uint64), np.cumprod(s)]) for s in steps)
+            self.powers, self.inverse = (_powers(x, size + size // 8) for x in (_ODD, inverse))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All words' hashes end to end and the number of words of each text."""
@@ -98,7 +104,9 @@ class WordHashes:
         inside = _IS_WORD[data]
         edge = np.diff(inside.astype(np.int8), prepend=0)
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * self.powers[: len(data)])])
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.multiply(data, self.powers[: len(data)], out=sums[1:])
+        np.cumsum(sums, out=sums)
         hashes = _mixed((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
         ends = np.cumsum([len(r) + 1 for r in raw])
         return hashes, np.diff(np.searchsorted(start, ends), prepend=0)
@@ -162,31 +170,28 @@ def bags(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(at, minlength=len(sizes) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for end, text in enumerate(texts, 1):
-        held += len(text or "")
-        if held >= _SLICE_BYTES or end == len(texts):
-            yield start, end
-            start, held = end, 0
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (id, text, ...) in slices: only the texts of one need to be Python's at a time."""
+    pa.default_memory_pool().release_unused()  # else what batches before took stays beside the next
+    for start, end in slices(pc.binary_length(batch.column(1)).fill_null(0).to_pylist(), _SLICE_BYTES):
+        yield batch.slice(start, end - start)
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, entries: int = ENTRIES) -> DataFrame:
     """(doc_id, h1, h2, entries) of every row that has an id and words."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Batches) -> Batches:
         hashes = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, end in _slices(texts):
-                words, sizes = hashes(texts[start:end])
+            for part in _sliced(batch):
+                words, sizes = hashes(part.column(1).to_pylist())
                 some = np.flatnonzero(sizes)
                 if len(some):
                     sequence, found = sketch(words, sizes[some], entries)
                     offsets = pa.array(np.arange(0, (len(some) + 1) * entries, entries, dtype=np.int32))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.slice(start, end - start).take(pa.array(some)),
+                            part.column(0).take(pa.array(some)),
                             pa.array(sequence[:, 0].astype(np.int64)),
                             pa.array(sequence[:, 1].astype(np.int64)),
                             pa.ListArray.from_arrays(offsets, pa.array(found.ravel().astype(np.int64))),
@@ -194,8 +199,8 @@ def fingerprints(docs: DataFrame, key: str, text: str, entries: int = ENTRIES) -
                         ["doc_id", "h1", "h2", "entries"],
                     )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull())
-    return rows.mapInArrow(work, "doc_id long, h1 long, h2 long, entries array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
+    return rows.mapInArrow(giving_back(work), "doc_id long, h1 long, h2 long, entries array<long>")
 
 
 def word_sequences(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -203,19 +208,19 @@ def word_sequences(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> D
     place = F.xxhash64(F.col(key).cast("long"))
     known = docs.sparkSession.sparkContext.broadcast(bitmaps.collected(wanted.select(F.xxhash64("id").alias("place")), "place"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Batches) -> Batches:
         hashes = WordHashes()
         for batch in batches:
-            batch = batch.filter(pa.array(bitmaps.held(known.value, batch.column(2).to_numpy().view(np.uint64))))
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, end in _slices(texts):
-                words, sizes = hashes(texts[start:end])
-                ends = np.cumsum(sizes)
-                rows = [words[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(rows, pa.binary())], ["id", "words"])
-
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), place.alias("place")).filter(F.col("id").isNotNull())
-    found = rows.mapInArrow(work, "id long, words binary").filter(F.length("words") > 0).join(wanted, "id", "left_semi")
+            for part in _sliced(batch):
+                part = part.filter(pa.array(bitmaps.held(known.value, part.column(2).to_numpy().view(np.uint64))))
+                if part.num_rows:
+                    words, sizes = hashes(part.column(1).to_pylist())
+                    ends = np.cumsum(sizes)
+                    rows = [words[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["id", "words"])
+
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), place.alias("place")).filter(F.col("id").isNotNull())
+    found = rows.mapInArrow(giving_back(work), "id long, words binary").filter(F.length("words") > 0).join(wanted, "id", "left_semi")
     return found.groupBy("id", F.xxhash64("words").alias("same")).agg(F.first("words").alias("words")).select("id", "words")
 
 

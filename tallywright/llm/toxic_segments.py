@@ -47,7 +47,7 @@ ATOM = 1.0  # score from which segments count for K
 SIGNIFICANT = 0.05  # expected number of passages as good by chance
 
 _TOKEN = re.compile(r"\w+")
-_CACHE_WORDS = 500_000  # bounds a task's memory; scores are computed again when it is emptied
+_CACHE_WORDS = 100_000  # bounds a task's memory; scores are computed again when it is emptied
 _PASSAGES = "array<struct<start:bigint,end:bigint,score:double,by_chance:double>>"
 
 

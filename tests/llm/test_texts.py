@@ -10,6 +10,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from llm_fixtures import docs_of  # noqa: F401
@@ -265,6 +266,28 @@ def test_bags_rule_no_close_pair_out():
         assert max(np.maximum(x - y, 0).sum(), np.maximum(y - x, 0).sum(), abs(len(a) - len(b))) <= edits
 
 
+def test_words_of_a_slice_of_texts_are_held_at_a_time(spark, docs_of, monkeypatch):
+    docs, tasks = docs_of((1, "a")), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, work, schema: tasks.append(work) or spark.createDataFrame([], schema))
+    monkeypatch.setattr(order_minhash.bitmaps, "collected", lambda *a: None)
+    monkeypatch.setattr(order_minhash.bitmaps, "held", lambda bitmap, places: places % 2 == 0)
+    order_minhash.fingerprints(docs, "doc_id", "text")
+    order_minhash.word_sequences(docs, "doc_id", "text", docs.select("doc_id").toDF("id"))
+    texts = [None, "", *[" ".join(prose(i, 1500)) for i in range(900)], None]
+    rows = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": pa.array(texts, pa.string()), "place": list(range(len(texts)))})
+    hashes, found = order_minhash.WordHashes(), []
+    for work in tasks:
+        tracemalloc.start()
+        found.append(pa.Table.from_batches(work(iter([rows]))))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60_000_000
+    assert found[0].column("doc_id").to_pylist() == list(range(2, 902))
+    assert found[0].column("h1")[899].as_py() == order_minhash.sketch(*hashes([texts[901]]))[0].astype(np.int64)[0, 0]
+    assert found[1].column("id").to_pylist() == list(range(0, 903, 2))
+    assert found[1].column("words").to_pylist() == [hashes([t])[0].tobytes() for t in texts[::2]]
+
+
 def test_near_copies_of_odd_rows(docs_of):
     found = order_minhash.near_duplicates(docs_of(*ODD, (95, "ONE!"))).collect()
     assert Counter((r.doc_id, r.cluster_id) for r in found) == Counter(
@@ -392,6 +415,14 @@ def test_decoding_in_several_queries(monkeypatch):
 # Toxicity
 
 
+def test_scores_of_words_are_held_within_a_bound():
+    scores = toxic_segments._Scores({"word7": 2.0, "oth9*": 1.0}, 0.5)
+    for _ in range(2):
+        assert toxic_segments.score_tokens([f"word{i}" for i in range(150_000)], scores)[6:9] == [-0.5, 1.5, -0.5]
+        assert len(scores) <= 100_000
+    assert scores["oth9x"] == 0.5
+
+
 def test_maximal_segments_match_their_definition():
     def plain(scores, low, high):
         """The heaviest segment, then the same on both sides of it."""
