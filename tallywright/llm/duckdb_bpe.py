@@ -6,8 +6,8 @@ to the merge table (pairs of ids with the rank of their union): each round contr
 leftmost pair of least rank of every word, until no pair of it can be merged. Decoding
 selects the tokens of a document's ids from the vocabulary, in order, and joins their bytes.
 
-Words are looked up before they are queried: what a worker has encoded stays known to it,
-up to KNOWN_BYTES, which bounds its memory and never the result. Words longer than
+Words are looked up before they are queried: what a worker has encoded stays known to it
+during a stage, up to KNOWN_BYTES, which bounds its memory and never the result. Words longer than
 LONG_BYTES, for which rows of every round would be quadratic, are merged with a heap
 instead; the ids are the same.
 """
@@ -18,7 +18,6 @@ import base64
 import heapq
 import sys
 import tempfile
-import types
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count, pairwise
@@ -37,7 +36,7 @@ LONG_BYTES = 300
 KNOWN_BYTES = 96 << 20
 QUERY_WORDS = 40_000
 QUERY_IDS = 1 << 18
-_SLICE_CHARS = 1 << 20
+_SLICE_CHARS = 1 << 18  # DuckDB keeps what the largest query took for as long as a task lasts
 _ENTRY_BYTES = 150  # of a known word besides its letters and ids
 
 # A pair's rank, position and the position that it swallows are one number, so that the least is the leftmost of least rank.
@@ -117,14 +116,14 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def _known(vocabulary: str) -> dict:
-    """What this worker has encoded so far with this vocabulary: recent words, about how many bytes they take, and words of before.
+def _known(parts: dict) -> dict:
+    """What this worker has encoded so far with `parts`: recent words, about how many bytes they take, and words of before.
 
+    They are kept with the broadcast value, which a worker drops when it goes on to another stage, and they with it.
     Where the recent ones take half of KNOWN_BYTES they become those of before, whose rest is
     forgotten. A word of before that comes again is recent: common words are never queried twice.
     """
-    holder = sys.modules.setdefault("tallywright_bpe_words", types.ModuleType("tallywright_bpe_words"))
-    return holder.__dict__.setdefault(vocabulary, {"ids": {}, "older": {}, "bytes": 0})
+    return parts.setdefault("known", {"ids": {}, "older": {}, "bytes": 0})
 
 
 class Codec:
@@ -135,7 +134,7 @@ class Codec:
         self.ranks = {token: i for i, token in enumerate(self.tokens) if token is not None}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.exists = np.array([token is not None for token in self.tokens])
-        self.known = _known(parts["name"])
+        self.known = _known(parts)
         self.encoded, self.older = self.known["ids"], self.known["older"]
         self.base = None
 
@@ -243,7 +242,7 @@ def shared_parts(path: str, pattern: str) -> dict:
     tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    return {"tokens": tokens, "merges": merge_table(ranks), "pattern": pattern, "name": f"{path} {pattern}"}
+    return {"tokens": tokens, "merges": merge_table(ranks), "pattern": pattern}
 
 
 def _sliced(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:

@@ -405,6 +405,14 @@ def test_a_task_gives_memory_back_once_its_own_is_gone(monkeypatch):
     assert duckdb_bpe.KNOWN_BYTES <= 100 << 20
 
 
+def test_known_words_go_with_what_tasks_share():
+    parts = duckdb_bpe.shared_parts(PATH, public_tokenizers.PATTERN)
+    ids = duckdb_bpe.Codec(parts).encode([" zqxvkjw"])
+    known = duckdb_bpe.Codec(parts)
+    assert " zqxvkjw" in known.encoded and np.array_equal(known.encode([" zqxvkjw"]), ids)
+    assert not duckdb_bpe.Codec(duckdb_bpe.shared_parts(PATH, public_tokenizers.PATTERN)).encoded
+
+
 def test_decoding_in_several_queries(monkeypatch):
     monkeypatch.setattr(duckdb_bpe, "QUERY_IDS", 7)
     codec, r = _codec("several queries"), random.Random(5)
