@@ -3,38 +3,40 @@
 For unit vectors a cosine of t is a squared distance of 2 - 2t. After a fixed random
 rotation each vector is cut into blocks; a pair within that squared distance is
 within its proportional share of it in at least one block. So each block is joined by
-range on its own: a grid over the block's first coordinates, whose cells a vector
-visits where it lies within the radius of their edge. A pair that meets in several
-blocks counts in the first of them only, and only in the cell where the smaller id is
-at home, so nothing is counted twice and no pair is ever written: a cell's task
-returns, per vector, the number of links and one link towards the smallest id that
-it reaches there. Cells that hold very many vectors are dealt out as pairs of chunks.
-
-Equal vectors are one class with a weight before any of this. Distances come from
-single-precision coordinates; pairs too close to the threshold for these (a handful)
-are decided by the cosine of the vectors themselves in double precision.
+range on its own, and a pair that meets in several blocks counts in the first of them
+only (`block_ranges`). No pair is ever written: a task returns, per vector, the number
+of links and one link towards the smallest id that it reaches there.
+
+A task joins the vectors of one label, so that a vector is sent once, and not once for
+each block. Labels of very many vectors are dealt out in chunks: a chunk's task holds it
+and has about half of the other chunks streamed past, so that each two chunks meet once.
+
+Equal vectors are one class with a weight before any of this. What is sent are rotated
+coordinates in 16 bits; pairs too close to the threshold for these (a handful) are
+decided by the cosine of the vectors themselves in double precision.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import stored
+from tallywright.llm import bitmaps
+from tallywright.llm.block_ranges import SCALE, Links, Region
+from tallywright.llm.common import Batches, giving_back, stored
 from tallywright.llm.components import components
 
 BLOCKS = 8
-GRID = 3
-CELL_RADII = 4
-CHUNK_ROWS = 2048
-#: What rounding can add to a squared distance or a cosine of single-precision coordinates.
-SLACK = 1e-5
+#: The most vectors of a chunk, and of the others that are compared with it at a time; the most bytes of these.
+CHUNK_ROWS, GUEST_ROWS, CHUNK_BYTES = 500_000, 250_000, 64_000_000
+#: Labels of over so many vectors are dealt out in up to so many chunks before memory asks for it.
+SPREAD_ROWS, SPREAD = 25_000, 3
 
-_VISITS = "class_id long, weight long, label int, block int, cell long, home boolean, rot array<float>"
+_CODES = "class_id long, weight long, label int, size int, code binary"
 _FOUND = "a long, b long, links long"
 
 
@@ -50,165 +52,139 @@ def rotation(size: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def block_edges(size: int, blocks: int = BLOCKS) -> np.ndarray:
-    return np.linspace(0, size, min(blocks, size) + 1).astype(int)
-
+def _codes(vectors: DataFrame) -> DataFrame:
+    """Each class with its rotated unit vector in whole numbers."""
 
-def _visits(classes: DataFrame, threshold: float, blocks: int) -> DataFrame:
-    """Each class once for every block and cell of that block's grid that it is in or near to."""
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Batches) -> Batches:
+        rotations: dict[int, np.ndarray] = {}
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                vectors = batch.column("vector").to_pylist()
-                sizes = np.array([len(v) for v in vectors])
+                vector = batch.column("vector")
+                sizes = vector.value_lengths().to_numpy()
+                first = np.concatenate([[0], np.cumsum(sizes)])
+                values = vector.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 for size in np.unique(sizes):
                     at = np.flatnonzero(sizes == size)
-                    x = np.array([vectors[i] for i in at], dtype=np.float64)
+                    x = values[first[at][:, None] + np.arange(size)]
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    rot = (x @ rotation(int(size))).astype(np.float32)
-                    ids, weights, labels = (batch.column(c).to_numpy()[at] for c in ("class_id", "weight", "label"))
-                    edges = block_edges(int(size), blocks)
-                    radius = np.sqrt((2 - 2 * threshold) / (len(edges) - 1)) + SLACK
-                    for block in range(len(edges) - 1):
-                        yield from _block_visits(ids, weights, labels, rot, block, edges, radius)
-
-    return classes.select("class_id", "weight", "label", "vector").mapInArrow(visit, _VISITS)
-
-
-def _block_visits(ids, weights, labels, rot, block, edges, radius) -> Iterator[pa.RecordBatch]:
-    low, high = edges[block], min(edges[block] + GRID, edges[block + 1])
-    width, size = CELL_RADII * radius, rot.shape[1]
-    part = rot[:, low:high].astype(np.float64)
-    first, last = np.floor((part - radius) / width).astype(np.int64), np.floor((part + radius) / width).astype(np.int64)
-    own = np.floor(part / width).astype(np.int64)
-    rows, cells, homes = np.arange(len(ids)), np.full(len(ids), size, np.int64), np.ones(len(ids), bool)
-    for k in range(high - low):  # a cell's number is made up of its steps along each coordinate
-        more = last[rows, k] > first[rows, k]
-        steps = np.concatenate([first[rows, k], last[rows[more], k]])
-        rows, cells, homes = (np.concatenate([v, v[more]]) for v in (rows, cells, homes))
-        homes = homes & (steps == own[rows, k])
-        cells = cells * 4096 + steps + 2048
-    offsets = pa.array(np.arange(0, (len(rows) + 1) * size, size, dtype=np.int32))
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids[rows]), pa.array(weights[rows]), pa.array(labels[rows].astype(np.int32)),
-            pa.array(np.full(len(rows), block, np.int32)), pa.array(cells), pa.array(homes),
-            pa.ListArray.from_arrays(offsets, pa.array(rot[rows].ravel())),
-        ],
-        ["class_id", "weight", "label", "block", "cell", "home", "rot"],
-    )
-
-
-def _dealt(visits: DataFrame, chunk_rows: int) -> DataFrame:
-    """Deals cells of over `chunk_rows` vectors out as pairs of chunks: adds chunk, left and right.
-
-    Others are the one pair (0, 0). The counts are joined on both sides by exchange, so a
-    crowded cell can be split.
+                    if size not in rotations:
+                        rotations = {size: rotation(int(size))}
+                    found = np.rint(x @ rotations[size] * SCALE).astype(np.int16)
+                    ends = pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * np.int32(2 * size))
+                    chosen = batch.select(["class_id", "weight", "label"]).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays(
+                        [*chosen.columns, pa.array(np.full(len(at), size, np.int32)), pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(found)])],
+                        ["class_id", "weight", "label", "size", "code"],
+                    )
+
+    return vectors.select("class_id", "weight", "label", "vector").mapInArrow(code, _CODES)
+
+
+def _dealt(codes: DataFrame, classes: DataFrame, chunk_rows: int) -> DataFrame:
+    """Deals vectors out to the tasks that join them: adds home, the chunk that the task holds, and guest.
+
+    A vector is no guest where its own chunk is held. Of each two chunks one is a guest of the other.
     """
-    cell = ["label", "block", "cell"]
+    most = F.least(F.lit(chunk_rows), F.greatest(F.lit(1), F.floor(CHUNK_BYTES / (2 * F.col("size")))))
+    n = F.col("n")
     crowded = stored(
-        visits.groupBy(*cell)
+        classes.groupBy("label", "size")
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > chunk_rows)
-        .select(*cell, F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks")),
-        "crowded-cells",
+        .withColumn("chunks", F.greatest(F.ceil(n / most), F.least(F.lit(SPREAD), F.ceil(n / SPREAD_ROWS))).cast("int"))
+        .filter("chunks > 1")
+        .select("label", "size", "chunks"),
+        "crowded-labels",
     )
-    chunks = F.coalesce("chunks", F.lit(1))
-    other = F.explode(F.sequence(F.lit(0), chunks - 1))
+    steps = F.expr("sequence(0, cast((chunks - 1) div 2 as int) + if(chunks % 2 = 0 and chunk >= chunks / 2, 1, 0))")
     return (
-        visits.join(crowded, cell, "left")
-        .withColumn("chunk", F.pmod(F.xxhash64("class_id"), chunks).cast("int"))
-        .withColumn("other", other)
-        .withColumn("left", F.least("chunk", "other"))
-        .withColumn("right", F.greatest("chunk", "other"))
-        .drop("chunks", "other")
+        codes.join(F.broadcast(crowded), ["label", "size"], "left")
+        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        .withColumn("chunk", F.pmod(F.xxhash64("class_id", "code"), "chunks").cast("int"))
+        .withColumn("step", F.explode(steps))
+        .select("label", "size", F.expr("pmod(chunk - step, chunks)").alias("home"), (F.col("step") > 0).alias("guest"), "class_id", "weight", "code")
     )
 
 
-def _squared(x: np.ndarray, a: np.ndarray, b: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Squared distances of rows a and b over columns low to high; each pair's rounding is the same in every task."""
-    total = np.zeros(len(a))
-    for k in range(low, high):
-        d = x[a, k].astype(np.float64) - x[b, k]
-        total += d * d
-    return total
-
-
-def _pairs(near: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.nonzero(near)
-    return a + start, b
-
-
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest row that each row reaches."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-def _cell_links(budget_all: float, threshold: float, blocks: int):
-    """The function that joins one cell (or pair of chunks)."""
-
-    def join(table: pa.Table) -> pa.Table:
-        size = len(table.column("rot")[0])
-        order = np.argsort(table.column("class_id").to_numpy(), kind="stable")  # lower ids first
-        rot = table.column("rot").combine_chunks()
-        rot = (rot.chunk(0) if isinstance(rot, pa.ChunkedArray) else rot).flatten().to_numpy().reshape(-1, size)[order]
-        ids, weights, home, chunk = (table.column(c).to_numpy()[order] for c in ("class_id", "weight", "home", "chunk"))
-        block, cross = table.column("block")[0].as_py(), table.column("left")[0].as_py() != table.column("right")[0].as_py()
-        edges = block_edges(size, blocks)
-        low, high = edges[block], edges[block + 1]
-        budget = budget_all / (len(edges) - 1)
-        part = rot[:, low:high]
-        norms = (part * part).sum(axis=1)
-        links = np.zeros(len(ids), np.int64)
-        kept_a, kept_b, close = [], [], []
-        for start in range(0, len(ids), 512):  # bounds the distance table of a step
-            rows = slice(start, start + 512)
-            rough = norms[rows, None] + norms[None, :] - 2 * part[rows] @ part.T
-            near = (rough <= budget + SLACK) & home[rows, None] & (np.arange(len(ids)) > np.arange(len(ids))[rows, None])
-            if cross:
-                near &= chunk[rows, None] != chunk[None, :]
-            a, b = _pairs(near, start)
-            at = _squared(rot, a, b, low, high) <= budget
-            a, b = a[at], b[at]
-            total = np.zeros(len(a))
-            for k in range(len(edges) - 1):
-                square = _squared(rot, a, b, edges[k], edges[k + 1])
-                if k < block:
-                    earlier = square <= budget
-                    a, b, total, square = a[~earlier], b[~earlier], total[~earlier], square[~earlier]
-                total += square
-            cosine = 1 - total / 2
-            sure = cosine >= threshold + SLACK
-            unsure = ~sure & (cosine >= threshold - SLACK)
-            close.append((ids[a[unsure]], ids[b[unsure]]))
-            a, b = a[sure], b[sure]
-            links += np.bincount(a, weights[b], len(ids)).astype(np.int64) + np.bincount(b, weights[a], len(ids)).astype(np.int64)
-            # One link a vector is enough to reach the rest: towards the smallest root of this step.
-            root = _roots(len(ids), a, b)
-            moved = np.flatnonzero(root != np.arange(len(ids)))
-            kept_a.append(moved)
-            kept_b.append(root[moved])
-        root = _roots(len(ids), np.concatenate(kept_a), np.concatenate(kept_b))
-        linked = np.flatnonzero(links)
-        ca, cb = (np.concatenate([c[i] for c in close]) for i in (0, 1))
-        counts = pa.array(np.concatenate([links[linked], np.zeros(len(ca), np.int64)]), mask=np.arange(len(linked) + len(ca)) >= len(linked))
-        return pa.table({"a": np.concatenate([ids[linked], ca]), "b": np.concatenate([ids[root[linked]], cb]), "links": counts})
+def _found(links: Links) -> pa.RecordBatch:
+    ids, least, counts, a, b = links.found()
+    counts = pa.array(np.concatenate([counts, np.zeros(len(a), np.int64)]), mask=np.arange(len(ids) + len(a)) >= len(ids))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, a])), pa.array(np.concatenate([least, b])), counts], ["a", "b", "links"])
+
+
+_Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, ...], bool, _Rows]]:
+    """(task's key, whether they are guests, (ids, weights, codes)) of the runs of rows that belong together."""
+    if not batch.num_rows:
+        return
+    key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("label", "size", "home", "guest")], axis=1)
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+    for start, end in zip(starts, [*starts[1:], len(key)], strict=True):
+        rows, size = batch.slice(start, end - start), int(key[start, 1])
+        code = rows.column("code")
+        ends = np.frombuffer(code.buffers()[1], np.int32)[code.offset : code.offset + len(code) + 1]
+        codes = np.frombuffer(code.buffers()[2], np.int16)[ends[0] // 2 : ends[-1] // 2].reshape(-1, size)
+        ids, weights = (rows.column(c).to_numpy() for c in ("class_id", "weight"))
+        yield tuple(map(int, key[start, :3])), bool(key[start, 3]), (ids.copy(), weights.copy(), codes.copy())
+
+
+def _gathered(parts: list[_Rows]) -> _Rows:
+    rows = tuple(np.concatenate([part[i] for part in parts]) for i in range(3))
+    parts.clear()
+    return rows
+
+
+def _links(threshold: float, blocks: int) -> Callable[[Batches], Batches]:
+    """Joins the vectors of each task; the held ones come before the guests."""
+
+    def join(batches: Batches) -> Batches:
+        at: tuple[int, ...] | None = None
+        region: Region | None = None
+        waiting: list[_Rows] = []
+
+        def held() -> Batches:
+            """Joins what waits with what is held, or else holds it."""
+            nonlocal region
+            if not waiting:
+                return
+            if region is None:
+                region = Region(*_gathered(waiting), threshold, blocks)
+                yield _found(region.own())
+            else:
+                yield _found(region.guests(*_gathered(waiting)))
+
+        for batch in batches:
+            for key, guest, rows in _runs(batch):
+                if key != at:
+                    yield from held()
+                    at, region = key, None
+                if guest and region is None:
+                    yield from held()
+                    if region is None:  # a chunk without vectors
+                        continue
+                waiting.append(rows)
+                if region is not None and sum(len(ids) for ids, _, _ in waiting) >= min(GUEST_ROWS, CHUNK_BYTES // (4 * key[1])):
+                    yield from held()
+        yield from held()
 
     return join
 
 
+def _close_links(members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, wa, wb): those of the pairs whose cosine in double precision reaches the threshold, with both weights."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("hashed"))
+    needed = bitmaps.marked(members.withColumn("hashed", F.xxhash64("class_id")), "hashed", ends)
+    needed = stored(needed.select("class_id", "weight", "vector"), "close-vectors")
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    side = lambda c: needed.select(F.col("class_id").alias(c), double("vector").alias(f"v{c}"), F.col("weight").alias(f"w{c}"))
+    cosine = dot("va", "vb") / (F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(cosine >= threshold).select("a", "b", "wa", "wb")
+
+
 def linked_vectors(
     vectors: DataFrame,
     threshold: float = 0.98,
@@ -229,34 +205,26 @@ def linked_vectors(
     ids = F.col(key).cast("long")
     rows = vectors.select(ids.alias("vec_id"), F.col(label).cast("int").alias("label"), F.col(vector).alias("vector"))
     good = _usable("vector") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    keyed = rows.select(
-        "vec_id",
-        F.when(good, F.xxhash64("label", "vector")).alias("k1"),
-        F.when(good, F.xxhash64("vector", F.lit(1), "label")).alias("k2"),
-    )
+    k1, k2 = F.xxhash64("label", "vector"), F.xxhash64("vector", F.lit(1), "label")
+    keyed = rows.select("vec_id", F.when(good, k1).alias("k1"), F.when(good, k2).alias("k2"))
+    able = rows.filter(good).select("vec_id", "label", "vector", k1.alias("k1"), k2.alias("k2"))
+    a_class = F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label")
     classes = stored(
-        rows.filter(good)
-        .groupBy(F.xxhash64("label", "vector").alias("k1"), F.xxhash64("vector", F.lit(1), "label").alias("k2"))
-        .agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("vector").alias("vector")),
+        able.select("vec_id", "label", F.size("vector").alias("size"), "k1", "k2").groupBy("k1", "k2").agg(*a_class, F.first("size").alias("size")),
         "vector-classes",
     )
-    # Vectors of different lengths never meet: a cell's number holds its vectors' length.
-    visits = _dealt(stored(_visits(classes, threshold, blocks), "cell-visits"), chunk_rows)
-    join = _cell_links(2 - 2 * threshold, threshold, blocks)
-    found = stored(visits.groupBy("label", "block", "cell", "left", "right").applyInArrow(join, _FOUND), "cell-links")
+    # Only vectors that may be repeated are brought together; the others are classes as they are.
+    again = bitmaps.perhaps_in(able, "k1", stored(bitmaps.parts(classes.filter("weight > 1").select("k1"), "k1"), "repeated"), "again")
+    each = again.filter("NOT again").select(F.col("vec_id").alias("class_id"), F.lit(1).cast("long").alias("weight"), "label", "vector")
+    repeated = again.filter("again").groupBy("k1", "k2").agg(*a_class, F.first("vector").alias("vector")).drop("k1", "k2")
+    members = each.union(stored(repeated, "repeated-vectors"))
+
+    place = ["label", "size", "home"]
+    visits = _dealt(_codes(members), classes, chunk_rows).repartition(*place).sortWithinPartitions(*place, "guest")
+    found = stored(visits.mapInArrow(giving_back(_links(threshold, blocks)), _FOUND), "vector-links")
 
-    double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    side = lambda c: classes.select(F.col("class_id").alias(c), double("vector").alias(f"v{c}"), F.col("weight").alias(f"w{c}"))
-    close = (
-        found.filter("links IS NULL")
-        .select("a", "b")
-        .join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(dot("va", "vb") / (F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb"))) >= threshold)
-    )
-    close = stored(close.select("a", "b", "wa", "wb"), "close-links")
     sure = found.filter("links IS NOT NULL")
+    close = stored(_close_links(members, found.filter("links IS NULL").select("a", "b"), threshold), "close-links")
     counts = (
         sure.select(F.col("a").alias("class_id"), "links")
         .union(close.select("a", F.col("wb")))
@@ -269,10 +237,11 @@ def linked_vectors(
         classes.select("k1", "k2", "class_id", "weight")
         .join(counts, "class_id", "left")
         .join(groups.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-        .select("k1", "k2", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "class_id").alias("root"))
+        .select("k1", "k2", "class_id", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "class_id").alias("root"))
     )
+    named = stored(named.filter("n > 0 OR root <> class_id").drop("class_id"), "vector-groups")
     component = F.coalesce("root", "vec_id")
-    return keyed.join(stored(named, "vector-groups"), ["k1", "k2"], "left").select(
+    return keyed.join(named, ["k1", "k2"], "left").select(
         "vec_id",
         F.coalesce("n", F.lit(0).cast("long")).alias("n_links"),
         component.alias("component_id"),
