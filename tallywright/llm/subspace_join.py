@@ -152,9 +152,11 @@ def _links(threshold: float, blocks: int) -> Callable[[Batches], Batches]:
                 return
             if region is None:
                 region = Region(*_gathered(waiting), threshold, blocks)
-                yield _found(region.own())
+                found = _found(region.own())
             else:
-                yield _found(region.guests(*_gathered(waiting)))
+                found = _found(region.guests(*_gathered(waiting)))
+            if found.num_rows:
+                yield found
 
         for batch in batches:
             for key, guest, rows in _runs(batch):
